@@ -25,6 +25,9 @@ FIXTURE_TIERS = ((0.90, (r"\b(thing|thou)\b",)), (0.75, (r"\bAI\b", r"\bNLP\b"))
 
 # Selection bounds that suit the test vectors (their cosines stay far below .80).
 FIXTURE_RATIO, FIXTURE_MIN = 0.85, 0.10
+FIXTURE_RATIOS = (0.75, 0.8, 0.85, 0.9, 0.95)
+FIXTURE_MINIMA = (0.0, 0.05, 0.1, 0.15, 0.2, 0.25)
+FIXTURE_SWEEP = tuple(i / 20 for i in range(20))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from catalog.fixtures import PAPERS_SQL
+from catalog.fixtures import (
+    FIXTURE_MIN, FIXTURE_MINIMA, FIXTURE_RATIO, FIXTURE_RATIOS, FIXTURE_SWEEP, PAPERS_SQL,
+)
+from papersieve.operators.disciplines import GRID_MINIMA, GRID_RATIOS
 from papersieve.operators.metrics import SEARCH_THRESHOLDS
 from papersieve.operators.screening import SENSITIVITY_THRESHOLDS
 
@@ -218,3 +221,146 @@ union all select 'F1', round(best_f1, 6) from best
 union all select 'Best Threshold', round(best_threshold, 6) from best
 union all select 'Validation Size', count(*)::double from labelled
 """
+
+
+# ---- disciplines ------------------------------------------------------------------------------
+
+SIMS = """
+cells as (select vec_id, label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as dim from embeddings),
+centroid as (select label, dim, avg(x) as x from cells group by label, dim),
+anchor as (select label, list(x order by dim) as v from centroid group by label),
+sims as (select vec_id as paper_id, a.label as ordinal, concat('label_', a.label) as discipline,
+    list_cosine_similarity(embedding::double[], v) as sim from embeddings, anchor a),
+ranked as (select *, row_number() over (partition by paper_id order by sim desc, ordinal) as rn from sims),
+top as (select paper_id, max(sim) filter (where rn = 1) as s1, max(sim) filter (where rn = 2) as s2,
+    max(sim) filter (where rn = 3) as s3, max(discipline) filter (where rn = 1) as d1,
+    max(discipline) filter (where rn = 2) as d2, max(discipline) filter (where rn = 3) as d3 from ranked group by paper_id)
+"""
+
+
+def breadth_case(ratio: str, minimum: str) -> str:
+    two = f"s2 >= {ratio} * s1 and s2 >= {minimum}"
+    return f"case when {two} and s3 >= {ratio} * s2 and s3 >= {minimum} then 3 when {two} then 2 else 1 end"
+
+
+PICK = breadth_case(f"{FIXTURE_RATIO}::double", f"{FIXTURE_MIN}::double")
+ASSIGNED = f"""{SIMS}, assigned as (select *, {PICK} as presence_breadth from top),
+exploded as (select paper_id, presence_breadth, unnest([d1, d2, d3][1:presence_breadth]) as discipline from assigned),
+papers as ({PAPERS}),
+years as (select paper_id, try_cast(pub_year as integer) as pub_year from papers)"""
+
+ORACLES["anchor_scores"] = f"with {SIMS} select paper_id, ordinal, discipline, round(sim, 6) as sim from sims"
+
+ORACLES["discipline_assign"] = f"""
+with {ASSIGNED} select paper_id, presence_breadth,
+  array_to_string([d1, d2, d3][1:presence_breadth], '|') as present_disciplines from assigned
+"""
+
+ORACLES["breadth_stats"] = f"""
+with {ASSIGNED} select b as presence_breadth, count(*) filter (where presence_breadth = b) as paper_count,
+  round(count(*) filter (where presence_breadth = b) * 100.0::double / count(*), 6) as percentage
+from assigned, (values (1), (2), (3)) v(b) group by b
+"""
+
+ORACLES["discipline_counts"] = f"""
+with {ASSIGNED} select discipline, count(*) as paper_count from exploded group by discipline
+"""
+
+
+def grid_sql(ratios, minima, rounded: bool) -> str:
+    names = "round(ratio, 6) as ratio, round(min, 6) as min" if rounded else "ratio, min"
+    return f"""
+with {SIMS}, grid as (select ratio, min from (select unnest({doubles(ratios)}) as ratio), (select unnest({doubles(minima)}) as min)),
+picked as (select ratio, min, paper_id, s1, s2, s3, d1, d2, d3, {breadth_case('ratio', 'min')} as b from top, grid),
+rates as (select ratio, min, avg((b >= 2)::int) as multi_rate, avg((b = 1)::int) as single_rate, avg(s1) as top1_sim,
+    avg(case b when 1 then s1 when 2 then (s1 + s2) / 2 else (s1 + s2 + s3) / 3 end) as selected_sim
+  from picked group by ratio, min),
+shares as (select ratio, min, count(*) / sum(count(*)) over (partition by ratio, min) as p
+  from (select ratio, min, unnest([d1, d2, d3][1:b]) as discipline from picked) group by ratio, min, discipline),
+entropies as (select ratio, min, -sum(p * ln(p + 1e-10)) as entropy from shares group by ratio, min)
+select {names}, round(multi_rate, 6) as multi_rate, round(single_rate, 6) as single_rate, round(top1_sim, 6) as top1_sim,
+  round(selected_sim, 6) as selected_sim, round(entropy, 6) as entropy from rates join entropies using (ratio, min)
+"""
+
+
+ORACLES["threshold_grid"] = grid_sql(FIXTURE_RATIOS, FIXTURE_MINIMA, rounded=False)
+ORACLES["threshold_grid_default"] = grid_sql(GRID_RATIOS, GRID_MINIMA, rounded=True)
+ORACLES["current_setting"] = f"""
+select * from ({grid_sql(GRID_RATIOS, GRID_MINIMA, rounded=True)}) where ratio = 0.95 and min = 0.8
+"""
+
+ORACLES["discipline_entropy"] = f"""
+with {ASSIGNED}, shares as (select count(*) / sum(count(*)) over () as p from exploded group by discipline)
+select round(-sum(p * ln(p + 1e-10)), 6) as entropy from shares
+"""
+
+ORACLES["breadth_sweep"] = f"""
+with {SIMS}, picked as (select t, {breadth_case('t', 't')} as b from top, (select unnest({doubles(FIXTURE_SWEEP)}) as t))
+select t as threshold, v.b as presence_breadth, round(count(*) filter (where picked.b = v.b) / count(*), 6) as share
+from picked, (values (1), (2), (3)) v(b) group by t, v.b
+"""
+
+YEARLY = f"""{ASSIGNED}, yearly as (select pub_year, discipline, count(*) as paper_count from exploded join years using (paper_id)
+  where pub_year is not null group by pub_year, discipline)"""
+
+ORACLES["discipline_trends"] = f"with {YEARLY} select pub_year, discipline, paper_count from yearly"
+
+ORACLES["discipline_share"] = f"""
+with {YEARLY} select pub_year, discipline, paper_count, cast(sum(paper_count) over (partition by pub_year) as bigint) as total,
+  round(paper_count / sum(paper_count) over (partition by pub_year) * 100, 6) as percentage from yearly
+"""
+
+ORACLES["research_type_trends"] = f"""
+with {ASSIGNED}, grouped as (select pub_year, presence_breadth, count(*) as paper_count from assigned join years using (paper_id)
+  where pub_year is not null group by pub_year, presence_breadth)
+select pub_year, case when presence_breadth = 1 then 'Single-disciplinary' else 'Interdisciplinary' end as research_type,
+  paper_count, cast(sum(paper_count) over (partition by pub_year) as bigint) as total_papers,
+  round(paper_count / sum(paper_count) over (partition by pub_year) * 100, 6) as percentage from grouped
+"""
+
+LITERAL = "concat('[''', array_to_string([d1, d2, d3][1:presence_breadth], ''', '''), ''']')"
+
+ORACLES["select_include"] = f"""
+with {ASSIGNED} select paper_id, {LITERAL} as present_disciplines from assigned
+where list_contains([d1, d2, d3][1:presence_breadth], 'label_3')
+"""
+
+ORACLES["select_only"] = f"""
+with {ASSIGNED} select paper_id, {LITERAL} as present_disciplines from assigned
+where presence_breadth = 1 and d1 = 'label_3'
+"""
+
+ORACLES["discipline_corpus"] = f"""
+with {ASSIGNED}, docs as (select doc_id as paper_id, length(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')) as n
+  from documents where doc_id in (select paper_id from exploded where discipline = 'label_3'))
+select paper_id, cast(n as integer) as n_chars from docs where n > 50 and (select count(*) from docs where n > 50) >= 20
+"""
+
+# ---- text -------------------------------------------------------------------------------------
+
+LAYOUT = f"{BOUND_L}(fig|table|eq|section){BOUND_R}"
+BLANKED = [
+    (r"\S+@\S+", " "), (r"http\S+|doi:\S+", " "), (r"\[\d+\]", " "),
+    (LAYOUT, r"\1 \3"), (LAYOUT, r"\1 \3"),  # twice: neighbouring hits share the separator between them
+    (r"[^a-z0-9_\s]", " "),
+    (r"\b(edu|cn|com|org|stanford|harvard|mit|turing|microsoft|google|deepmind|ibm)\b", " "),
+    (r"\s+", " "),
+]
+
+
+def cleaned(text: str) -> str:
+    text = f"lower(coalesce({text}, ''))"
+    for pattern, replacement in BLANKED:
+        text = f"regexp_replace({text}, '{pattern}', '{replacement}', 'g')"
+    return f"trim({text})"
+
+
+ORACLES["academic_clean"] = f"""
+with c as (select doc_id, {cleaned('text')} as cleaned from documents)
+select doc_id, cast(length(cleaned) as integer) as n_chars, md5(cleaned) as cleaned_md5 from c where length(cleaned) >= 50
+"""
+
+ORACLES["alpha_tokens"] = """
+with t as (select doc_id, regexp_extract_all(lower(text), '[a-z]+') as tokens from documents)
+select doc_id, cast(len(tokens) as integer) as n_tokens, md5(array_to_string(tokens, ' ')) as tokens_md5 from t
+"""

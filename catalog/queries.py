@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.fixtures import (
-    FIXTURE_MIN, FIXTURE_RATIO, FIXTURE_TIERS,
+    FIXTURE_MIN, FIXTURE_MINIMA, FIXTURE_RATIO, FIXTURE_RATIOS, FIXTURE_SWEEP, FIXTURE_TIERS,
     labelled_scores, papers, stand_in_score, table, topic_documents, vectors,
 )
 from papersieve.functions import text as tx
-from papersieve.operators import cleaning, metrics, screening
+from papersieve.operators import cleaning, disciplines, metrics, screening, trends
 from papersieve.operators.split import stratified_split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,10 +75,8 @@ def label_clean(spark, sf_dir):
 
 @query
 def doc_type_counts(spark, sf_dir):
-    from papersieve.operators.trends import value_counts
-
     typed = papers(spark, sf_dir).select(cleaning.normalize_doc_type(F.col("doc_type")).alias("doc_type"))
-    return value_counts(typed, "doc_type").select("doc_type", "count", F.round("share", 6).alias("share"))
+    return trends.value_counts(typed, "doc_type").select("doc_type", "count", F.round("share", 6).alias("share"))
 
 
 # ---- hybrid screening -------------------------------------------------------------------------
@@ -180,3 +178,148 @@ def validation_summary(spark, sf_dir):
     return metrics.validation_summary(labelled_scores(spark, sf_dir), "label", "score").select(
         "metric", *r6("value")
     )
+
+
+# ---- disciplines ------------------------------------------------------------------------------
+
+def scored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = vectors(spark, sf_dir)
+    return disciplines.add_anchor_scores(docs, disciplines.label_centroids(docs))
+
+
+def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disciplines.select_disciplines(
+        scored_vectors(spark, sf_dir), FIXTURE_RATIO, FIXTURE_MIN, FIXTURE_RATIO, FIXTURE_MIN
+    )
+
+
+def assigned_with_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    years = papers(spark, sf_dir).select("paper_id", tx.to_number(F.col("pub_year")).cast("int").alias("pub_year"))
+    return assigned(spark, sf_dir).select("paper_id", "present_disciplines", "presence_breadth").join(
+        years, "paper_id"
+    )
+
+
+@query
+def anchor_scores(spark, sf_dir):
+    return disciplines.anchor_scores(scored_vectors(spark, sf_dir)).withColumn("sim", F.round("sim", 6))
+
+
+@query
+def discipline_assign(spark, sf_dir):
+    return assigned(spark, sf_dir).select(
+        "paper_id", "presence_breadth", F.array_join("present_disciplines", "|").alias("present_disciplines")
+    )
+
+
+@query
+def breadth_stats(spark, sf_dir):
+    return disciplines.breadth_stats(assigned(spark, sf_dir)).withColumn("percentage", F.round("percentage", 6))
+
+
+@query
+def discipline_counts(spark, sf_dir):
+    return disciplines.discipline_counts(assigned(spark, sf_dir))
+
+
+@query
+def threshold_grid(spark, sf_dir):
+    grid = disciplines.threshold_grid(scored_vectors(spark, sf_dir), FIXTURE_RATIOS, FIXTURE_MINIMA)
+    return grid.select(
+        "ratio", "min", *r6("multi_rate", "single_rate", "top1_sim", "selected_sim", "entropy")
+    )
+
+
+@query
+def threshold_grid_default(spark, sf_dir):
+    grid = disciplines.threshold_grid(scored_vectors(spark, sf_dir))
+    return grid.select(*r6("ratio", "min", "multi_rate", "single_rate", "top1_sim", "selected_sim", "entropy"))
+
+
+@query
+def current_setting(spark, sf_dir):
+    grid = disciplines.threshold_grid(scored_vectors(spark, sf_dir))
+    return disciplines.current_setting(grid).select(
+        *r6("ratio", "min", "multi_rate", "single_rate", "top1_sim", "selected_sim", "entropy")
+    )
+
+
+@query
+def discipline_entropy(spark, sf_dir):
+    return disciplines.discipline_entropy(assigned(spark, sf_dir)).select(*r6("entropy"))
+
+
+@query
+def breadth_sweep(spark, sf_dir):
+    return disciplines.breadth_sweep(scored_vectors(spark, sf_dir), FIXTURE_SWEEP).select(
+        "threshold", "presence_breadth", *r6("share")
+    )
+
+
+@query
+def discipline_trends(spark, sf_dir):
+    return trends.discipline_trends(assigned_with_year(spark, sf_dir))
+
+
+@query
+def discipline_share(spark, sf_dir):
+    yearly = trends.discipline_trends(assigned_with_year(spark, sf_dir))
+    return trends.discipline_share(yearly).withColumn("percentage", F.round("percentage", 6))
+
+
+@query
+def research_type_trends(spark, sf_dir):
+    return trends.research_type_trends(assigned_with_year(spark, sf_dir)).withColumn(
+        "percentage", F.round("percentage", 6)
+    )
+
+
+def literal_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assignments as a file stores them: a list literal in single quotes."""
+    return assigned(spark, sf_dir).select(
+        "paper_id",
+        F.concat(F.lit("['"), F.array_join("present_disciplines", "', '"), F.lit("']")).alias("present_disciplines"),
+    )
+
+
+@query
+def select_include(spark, sf_dir):
+    return disciplines.select_by_discipline(
+        literal_assignments(spark, sf_dir), "Label_3", "include", is_literal=True
+    )
+
+
+@query
+def select_only(spark, sf_dir):
+    return disciplines.select_by_discipline(
+        literal_assignments(spark, sf_dir), "Label_3", "only", is_literal=True
+    )
+
+
+@query
+def discipline_corpus(spark, sf_dir):
+    chosen = disciplines.select_by_discipline(assigned(spark, sf_dir), "label_3").select("paper_id")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), "text")
+    return disciplines.discipline_corpus(docs.join(chosen, "paper_id", "left_semi")).select(
+        "paper_id", F.length("text").alias("n_chars")
+    )
+
+
+# ---- text -------------------------------------------------------------------------------------
+
+@query
+def academic_clean(spark, sf_dir):
+    cleaned = table(spark, sf_dir, "documents").select(
+        "doc_id", tx.clean_academic_text(F.col("text")).alias("cleaned")
+    )
+    return cleaned.filter(tx.long_enough(F.col("cleaned"))).select(
+        "doc_id", F.length("cleaned").alias("n_chars"), F.md5("cleaned").alias("cleaned_md5")
+    )
+
+
+@query
+def alpha_tokens(spark, sf_dir):
+    tokens = table(spark, sf_dir, "documents").select("doc_id", tx.tokenize_alpha(F.col("text")).alias("tokens"))
+    return tokens.select(
+        "doc_id", F.size("tokens").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5")
+    )

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import add
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -18,14 +19,8 @@ from pyspark.sql import Window
 from papersieve.session import as_threshold
 
 
-def linspace(start: float, stop: float, n: int) -> list[float]:
-    """n doubles from start to stop, both included, by the usual start + i*step rule."""
-    step = (stop - start) / (n - 1)
-    return [start + i * step for i in range(n - 1)] + [stop]
-
-
 # The search grid for the best threshold and what it falls back to.
-SEARCH_THRESHOLDS = tuple(linspace(0.2, 0.8, 61))
+SEARCH_THRESHOLDS = tuple(np.linspace(0.2, 0.8, 61).tolist())
 DEFAULT_THRESHOLD = 0.5
 
 
