@@ -29,6 +29,12 @@ FIXTURE_RATIOS = (0.75, 0.8, 0.85, 0.9, 0.95)
 FIXTURE_MINIMA = (0.0, 0.05, 0.1, 0.15, 0.2, 0.25)
 FIXTURE_SWEEP = tuple(i / 20 for i in range(20))
 
+# Frequent words of the test prose, in its four languages; the library default is English only.
+FIXTURE_STOP_WORDS = (
+    "the", "and", "of", "to", "in", "is", "it", "that", "de", "la", "le", "les", "des", "un", "une", "et",
+    "der", "die", "das", "und", "den", "ein", "el", "los", "las", "que", "en", "por",
+)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from catalog.fixtures import (
-    FIXTURE_MIN, FIXTURE_MINIMA, FIXTURE_RATIO, FIXTURE_RATIOS, FIXTURE_SWEEP, PAPERS_SQL,
+    FIXTURE_MIN, FIXTURE_MINIMA, FIXTURE_RATIO, FIXTURE_RATIOS, FIXTURE_STOP_WORDS, FIXTURE_SWEEP,
+    PAPERS_SQL,
 )
 from papersieve.operators.disciplines import GRID_MINIMA, GRID_RATIOS
 from papersieve.operators.metrics import SEARCH_THRESHOLDS
@@ -364,3 +365,173 @@ ORACLES["alpha_tokens"] = """
 with t as (select doc_id, regexp_extract_all(lower(text), '[a-z]+') as tokens from documents)
 select doc_id, cast(len(tokens) as integer) as n_tokens, md5(array_to_string(tokens, ' ')) as tokens_md5 from t
 """
+
+
+# ---- topics -----------------------------------------------------------------------------------
+
+STOP_LIST = ", ".join(f"'{w}'" for w in FIXTURE_STOP_WORDS)
+TOPIC_DOCS = """topic_docs as (select doc_id as paper_id, text, embedding, case label when 9 then -1 else label end as topic
+  from documents join embeddings on doc_id = vec_id)"""
+WORDS_OF_DOC = f"""{TOPIC_DOCS},
+doc_words as (select paper_id, topic, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'),
+    lambda w: w not in ({STOP_LIST})) as w from topic_docs)"""
+
+
+def counts_sql(name: str, docs: str, max_df: str) -> str:
+    """Uni-gram counts with a document-frequency bound and the 10,000 most frequent terms."""
+    return f"""{name}_raw as (select topic, term, count(*) as n from (select topic, unnest(w) as term from {docs}) group by topic, term),
+{name}_df as (select *, count(*) over (partition by term) as df from {name}_raw),
+{name}_in as (select * from {name}_df where df <= (select count(distinct topic) from {docs}) * {max_df}::double),
+{name}_top as (select term from (select term, sum(n) as total from {name}_in group by term) order by total desc, term limit 10000),
+{name} as (select topic, term, n from {name}_in where term in (select term from {name}_top))"""
+
+
+def weights_sql(name: str, counts: str, damped: bool = False) -> str:
+    share = "n / topic_total"
+    return f"""{name}_t as (select *, sum(n) over (partition by topic) as topic_total, sum(n) over (partition by term) as f from {counts}),
+{name} as (select topic, term, n, ln((select floor(sum(n) / count(distinct topic)) from {counts}) / f + 1) as idf,
+    {f'sqrt({share})' if damped else share} * ln((select floor(sum(n) / count(distinct topic)) from {counts}) / f + 1) as weight
+  from {name}_t)"""
+
+
+def words_sql(name: str, weights: str) -> str:
+    return f"""{name} as (select topic, cast(row_number() over (partition by topic order by weight desc, term) as integer) as rank, term, weight
+  from {weights} qualify rank <= 15)"""
+
+
+COUNTS = f"{WORDS_OF_DOC}, {counts_sql('counts', 'doc_words', '0.95')}"
+WEIGHTS = f"{COUNTS}, {weights_sql('weights', 'counts')}"
+TOP_WORDS = f"{WEIGHTS}, {words_sql('words', 'weights')}"
+NGRAMS = f"""{WORDS_OF_DOC}, grams as (
+  select topic, unnest(w) as term from doc_words
+  union all select topic, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from doc_words
+  union all select topic, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) from doc_words),
+gram_df as (select *, count(*) over (partition by term) as df from (select topic, term, count(*) as n from grams group by topic, term)),
+gram_counts as (select topic, term, n from gram_df
+  where df >= 2 and df <= (select count(distinct topic) from doc_words) * 0.9::double)"""
+
+ORACLES["term_counts"] = f"with {COUNTS} select topic, term, n from counts"
+ORACLES["term_counts_ngrams"] = f"with {NGRAMS} select topic, term, n from gram_counts"
+ORACLES["ctfidf"] = f"""
+with {WEIGHTS} select topic, term, n, round(idf, 6) as idf, round(weight, 6) as weight from weights
+"""
+ORACLES["ctfidf_damped"] = f"""
+with {NGRAMS}, {weights_sql('weights', 'gram_counts', damped=True)} select topic, term, round(weight, 6) as weight from weights
+"""
+ORACLES["topic_words"] = f"with {TOP_WORDS} select topic, rank, term, round(weight, 6) as weight from words"
+ORACLES["topic_info"] = f"""
+with {TOP_WORDS}, listed as (select topic, string_agg(term, ' ' order by rank) as words from words where rank <= 10 group by topic),
+sizes as (select topic, count(*) as size from topic_docs group by topic)
+select topic, size, coalesce(words, '') as words from sizes left join listed using (topic)
+"""
+ORACLES["topic_count"] = f"with {TOPIC_DOCS} select count(distinct topic) as n_topics from topic_docs where topic <> -1"
+ORACLES["representative_docs"] = f"""
+with {WORDS_OF_DOC}, all_counts as (select topic, term, count(*) as n from (select topic, unnest(w) as term from doc_words) group by topic, term),
+{weights_sql('weights', 'all_counts')},
+tf as (select paper_id, topic, term, count(*) as tf from (select paper_id, topic, unnest(w) as term from doc_words where topic <> -1)
+  group by paper_id, topic, term),
+close as (select paper_id, topic, sum(tf * idf * weight) / sqrt(sum(tf * idf * tf * idf)) as c from tf join weights using (topic, term)
+  group by paper_id, topic),
+lengths as (select topic, sqrt(sum(weight * weight)) as len from weights group by topic)
+select topic, cast(row_number() over (partition by topic order by round(c, 12) desc, paper_id) as integer) as rank, paper_id,
+  round(c / len, 6) as similarity from close join lengths using (topic) qualify rank <= 3
+"""
+
+OVERLAP = f"""{TOP_WORDS}, sets as (select topic, list(term) as s from words where rank <= 10 group by topic),
+overlap as (select a.topic as topic_i, b.topic as topic_j,
+    len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) as value from sets a, sets b)"""
+SIMILARITY = """cells as (select topic, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as dim from topic_docs),
+means as (select topic, list(x order by dim) as v from (select topic, dim, avg(x) as x from cells group by topic, dim) group by topic),
+similarity as (select a.topic as topic_i, b.topic as topic_j, list_cosine_similarity(a.v, b.v) as value from means a, means b)"""
+
+ORACLES["topic_overlap"] = f"with {OVERLAP} select topic_i, topic_j, round(value, 6) as value from overlap where value > 0"
+ORACLES["topic_overlap_matrix"] = f"""
+with {OVERLAP} select topic_i as topic, {", ".join(
+    f"round(max(value) filter (where topic_j = {t}), 6) as t{str(t).replace('-', '_')}" for t in range(-1, 9)
+)} from overlap group by topic_i
+"""
+ORACLES["topic_similarity"] = f"""
+with {TOPIC_DOCS}, {SIMILARITY} select topic_i, topic_j, round(value, 6) as value from similarity
+"""
+ORACLES["max_pairs"] = f"""
+with {OVERLAP}, {SIMILARITY},
+both_ as (select 'word_overlap' as matrix, * from overlap where value > 0 union all select 'semantic_similarity', * from similarity)
+select matrix, topic_i, topic_j, round(value, 6) as value from both_ where topic_i <> topic_j
+qualify row_number() over (partition by matrix order by round(value, 12) desc, topic_i, topic_j) = 1
+"""
+ORACLES["topic_diversity"] = f"""
+with {OVERLAP} select round(1 - avg(value), 6) as diversity from overlap where topic_i < topic_j and topic_i <> -1
+"""
+
+SPACE_TOKENS = f"""{TOPIC_DOCS}, token_docs as (select paper_id, tokens from (
+    select paper_id, regexp_extract_all({cleaned('text')}, '\\S+') as tokens from topic_docs) where len(tokens) > 10)"""
+LETTER_TOKENS = "token_docs as (select paper_id, regexp_extract_all(lower(text), '[a-z]+') as tokens from topic_docs)"
+DICTIONARY = """dictionary as (select term, count(*) as df from (select distinct paper_id, unnest(tokens) as term from token_docs)
+  group by term having count(*) >= 5 and count(*) <= (select count(*) from token_docs) * 0.5::double order by df desc, term limit 100000)"""
+
+ORACLES["dictionary_filter"] = f"with {SPACE_TOKENS}, {DICTIONARY} select term, df from dictionary"
+
+
+def npmi_sql(name: str, window: int, top_n: int, extra: str = "") -> str:
+    """Every window of every document, spelled out."""
+    return f"""{name}_words as (select topic, rank, term from words where rank <= {top_n} and topic <> -1 {extra}),
+{name}_occ as (select paper_id, topic, rank, pos, n from (
+    select paper_id, len(tokens) as n, unnest(tokens) as term, generate_subscripts(tokens, 1) - 1 as pos from token_docs)
+  join {name}_words using (term)),
+{name}_win as (select distinct paper_id, topic, rank,
+    unnest(range(greatest(pos - {window - 1}, 0), least(pos, greatest(n - {window}, 0)) + 1)) as start from {name}_occ),
+{name}_total as (select sum(greatest(len(tokens) - {window - 1}, 1))::double as total from token_docs),
+{name}_both as (select a.topic, a.rank as i, b.rank as j, count(*) as c from {name}_win a
+  join {name}_win b using (paper_id, topic, start) group by all),
+{name}_p as (select x.topic, x.rank as i, y.rank as j, coalesce(xy.c, 0) / total as pij, xx.c / total as pi, yy.c / total as pj
+  from {name}_words x join {name}_words y on x.topic = y.topic
+  left join {name}_both xy on xy.topic = x.topic and xy.i = x.rank and xy.j = y.rank
+  left join {name}_both xx on xx.topic = x.topic and xx.i = x.rank and xx.j = x.rank
+  left join {name}_both yy on yy.topic = x.topic and yy.i = y.rank and yy.j = y.rank, {name}_total),
+{name} as (select topic, i, j, coalesce(ln((pij + 1e-12) / (pi * pj)) / -ln(pij + 1e-12), 0) as npmi from {name}_p)"""
+
+
+def cv_sql(name: str, pairs: str) -> str:
+    return f"""{name}_s as (select *, sum(npmi) over (partition by topic, j) as total from {pairs}),
+{name}_w as (select topic, i, coalesce(sum(npmi * total) / nullif(sqrt(sum(npmi * npmi)) * sqrt(sum(total * total)), 0), 0) as c
+  from {name}_s group by topic, i),
+{name} as (select avg(c) as c_v, count(*) as topics from (select topic, avg(c) as c from {name}_w group by topic))"""
+
+
+NPMI = f"{TOP_WORDS}, {LETTER_TOKENS}, {npmi_sql('narrow', 10, 15)}"
+CV = f"{npmi_sql('wide', 110, 15)}, {cv_sql('cv', 'wide')}"
+MEAN_NPMI = "select avg(c) from (select topic, avg(npmi) as c from narrow where i <> j group by topic)"
+
+ORACLES["coherence_npmi"] = f"with {NPMI} select round(({MEAN_NPMI}), 6) as c_npmi"
+ORACLES["coherence_cv"] = f"with {TOP_WORDS}, {LETTER_TOKENS}, {CV} select round(c_v, 6) as c_v from cv"
+ORACLES["coherence_cv_dictionary"] = f"""
+with {SPACE_TOKENS}, {DICTIONARY}, {TOP_WORDS.removeprefix(TOPIC_DOCS + ',')},
+{npmi_sql('wide', 110, 10, 'and term in (select term from dictionary)')}, {cv_sql('cv', 'wide')}
+select case when topics >= 2 then round(c_v, 6) end as c_v from cv
+"""
+ORACLES["evaluation_table"] = f"""
+with {NPMI}, {CV}, sets as (select topic, list(term) as s from words where topic <> -1 group by topic),
+pairs as (select len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) as value
+  from sets a, sets b where a.topic < b.topic)
+select 'n_topics' as metric, count(distinct topic)::double as value from topic_docs where topic <> -1
+union all select 'c_npmi', round(({MEAN_NPMI}), 6)
+union all select 'c_v', round(c_v, 6) from cv
+union all select 'diversity', round(1 - avg(value), 6) from pairs
+"""
+
+
+def run_sql(run: int) -> str:
+    docs = f"run{run}_docs"
+    return f"""{docs} as (select paper_id, (paper_id * {run + 2} + topic + 7) % 7 as topic, w from doc_words),
+{counts_sql(f'run{run}_counts', docs, '0.95')}, {weights_sql(f'run{run}_weights', f'run{run}_counts')},
+{words_sql(f'run{run}_words', f'run{run}_weights')}"""
+
+
+ORACLES["topic_stability_given"] = f"""
+with {TOP_WORDS}, {", ".join(run_sql(r) for r in range(3))},
+run_sets as ({" union all ".join(f"select {r} as run, topic, list(term) as s from run{r}_words group by topic" for r in range(3))}),
+base_sets as (select topic, list(term) as s from words where topic <> -1 group by topic),
+best as (select b.topic, r.run, max(len(list_intersect(b.s, r.s)) / len(list_distinct(list_concat(b.s, r.s)))) as j
+  from base_sets b, run_sets r group by b.topic, r.run)
+select topic, round(sum(j) / 3, 6) as stability_jaccard from best group by topic
+"""

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.fixtures import (
-    FIXTURE_MIN, FIXTURE_MINIMA, FIXTURE_RATIO, FIXTURE_RATIOS, FIXTURE_SWEEP, FIXTURE_TIERS,
+    FIXTURE_MIN, FIXTURE_MINIMA, FIXTURE_RATIO, FIXTURE_RATIOS, FIXTURE_STOP_WORDS,
+    FIXTURE_SWEEP, FIXTURE_TIERS,
     labelled_scores, papers, stand_in_score, table, topic_documents, vectors,
 )
 from papersieve.functions import text as tx
-from papersieve.operators import cleaning, disciplines, metrics, screening, trends
+from papersieve.operators import cleaning, disciplines, metrics, screening, terms, topic_eval, trends
 from papersieve.operators.split import stratified_split
+from papersieve.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -323,3 +325,168 @@ def alpha_tokens(spark, sf_dir):
     return tokens.select(
         "doc_id", F.size("tokens").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5")
     )
+
+
+# ---- topics -----------------------------------------------------------------------------------
+
+STOP = {"stop_words": FIXTURE_STOP_WORDS}
+
+
+def unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.term_counts(
+        topic_documents(spark, sf_dir), max_df=0.95, max_features=10_000, **STOP
+    )
+
+
+def fixture_words(spark: SparkSession, sf_dir: str, top_n: int = 15) -> DataFrame:
+    return terms.topic_words(terms.ctfidf(unigram_counts(spark, sf_dir)), top_n)
+
+
+@query
+def term_counts(spark, sf_dir):
+    return unigram_counts(spark, sf_dir)
+
+
+@query
+def term_counts_ngrams(spark, sf_dir):
+    return terms.term_counts(
+        topic_documents(spark, sf_dir), ngram_range=(1, 3), min_df=2, max_df=0.9, **STOP
+    )
+
+
+@query
+def ctfidf(spark, sf_dir):
+    return terms.ctfidf(unigram_counts(spark, sf_dir)).select("topic", "term", "n", *r6("idf", "weight"))
+
+
+@query
+def ctfidf_damped(spark, sf_dir):
+    counts = terms.term_counts(
+        topic_documents(spark, sf_dir), ngram_range=(1, 3), min_df=2, max_df=0.9, **STOP
+    )
+    return terms.ctfidf(counts, reduce_frequent_words=True).select("topic", "term", *r6("weight"))
+
+
+@query
+def topic_words(spark, sf_dir):
+    return fixture_words(spark, sf_dir).select("topic", "rank", "term", *r6("weight"))
+
+
+@query
+def topic_info(spark, sf_dir):
+    info = terms.topic_info(topic_documents(spark, sf_dir), fixture_words(spark, sf_dir, 10))
+    return info.select("topic", "size", F.array_join("words", " ").alias("words"))
+
+
+@query
+def topic_count(spark, sf_dir):
+    return topic_eval.topic_count(topic_documents(spark, sf_dir))
+
+
+@query
+def representative_docs(spark, sf_dir):
+    weights = terms.ctfidf(terms.term_counts(topic_documents(spark, sf_dir), **STOP))
+    return terms.representative_docs(topic_documents(spark, sf_dir), weights, **STOP).select(
+        "topic", "rank", "paper_id", *r6("similarity")
+    )
+
+
+@query
+def topic_overlap(spark, sf_dir):
+    return topic_eval.topic_overlap(fixture_words(spark, sf_dir)).select("topic_i", "topic_j", *r6("value"))
+
+
+@query
+def topic_overlap_matrix(spark, sf_dir):
+    overlap = topic_eval.topic_overlap(fixture_words(spark, sf_dir))
+    wide = sinks.matrix(overlap, [-1, *range(9)])
+    return wide.select(
+        "topic", *[F.round(c, 6).alias(f"t{c}".replace("-", "_")) for c in wide.columns if c != "topic"]
+    )
+
+
+@query
+def topic_similarity(spark, sf_dir):
+    return topic_eval.topic_similarity(topic_documents(spark, sf_dir)).select(
+        "topic_i", "topic_j", *r6("value")
+    )
+
+
+@query
+def max_pairs(spark, sf_dir):
+    overlap = topic_eval.max_pair(topic_eval.topic_overlap(fixture_words(spark, sf_dir)))
+    similar = topic_eval.max_pair(topic_eval.topic_similarity(topic_documents(spark, sf_dir)))
+    return overlap.withColumn("matrix", F.lit("word_overlap")).unionByName(
+        similar.withColumn("matrix", F.lit("semantic_similarity"))
+    ).select("matrix", "topic_i", "topic_j", *r6("value"))
+
+
+@query
+def topic_diversity(spark, sf_dir):
+    return topic_eval.topic_diversity(fixture_words(spark, sf_dir)).select(*r6("diversity"))
+
+
+def space_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole-corpus evaluation input: cleaned texts of more than ten tokens."""
+    docs = topic_documents(spark, sf_dir).select(
+        "paper_id", tx.tokenize_space(tx.clean_academic_text(F.col("text"))).alias("tokens")
+    )
+    return docs.filter(F.size("tokens") > 10)
+
+
+def letter_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topic_documents(spark, sf_dir).select("paper_id", tx.tokenize_alpha(F.col("text")).alias("tokens"))
+
+
+@query
+def dictionary_filter(spark, sf_dir):
+    return topic_eval.dictionary_filter(space_tokens(spark, sf_dir))
+
+
+@query
+def coherence_npmi(spark, sf_dir):
+    return topic_eval.coherence_npmi(letter_tokens(spark, sf_dir), fixture_words(spark, sf_dir)).select(
+        *r6("c_npmi")
+    )
+
+
+@query
+def coherence_cv(spark, sf_dir):
+    return topic_eval.coherence_cv(letter_tokens(spark, sf_dir), fixture_words(spark, sf_dir)).select(*r6("c_v"))
+
+
+@query
+def coherence_cv_dictionary(spark, sf_dir):
+    docs = space_tokens(spark, sf_dir)
+    return topic_eval.coherence_cv(
+        docs, fixture_words(spark, sf_dir), top_n=10, min_topics=2,
+        dictionary=topic_eval.dictionary_filter(docs),
+    ).select(*r6("c_v"))
+
+
+@query
+def evaluation_table(spark, sf_dir):
+    docs, words = letter_tokens(spark, sf_dir), fixture_words(spark, sf_dir)
+    return topic_eval.evaluation_table(
+        n_topics=topic_eval.topic_count(topic_documents(spark, sf_dir)),
+        c_npmi=topic_eval.coherence_npmi(docs, words),
+        c_v=topic_eval.coherence_cv(docs, words),
+        diversity=topic_eval.topic_diversity(words, 15, on_empty=1.0),
+    ).select("metric", *r6("value"))
+
+
+@query
+def topic_stability_given(spark, sf_dir):
+    """Stability against three given re-labellings of the same documents."""
+    base = fixture_words(spark, sf_dir)
+    docs = topic_documents(spark, sf_dir)
+    runs = [
+        terms.topic_words(terms.ctfidf(terms.term_counts(
+            docs.withColumn("topic", F.pmod(F.col("paper_id") * (run + 2) + F.col("topic"), F.lit(7))),
+            max_df=0.95, max_features=10_000, **STOP,
+        ))).withColumn("run", F.lit(run))
+        for run in range(3)
+    ]
+    return topic_eval.topic_stability(base, runs[0].unionByName(runs[1]).unionByName(runs[2])).select(
+        "topic", *r6("stability_jaccard")
+    )
