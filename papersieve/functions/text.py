@@ -89,16 +89,18 @@ def remove_words(tokens: Column, words: Sequence[str]) -> Column:
 
 
 def ngrams(tokens: Column, n_min: int = 1, n_max: int = 1) -> Column:
-    """All n-grams of n_min..n_max tokens, space-joined, within one document."""
-    parts = []
-    for n in range(n_min, n_max + 1):
-        if n == 1:
-            parts.append(tokens)
-            continue
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(
-            F.array().cast("array<int>")
-        )
-        parts.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(tokens, i, n), " ")))
+    """All n-grams of n_min..n_max tokens, space-joined, within one document.
+
+    Longer n-grams extend shorter ones by zipping with the shifted tokens; ``tokens`` must not appear
+    inside a lambda, where Spark would evaluate it again for every element.
+    """
+    grams, parts = tokens, []
+    for n in range(1, n_max + 1):
+        if n > 1:
+            shifted = F.slice(tokens, n, F.size(tokens))
+            grams = F.zip_with(grams, shifted, lambda a, b: F.concat(a, F.lit(" "), b))
+        if n >= n_min:
+            parts.append(grams if n == 1 else F.filter(grams, lambda g: g.isNotNull()))
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 

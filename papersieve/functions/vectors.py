@@ -24,10 +24,10 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
     return F.when(scale > 0, dot(a, b) / scale).otherwise(F.lit(0.0))
 
 
-def l2_normalize(a: Column, length: Column | None = None) -> Column:
-    """Unit vector; the zero vector stays zero."""
-    n = norm(a) if length is None else length
-    return F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a)
+def l2_normalize(a: Column, length: Column) -> Column:
+    """Unit vector; the zero vector stays zero. ``length`` must be a stored column, not an expression
+    over ``a``, or Spark would evaluate it again for every element."""
+    return F.when(length > 0, F.transform(a, lambda x: x / length)).otherwise(a)
 
 
 def jaccard(a: Column, b: Column) -> Column:
