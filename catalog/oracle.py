@@ -9,6 +9,7 @@ from catalog.fixtures import (
 from papersieve.operators.disciplines import GRID_MINIMA, GRID_RATIOS
 from papersieve.operators.metrics import SEARCH_THRESHOLDS
 from papersieve.operators.screening import SENSITIVITY_THRESHOLDS
+from papersieve.sources.anchors import DISCIPLINES
 
 ORACLES: dict[str, str] = {}
 
@@ -535,3 +536,73 @@ best as (select b.topic, r.run, max(len(list_intersect(b.s, r.s)) / len(list_dis
   from base_sets b, run_sets r group by b.topic, r.run)
 select topic, round(sum(j) / 3, 6) as stability_jaccard from best group by topic
 """
+
+
+# ---- embeddings -------------------------------------------------------------------------------
+
+def hashed_sql(name: str, tf: str, df: str, n_docs: str, dim: int) -> str:
+    """Signed hashed TF-IDF cells of unit length."""
+    return f"""{name}_w as (select id, cast(concat('0x', substr(md5(token), 1, 8)) as bigint) % {dim} as bucket,
+    case when substr(md5(token), 9, 1) in ('1','3','5','7','9','b','d','f') then -1 else 1 end
+      * tf * ln(({n_docs} + 1) / (coalesce(df, 0) + 1)) as w from {tf} left join {df} using (token)),
+{name}_b as (select id, bucket, sum(w) as w from {name}_w group by id, bucket),
+{name} as (select id, bucket, w / nullif(sqrt(sum(w * w) over (partition by id)), 0) as value from {name}_b)"""
+
+
+TOKEN_CLASS = r"[\p{L}\p{N}_]{2,}"
+ORACLES["embed_documents"] = f"""
+with tf as (select id, token, count(*) as tf from (
+    select doc_id as id, unnest(regexp_extract_all(lower(text), '{TOKEN_CLASS}')) as token from documents) group by id, token),
+df as (select token, count(*) as df from tf group by token),
+{hashed_sql('v', 'tf', 'df', '(select count(*) from documents)', 64)}
+select id as paper_id, cast(bucket as integer) as bucket, round(cast(cast(value as float) as double), 5) as value
+from v where round(cast(cast(value as float) as double), 5) <> 0
+"""
+
+
+def anchor_values() -> str:
+    rows = [
+        f"({i}, '{name}', '{', '.join(fields)}')" for i, (name, fields) in enumerate(DISCIPLINES.items())
+    ]
+    return ", ".join(rows)
+
+
+ORACLES["anchor_text_scores"] = f"""
+with papers as ({PAPERS}), anchors(ordinal, discipline, text) as (values {anchor_values()}),
+texts as (select paper_id as id, concat(coalesce(title, ''), '. ', coalesce(abstract, '')) as text from papers),
+tf as (select id, token, count(*) as tf from (
+    select id, unnest(regexp_extract_all(lower(text), '{TOKEN_CLASS}')) as token from texts) group by id, token),
+df as (select token, count(*) as df from tf group by token),
+anchor_tf as (select id, token, count(*) as tf from (
+    select ordinal as id, unnest(regexp_extract_all(lower(text), '{TOKEN_CLASS}')) as token from anchors) group by id, token),
+{hashed_sql('v', 'tf', 'df', '(select count(*) from texts)', 256)},
+{hashed_sql('a', 'anchor_tf', 'df', '(select count(*) from texts)', 256)},
+v32 as (select id, bucket, cast(cast(value as float) as double) as x from v),
+a32 as (select id, bucket, cast(cast(value as float) as double) as x from a),
+v_len as (select id, sqrt(sum(x * x)) as len from v32 group by id), a_len as (select id, sqrt(sum(x * x)) as len from a32 group by id),
+raw as (select v32.id as paper_id, a32.id as ordinal, sum(v32.x * a32.x) as dot from v32 join a32 using (bucket) group by all),
+dots as (select paper_id, ordinal, dot / (v_len.len * a_len.len) as sim from raw
+  join v_len on v_len.id = paper_id join a_len on a_len.id = ordinal)
+select t.id as paper_id, n.ordinal, n.discipline, round(coalesce(d.sim, 0), 6) as sim
+from texts t cross join anchors n left join dots d on d.paper_id = t.id and d.ordinal = n.ordinal
+"""
+
+ORACLES["embed_with"] = """
+select doc_id as paper_id, cast(length(text) as integer) as n_chars,
+  cast(length(text) - length(replace(text, ' ', '')) as integer) as n_blanks from documents
+"""
+
+ORACLES["merge_topics"] = f"""
+with recursive {TOPIC_DOCS}, {SIMILARITY},
+edges as (select topic_i as a, topic_j as b from similarity where topic_i <> -1 and topic_j <> -1 and (value >= 0.2 or topic_i = topic_j)),
+reach(a, b) as (select a, b from edges union select reach.a, edges.b from reach join edges on reach.b = edges.a)
+select a as topic, min(b) as topic_merged from reach group by a
+union all select -1, -1
+"""
+
+ORACLES["yearly_corpus"] = f"""
+with papers as ({PAPERS}), c as (
+  select try_cast(pub_year as integer) as pub_year, paper_id, {cleaned('abstract')} as text from papers)
+select pub_year, paper_id, cast(length(text) as integer) as n_chars, md5(text) as text_md5
+from c where pub_year is not null and length(text) >= 50
+"""

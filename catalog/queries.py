@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +15,15 @@ from catalog.fixtures import (
     labelled_scores, papers, stand_in_score, table, topic_documents, vectors,
 )
 from papersieve.functions import text as tx
-from papersieve.operators import cleaning, disciplines, metrics, screening, terms, topic_eval, trends
+from papersieve.operators import (
+    cleaning, clustering, disciplines, embedding, metrics, model, screening, terms, topic_eval, trends,
+)
 from papersieve.operators.split import stratified_split
+from papersieve.plans import discipline_flow, topic_flow
+from papersieve.session import materialize, shared_dir
 from papersieve.sources import sinks
+from papersieve.sources.anchors import anchors_df
+from papersieve.sources.papers import read_yearly
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -490,3 +498,129 @@ def topic_stability_given(spark, sf_dir):
     return topic_eval.topic_stability(base, runs[0].unionByName(runs[1]).unionByName(runs[2])).select(
         "topic", *r6("stability_jaccard")
     )
+
+
+# ---- embeddings and models --------------------------------------------------------------------
+
+def text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), "text")
+
+
+@query
+def embed_documents(spark, sf_dir):
+    vectors = embedding.embed_documents(text_documents(spark, sf_dir), dim=64)
+    cells = vectors.select("paper_id", F.posexplode("embedding").alias("bucket", "value"))
+    return cells.withColumn("value", F.round(F.col("value").cast("double"), 5)).filter("value <> 0")
+
+
+@query
+def anchor_text_scores(spark, sf_dir):
+    """The nine-discipline taxonomy scored against the documents through hashed TF-IDF."""
+    docs, anchors = discipline_flow.embed_with_anchors(papers(spark, sf_dir), anchors_df(spark))
+    scored = disciplines.add_anchor_scores(docs, materialize(anchors))
+    return disciplines.anchor_scores(scored).withColumn("sim", F.round("sim", 6))
+
+
+def text_shape():
+    """A stand-in model: number of characters and of blanks."""
+    def predict(texts):
+        return np.array([[len(t), t.count(" ")] for t in texts.ravel()], dtype="float32")
+
+    return predict
+
+
+@query
+def embed_with(spark, sf_dir):
+    encoded = embedding.embed_with(text_documents(spark, sf_dir), text_shape)
+    return encoded.select(
+        "paper_id", F.get("embedding", F.lit(0)).cast("int").alias("n_chars"),
+        F.get("embedding", F.lit(1)).cast("int").alias("n_blanks"),
+    )
+
+
+def prepared_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.reduce_dims(topic_documents(spark, sf_dir).drop("topic"))
+
+
+@query
+def reduce_dims(spark, sf_dir):
+    return prepared_vectors(spark, sf_dir).select("paper_id", F.posexplode("reduced").alias("component", "value"))
+
+
+@query
+def screen_model(spark, sf_dir):
+    """Boosted trees on the given vectors with ``quality`` as label; 10 trees keep the check short."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("paper_id"), F.col("quality").alias("label"))
+    rows = stratified_split(vectors(spark, sf_dir).drop("label").join(labels, "paper_id"))
+    fitted = model.train_screener(rows.filter("not is_validation"), n_trees=10)
+    return model.score_screener(fitted, rows.filter("is_validation")).select("paper_id", "label", "model_score")
+
+
+@query
+def cluster_topics(spark, sf_dir):
+    prepared = materialize(prepared_vectors(spark, sf_dir).select("paper_id", "reduced"))
+    return clustering.cluster_documents(prepared, "density", min_size=5, min_samples=2)
+
+
+@query
+def cluster_topics_bisecting(spark, sf_dir):
+    prepared = materialize(prepared_vectors(spark, sf_dir).select("paper_id", "reduced"))
+    return clustering.cluster_documents(
+        prepared, "bisecting", k=20, min_size=clustering.min_cluster_size(prepared)
+    )
+
+
+@query
+def merge_topics(spark, sf_dir):
+    return clustering.merge_topics(topic_documents(spark, sf_dir), tau=0.2)
+
+
+FIXTURE_TOPICS = topic_flow.TopicSettings(
+    method="bisecting", min_size=5, ngram_range=(1, 1), min_df=1, max_df=0.95, max_features=10_000,
+    reduce_frequent_words=False, stop_words=FIXTURE_STOP_WORDS, cluster_options=(("k", 8),),
+)
+
+
+def text_model(spark: SparkSession, sf_dir: str) -> topic_flow.TopicModel:
+    """Topic model of the documents from their own text."""
+    docs = discipline_docs(spark, sf_dir).select("paper_id", "text")
+    return topic_flow.fit_topics(topic_flow.prepare(docs, FIXTURE_TOPICS), FIXTURE_TOPICS)
+
+
+def discipline_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_documents(spark, sf_dir).join(
+        assigned(spark, sf_dir).select("paper_id", "present_disciplines"), "paper_id"
+    )
+
+
+@query
+def keyword_views(spark, sf_dir):
+    return topic_flow.keyword_views(text_model(spark, sf_dir))
+
+
+@query
+def topic_stability(spark, sf_dir):
+    return topic_flow.stability(text_model(spark, sf_dir))
+
+
+@query
+def compare_modes(spark, sf_dir):
+    models = topic_flow.discipline_models(discipline_docs(spark, sf_dir), "label_3", FIXTURE_TOPICS)
+    return topic_flow.compare_modes(models)
+
+
+# ---- sources and sinks ------------------------------------------------------------------------
+
+@query
+def yearly_corpus(spark, sf_dir):
+    """Papers written as one CSV folder per year, read back, cleaned and filtered by length."""
+    base = f"{shared_dir(spark)}/papersieve-yearly/{uuid.uuid4().hex}"
+    dated = papers(spark, sf_dir).select(
+        "paper_id", F.col("abstract").alias("Full Text"),
+        tx.to_number(F.col("pub_year")).cast("int").alias("year"),
+    ).filter("year is not null")
+    folder = dated.withColumn("year", F.col("year").cast("string"))
+    sinks.write_yearly(folder, base, "year", "csv")
+    docs = read_yearly(spark, base, "csv").select("pub_year", F.col("paper_id").cast("bigint").alias("paper_id"), "text")
+    cleaned = docs.withColumn("text", tx.clean_academic_text(F.col("text"))).filter(tx.long_enough(F.col("text")))
+    return cleaned.select("pub_year", "paper_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))

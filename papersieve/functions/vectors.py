@@ -25,9 +25,13 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
 
 
 def l2_normalize(a: Column, length: Column) -> Column:
-    """Unit vector; the zero vector stays zero. ``length`` must be a stored column, not an expression
-    over ``a``, or Spark would evaluate it again for every element."""
-    return F.when(length > 0, F.transform(a, lambda x: x / length)).otherwise(a)
+    """Unit vector; the zero vector stays zero.
+
+    The length goes in as a zipped array: an outer expression used inside a lambda may be evaluated
+    again for every element.
+    """
+    scale = F.array_repeat(F.when(length > 0, length).otherwise(1.0), F.size(a))
+    return F.zip_with(a, scale, lambda x, n: x / n)
 
 
 def jaccard(a: Column, b: Column) -> Column:

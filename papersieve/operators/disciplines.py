@@ -64,10 +64,16 @@ def add_anchor_scores(docs: DataFrame, anchors: DataFrame, vector: str = "embedd
             F.count("*") > MAX_ANCHORS, F.raise_error(F.lit(f"more than {MAX_ANCHORS} anchors"))
         ).otherwise(F.collect_list(entry)).alias("anchors")
     )
-    ranked = F.array_sort(F.transform("_anchors", lambda a: F.struct(
-        (-cosine(F.col("_v"), a["v"], F.col("_norm"), a["norm"])).alias("neg"),
-        a["ordinal"].alias("ordinal"), a["discipline"].alias("discipline"),
-    )))
+    # the paper's vector is zipped to the anchors: an outer expression used inside a lambda may be
+    # evaluated again for every element
+    paper = F.struct(F.col("_v").alias("v"), F.col("_norm").alias("norm"))
+    ranked = F.array_sort(F.zip_with(
+        "_anchors", F.array_repeat(paper, F.size("_anchors")),
+        lambda a, p: F.struct(
+            (-cosine(p["v"], a["v"], p["norm"], a["norm"])).alias("neg"),
+            a["ordinal"].alias("ordinal"), a["discipline"].alias("discipline"),
+        ),
+    ))
     return (
         docs.withColumn("_v", as_double(F.col(vector)))
         .withColumn("_norm", norm(F.col("_v")))

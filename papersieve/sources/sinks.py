@@ -10,9 +10,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TEXT_FORMATS = ("csv", "json")
-
-
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> None:
     """One result as one dataset, replacing what was there. CSV gets a header and no index."""
     writer = df.write.mode("overwrite").format(fmt)
@@ -32,6 +29,22 @@ def write_removed(annotated: DataFrame, path: str, fmt: str = "parquet") -> bool
     return True
 
 
+def write_yearly(df: DataFrame, base: str, year: str = "pub_year", fmt: str = "parquet") -> None:
+    """One folder ``base/<year>`` per year, the layout ``read_yearly`` expects; NULL years are left out.
+
+    One job partitions the rows by year; the folders are then renamed, which moves no data.
+    """
+    dated = df.filter(F.col(year).isNotNull()).withColumn("_folder", F.col(year).cast("string")).drop(year)
+    write_table(dated, base, fmt, partition_by=["_folder"])
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path
+    fs = path(base).getFileSystem(sc._jsc.hadoopConfiguration())
+    for status in fs.listStatus(path(base)):
+        name = status.getPath().getName()
+        if name.startswith("_folder="):
+            fs.rename(status.getPath(), path(f"{base}/{name.removeprefix('_folder=')}"))
+
+
 def write_report(tables: Mapping[str, DataFrame], path: str, fmt: str = "parquet") -> None:
     """Several named tables under one report folder."""
     for name, df in tables.items():
