@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papersieve.sources.papers import spread
+
 # One SQL text for both engines: documents read as a bibliographic export.
 PAPERS_SQL = """
 select doc_id as paper_id,
@@ -40,8 +42,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(PAPERS_SQL.format(documents="{documents}"), documents=table(spark, sf_dir, "documents"))
+    return spark.sql(PAPERS_SQL.format(documents="{documents}"), documents=documents(spark, sf_dir))
 
 
 def stand_in_score(id_col: str = "doc_id"):
@@ -69,7 +75,7 @@ def topic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a given topic; label 9 plays the outliers."""
     topic = F.when(F.col("label") == 9, -1).otherwise(F.col("label")).alias("topic")
     return (
-        table(spark, sf_dir, "documents")
+        documents(spark, sf_dir)
         .select(F.col("doc_id").alias("paper_id"), "text")
         .join(vectors(spark, sf_dir).select("paper_id", "embedding", topic), "paper_id")
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from catalog.fixtures import (
     FIXTURE_MIN, FIXTURE_MINIMA, FIXTURE_RATIO, FIXTURE_RATIOS, FIXTURE_STOP_WORDS,
     FIXTURE_SWEEP, FIXTURE_TIERS,
-    labelled_scores, papers, stand_in_score, table, topic_documents, vectors,
+    documents, labelled_scores, papers, stand_in_score, table, topic_documents, vectors,
 )
 from papersieve.functions import text as tx
 from papersieve.operators import (
@@ -20,7 +20,7 @@ from papersieve.operators import (
 )
 from papersieve.operators.split import stratified_split
 from papersieve.plans import discipline_flow, topic_flow
-from papersieve.session import materialize, shared_dir
+from papersieve.session import materialize, shared_dir, with_computed
 from papersieve.sources import sinks
 from papersieve.sources.anchors import anchors_df
 from papersieve.sources.papers import read_yearly
@@ -100,7 +100,7 @@ def scored_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def keyword_scores(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return docs.select(
         "doc_id", screening.keyword_score(F.col("text")).alias("keyword_score"),
         screening.keyword_score(F.col("text"), FIXTURE_TIERS).alias("fixture_score"),
@@ -309,7 +309,7 @@ def select_only(spark, sf_dir):
 @query
 def discipline_corpus(spark, sf_dir):
     chosen = disciplines.select_by_discipline(assigned(spark, sf_dir), "label_3").select("paper_id")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), "text")
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("paper_id"), "text")
     return disciplines.discipline_corpus(docs.join(chosen, "paper_id", "left_semi")).select(
         "paper_id", F.length("text").alias("n_chars")
     )
@@ -319,17 +319,14 @@ def discipline_corpus(spark, sf_dir):
 
 @query
 def academic_clean(spark, sf_dir):
-    cleaned = table(spark, sf_dir, "documents").select(
-        "doc_id", tx.clean_academic_text(F.col("text")).alias("cleaned")
-    )
-    return cleaned.filter(tx.long_enough(F.col("cleaned"))).select(
-        "doc_id", F.length("cleaned").alias("n_chars"), F.md5("cleaned").alias("cleaned_md5")
+    return topic_flow.corpus_documents(text_documents(spark, sf_dir)).select(
+        F.col("paper_id").alias("doc_id"), F.length("text").alias("n_chars"), F.md5("text").alias("cleaned_md5")
     )
 
 
 @query
 def alpha_tokens(spark, sf_dir):
-    tokens = table(spark, sf_dir, "documents").select("doc_id", tx.tokenize_alpha(F.col("text")).alias("tokens"))
+    tokens = documents(spark, sf_dir).select("doc_id", tx.tokenize_alpha(F.col("text")).alias("tokens"))
     return tokens.select(
         "doc_id", F.size("tokens").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("tokens_md5")
     )
@@ -347,7 +344,8 @@ def unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fixture_words(spark: SparkSession, sf_dir: str, top_n: int = 15) -> DataFrame:
-    return terms.topic_words(terms.ctfidf(unigram_counts(spark, sf_dir)), top_n)
+    """Top words; the term counts are read several times and so are stored once."""
+    return terms.topic_words(terms.ctfidf(materialize(unigram_counts(spark, sf_dir))), top_n)
 
 
 @query
@@ -364,7 +362,8 @@ def term_counts_ngrams(spark, sf_dir):
 
 @query
 def ctfidf(spark, sf_dir):
-    return terms.ctfidf(unigram_counts(spark, sf_dir)).select("topic", "term", "n", *r6("idf", "weight"))
+    counts = materialize(unigram_counts(spark, sf_dir))
+    return terms.ctfidf(counts).select("topic", "term", "n", *r6("idf", "weight"))
 
 
 @query
@@ -372,7 +371,7 @@ def ctfidf_damped(spark, sf_dir):
     counts = terms.term_counts(
         topic_documents(spark, sf_dir), ngram_range=(1, 3), min_df=2, max_df=0.9, **STOP
     )
-    return terms.ctfidf(counts, reduce_frequent_words=True).select("topic", "term", *r6("weight"))
+    return terms.ctfidf(materialize(counts), reduce_frequent_words=True).select("topic", "term", *r6("weight"))
 
 
 @query
@@ -393,7 +392,7 @@ def topic_count(spark, sf_dir):
 
 @query
 def representative_docs(spark, sf_dir):
-    weights = terms.ctfidf(terms.term_counts(topic_documents(spark, sf_dir), **STOP))
+    weights = terms.ctfidf(materialize(terms.term_counts(topic_documents(spark, sf_dir), **STOP)))
     return terms.representative_docs(topic_documents(spark, sf_dir), weights, **STOP).select(
         "topic", "rank", "paper_id", *r6("similarity")
     )
@@ -436,10 +435,10 @@ def topic_diversity(spark, sf_dir):
 
 def space_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole-corpus evaluation input: cleaned texts of more than ten tokens."""
-    docs = topic_documents(spark, sf_dir).select(
-        "paper_id", tx.tokenize_space(tx.clean_academic_text(F.col("text"))).alias("tokens")
+    cleaned = with_computed(
+        topic_documents(spark, sf_dir).select("paper_id", "text"), "text", tx.clean_academic_text(F.col("text"))
     )
-    return docs.filter(F.size("tokens") > 10)
+    return topic_flow.evaluation_tokens(cleaned)
 
 
 def letter_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -503,7 +502,7 @@ def topic_stability_given(spark, sf_dir):
 # ---- embeddings and models --------------------------------------------------------------------
 
 def text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), "text")
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("paper_id"), "text")
 
 
 @query
@@ -622,5 +621,5 @@ def yearly_corpus(spark, sf_dir):
     folder = dated.withColumn("year", F.col("year").cast("string"))
     sinks.write_yearly(folder, base, "year", "csv")
     docs = read_yearly(spark, base, "csv").select("pub_year", F.col("paper_id").cast("bigint").alias("paper_id"), "text")
-    cleaned = docs.withColumn("text", tx.clean_academic_text(F.col("text"))).filter(tx.long_enough(F.col("text")))
+    cleaned = with_computed(docs, "text", tx.clean_academic_text(F.col("text"))).filter(tx.long_enough(F.col("text")))
     return cleaned.select("pub_year", "paper_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))

@@ -50,15 +50,19 @@ def clean_academic_text(
     domain_words: Sequence[str] = DOMAIN_WORDS,
     layout_words: Sequence[str] = LAYOUT_WORDS,
 ) -> Column:
-    """Lower-case text without e-mails, links, citation marks, layout words, punctuation, domain words."""
+    """Lower-case text without e-mails, links, citation marks, layout words, punctuation, domain words.
+
+    Layout words go while letters outside a-z still count as letters; domain words go afterwards.
+    Punctuation and white space become one blank in the same pass.
+    """
     c = F.lower(F.coalesce(c, F.lit("")))
-    c = F.regexp_replace(c, r"(?U)\S+@\S+", " ")
+    c = F.regexp_replace(c, r"(?U)(?<!\S)\S+@\S+", " ")
     c = F.regexp_replace(c, r"(?U)http\S+|doi:\S+", " ")
     c = F.regexp_replace(c, r"(?U)\[\d+\]", " ")
     c = F.regexp_replace(c, r"(?U)\b(?:" + "|".join(layout_words) + r")\b", " ")
-    c = F.regexp_replace(c, r"(?U)[^a-z0-9_\s]", " ")
-    c = F.regexp_replace(c, r"(?U)\b(?:" + "|".join(domain_words) + r")\b", " ")
-    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
+    c = F.regexp_replace(c, r"[^a-z0-9_]+", " ")
+    c = F.regexp_replace(c, r"\b(?:" + "|".join(domain_words) + r")\b", " ")
+    return F.trim(F.regexp_replace(c, r" {2,}", " "))
 
 
 def long_enough(c: Column, min_chars: int = 50, inclusive: bool = True) -> Column:

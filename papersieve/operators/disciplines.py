@@ -22,6 +22,7 @@ from pyspark.sql import Window
 
 from papersieve.functions.text import long_enough, parse_list_column, strip
 from papersieve.functions.vectors import as_double, cosine, norm
+from papersieve.session import with_computed
 
 # Relative and absolute bound of the second and third discipline.
 RATIO, MINIMUM = 0.95, 0.80
@@ -311,6 +312,8 @@ def select_by_discipline(df: DataFrame, target: str, mode: str = "include",
 def discipline_corpus(df: DataFrame, text: str = "text", min_chars: int = 50,
                       min_docs: int = 20) -> DataFrame:
     """P18+P21: trimmed texts longer than ``min_chars``; empty when fewer than ``min_docs`` remain."""
-    docs = df.withColumn(text, strip(F.col(text))).filter(long_enough(F.col(text), min_chars, inclusive=False))
+    docs = with_computed(df, text, strip(F.col(text))).filter(
+        long_enough(F.col(text), min_chars, inclusive=False)
+    )
     n = docs.agg(F.count("*").alias("n"))
     return docs.withColumn("_n", n.scalar()).filter(F.col("_n") >= min_docs).drop("_n")

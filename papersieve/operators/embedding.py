@@ -12,79 +12,89 @@ from pyspark.sql.types import ArrayType, FloatType
 
 from papersieve.functions.text import remove_words, tokenize_words
 from papersieve.functions.vectors import as_double, l2_normalize, norm
-from papersieve.session import join_by_skewed_key
+from papersieve.session import join_by_skewed_key, materialize, with_computed
 
 DIMENSIONS = 256
 
 
+def _tokens(text: str, stop_words: Sequence[str]) -> Column:
+    return remove_words(tokenize_words(F.coalesce(F.col(text), F.lit(""))), stop_words)
+
+
 def token_frequencies(docs: DataFrame, id_col: str = "paper_id", text: str = "text",
                       stop_words: Sequence[str] = ()) -> DataFrame:
     """``(id, token, tf)``; a document without tokens keeps one row with a NULL token."""
-    tokens = remove_words(tokenize_words(F.coalesce(F.col(text), F.lit(""))), stop_words)
     return (
-        docs.select(id_col, F.explode_outer(tokens).alias("token"))
+        docs.select(id_col, F.explode_outer(_tokens(text, stop_words)).alias("token"))
         .groupBy(id_col, "token").agg(F.count("*").alias("tf"))
     )
 
 
-def document_frequencies(tf: DataFrame) -> DataFrame:
-    """``(token, df)`` from token frequencies."""
-    return tf.filter("token is not null").groupBy("token").agg(F.count("*").alias("df"))
-
-
-def _bucket(token: Column, dim: int) -> Column:
-    return F.pmod(F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
+def document_frequencies(docs: DataFrame, text: str = "text", stop_words: Sequence[str] = ()) -> DataFrame:
+    """``(token, df)``, the corpus vocabulary. Only partial counts per token are shuffled."""
+    return (
+        docs.select(F.explode(F.array_distinct(_tokens(text, stop_words))).alias("token"))
+        .groupBy("token").agg(F.count("*").alias("df"))
+    )
 
 
-def _sign(token: Column) -> Column:
-    """+1 or -1 by the parity of the ninth hex digit."""
-    return F.when(F.substring(F.md5(token), 9, 1).isin(*"13579bdf"), -1.0).otherwise(1.0)
+def _cell(token: Column, df: Column, n_docs: Column, dim: int) -> Column:
+    """Bucket and signed idf of a token: md5 digits 1-8 modulo ``dim``, sign by the parity of digit 9."""
+    digest = F.md5(token)
+    bucket = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
+    sign = F.when(F.substring(digest, 9, 1).isin(*"13579bdf"), -1.0).otherwise(1.0)
+    return F.struct(bucket.alias("bucket"), (sign * F.log((n_docs + 1) / (df + 1))).alias("weight"))
 
 
-def _hashed(weighted: DataFrame, id_col: str, n_docs: DataFrame, dim: int) -> DataFrame:
-    """``(id, token, tf, df)`` to ``(id, embedding)``. One shuffle by id serves both aggregates."""
-    idf = F.log((F.col("_n_docs") + 1) / (F.coalesce(F.col("df"), F.lit(0)) + 1))
+def _vectors(cells: DataFrame, id_col: str, dim: int) -> DataFrame:
+    """``(id, tf, _cell)`` to ``(id, embedding)``. One shuffle by id serves both aggregates."""
     summed = (
-        weighted.withColumn("_n_docs", n_docs.scalar())
-        .select(
-            id_col, _bucket(F.col("token"), dim).alias("_bucket"),
-            (_sign(F.col("token")) * F.col("tf") * idf).alias("_weight"),
-        )
+        cells.select(id_col, F.col("_cell.bucket").alias("_bucket"), (F.col("tf") * F.col("_cell.weight")).alias("_w"))
         .repartition(id_col)
-        .groupBy(id_col).pivot("_bucket", list(range(dim))).agg(F.sum("_weight"))
+        .groupBy(id_col).pivot("_bucket", list(range(dim))).agg(F.sum("_w"))
     )
-    raw = summed.select(
-        id_col, F.array(*[F.coalesce(F.col(str(i)), F.lit(0.0)) for i in range(dim)]).alias("_raw")
-    )
-    return raw.withColumn("_length", norm(F.col("_raw"))).select(
+    # the wide array is computed once, not again for its length and each use of it
+    dense = F.array(*[F.coalesce(F.col(str(i)), F.lit(0.0)) for i in range(dim)])
+    raw = with_computed(summed, "_raw", dense).select(id_col, "_raw")
+    return with_computed(raw, "_length", norm(F.col("_raw"))).select(
         id_col, l2_normalize(F.col("_raw"), F.col("_length")).cast("array<float>").alias("embedding")
     )
 
 
 def embed_documents(docs: DataFrame, id_col: str = "paper_id", text: str = "text", dim: int = DIMENSIONS,
-                    stop_words: Sequence[str] = (), tf: DataFrame | None = None) -> DataFrame:
+                    stop_words: Sequence[str] = (), corpus_df: DataFrame | None = None) -> DataFrame:
     """T4: ``(id, embedding)``, signed hashed TF-IDF of the whole text, unit length.
 
-    A token's weight is tf * ln((N + 1) / (df + 1)); a text without tokens is the zero vector. A token
-    found in a third of all documents is a hot key of the df join and is looked up without a shuffle.
-    ``tf`` may pass token frequencies that are already materialised.
+    A token's weight is tf * ln((N + 1) / (df + 1)); a text without tokens is the zero vector. Hashing
+    is done once per vocabulary entry. A token found in a third of all documents is a hot key of the
+    vocabulary join and is looked up without a shuffle. The vocabulary is read several times and so is
+    stored first; ``corpus_df`` may pass one that is stored already.
     """
-    counts = token_frequencies(docs, id_col, text, stop_words) if tf is None else tf
+    if corpus_df is None:
+        corpus_df = materialize(document_frequencies(docs, text, stop_words))
     n_docs = docs.agg(F.count("*").alias("n"))
-    weighted = join_by_skewed_key(counts, document_frequencies(counts), "token", "df", "df", id_col)
-    return _hashed(weighted, id_col, n_docs, dim)
+    vocabulary = corpus_df.withColumn("_n", n_docs.scalar()).withColumn(
+        "_cell", _cell(F.col("token"), F.col("df"), F.col("_n"), dim)
+    ).drop("_n")
+    counts = token_frequencies(docs, id_col, text, stop_words)
+    cells = join_by_skewed_key(counts, vocabulary, "token", "_cell", "df", id_col)
+    return _vectors(cells, id_col, dim)
 
 
 def embed_texts(texts: DataFrame, corpus_df: DataFrame, n_docs: DataFrame, id_col: str, text: str = "text",
                 dim: int = DIMENSIONS, stop_words: Sequence[str] = ()) -> DataFrame:
     """A few texts (anchors, candidate words) in the space of a corpus, ``(id, embedding)``.
 
-    ``corpus_df(token, df)`` is cut to the tokens of these texts before the join.
+    ``corpus_df(token, df)`` is cut to the tokens of these texts before the join; a token the corpus
+    does not know has df 0.
     """
     counts = token_frequencies(texts, id_col, text, stop_words)
-    needed = counts.select("token").distinct()
-    known = corpus_df.join(needed, "token", "left_semi")
-    return _hashed(counts.join(known, "token", "left"), id_col, n_docs, dim)
+    known = corpus_df.join(counts.select("token").distinct(), "token", "left_semi")
+    df = F.coalesce(F.col("df"), F.lit(0))
+    cells = counts.join(known, "token", "left").withColumn("_n", n_docs.scalar()).withColumn(
+        "_cell", F.when(F.col("token").isNotNull(), _cell(F.col("token"), df, F.col("_n"), dim))
+    )
+    return _vectors(cells, id_col, dim)
 
 
 def embed_with(docs: DataFrame, make_predict_fn: Callable, text: str = "text", batch_size: int = 8) -> DataFrame:

@@ -68,7 +68,7 @@ def ctfidf(counts: DataFrame, topic: str = "topic", reduce_frequent_words: bool
 
     Term share of the topic (its square root with ``reduce_frequent_words``) times
     ln(1 + A / frequency of the term), A being the mean number of terms per topic, cut to an integer
-    (Grootendorst 2022).
+    (Grootendorst 2022). ``counts`` is read three times: pass stored counts for a large corpus.
     """
     totals = counts.groupBy(topic).agg(F.sum("n").alias("_topic_total"))
     mean = totals.agg(F.floor(F.sum("_topic_total") / F.count("*")).alias("a"))

@@ -15,11 +15,9 @@ from papersieve.sources.papers import require_columns
 def embed_with_anchors(papers: DataFrame, anchors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Papers and anchor texts as hashed TF-IDF vectors under the papers' document frequencies."""
     docs = papers.select("paper_id", build_text(F.col("title"), F.col("abstract"), ". ").alias("text"))
-    tf = materialize(embedding.token_frequencies(docs))
-    doc_vectors = embedding.embed_documents(docs, tf=tf)
-    anchor_vectors = embedding.embed_texts(
-        anchors, embedding.document_frequencies(tf), docs.agg(F.count("*").alias("n")), "discipline"
-    )
+    corpus_df = materialize(embedding.document_frequencies(docs))
+    doc_vectors = embedding.embed_documents(docs, corpus_df=corpus_df)
+    anchor_vectors = embedding.embed_texts(anchors, corpus_df, docs.agg(F.count("*").alias("n")), "discipline")
     return doc_vectors, anchors.select("ordinal", "discipline").join(anchor_vectors, "discipline")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from papersieve.functions.text import clean_academic_text, long_enough, tokenize_alpha, tokenize_space
 from papersieve.operators import clustering, embedding, terms, topic_eval
 from papersieve.operators.disciplines import discipline_corpus, mean_vectors, select_by_discipline
-from papersieve.session import materialize
+from papersieve.session import materialize, with_computed
 
 # Base seed and number of stability reruns.
 SEED, STABILITY_RUNS = 42, 3
@@ -55,9 +55,16 @@ class TopicModel:
 
 def corpus_documents(papers: DataFrame, text: str = "text", min_chars: int = 50) -> DataFrame:
     """P17+P18+P22: ``(paper_id, text)`` cleaned, at least ``min_chars`` long."""
-    return papers.select("paper_id", clean_academic_text(F.col(text)).alias("text")).filter(
-        long_enough(F.col("text"), min_chars)
+    cleaned = with_computed(
+        papers.select("paper_id", F.col(text).alias("text")), "text", clean_academic_text(F.col("text"))
     )
+    return cleaned.filter(long_enough(F.col("text"), min_chars))
+
+
+def evaluation_tokens(documents: DataFrame, min_tokens: int = 10) -> DataFrame:
+    """``(paper_id, tokens)`` of cleaned documents with more than ``min_tokens`` tokens."""
+    tokens = with_computed(documents.select("paper_id", "text"), "tokens", tokenize_space(F.col("text")))
+    return tokens.filter(F.size("tokens") > min_tokens).drop("text")
 
 
 def prepare(docs: DataFrame, settings: TopicSettings) -> DataFrame:
@@ -66,8 +73,7 @@ def prepare(docs: DataFrame, settings: TopicSettings) -> DataFrame:
     A given ``embedding`` column is used as it is; otherwise the text is embedded.
     """
     if "embedding" not in docs.columns:
-        tf = materialize(embedding.token_frequencies(docs))
-        docs = docs.select("paper_id", "text").join(embedding.embed_documents(docs, tf=tf), "paper_id")
+        docs = docs.select("paper_id", "text").join(embedding.embed_documents(docs), "paper_id")
     stored = materialize(docs.select("paper_id", "text", "embedding"))
     return embedding.reduce_dims(stored, settings.dims)
 
@@ -102,10 +108,9 @@ def keyword_views(model: TopicModel, candidates: int = 30, top_n: int = 15, dive
                   dim: int | None = None) -> DataFrame:
     """M4+M5: ``(view, topic, rank, term, weight)`` for the re-ranked and the diversified words."""
     chosen = materialize(terms.topic_words(model.weights, candidates))
-    tf = embedding.token_frequencies(model.documents)
     vectors = materialize(embedding.embed_texts(
         chosen.select("term", F.col("term").alias("text")).distinct(),
-        embedding.document_frequencies(tf), model.documents.agg(F.count("*").alias("n")), "term",
+        embedding.document_frequencies(model.documents), model.documents.agg(F.count("*").alias("n")), "term",
         dim=dim or embedding.DIMENSIONS,
     ))
     centroids = mean_vectors(model.documents, "topic")
@@ -128,9 +133,7 @@ def stability(model: TopicModel, n_runs: int = STABILITY_RUNS, seed: int = SEED,
 
 def evaluate_corpus(model: TopicModel, top_n: int = 10, min_tokens: int = 10) -> DataFrame:
     """Whole-corpus evaluation: c_v over a filtered dictionary, and diversity, as ``(metric, value)``."""
-    docs = model.documents.select("paper_id", tokenize_space(F.col("text")).alias("tokens")).filter(
-        F.size("tokens") > min_tokens
-    )
+    docs = evaluation_tokens(model.documents, min_tokens)
     return topic_eval.evaluation_table(
         c_v=topic_eval.coherence_cv(
             docs, model.words, top_n, min_topics=2, dictionary=topic_eval.dictionary_filter(docs)

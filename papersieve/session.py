@@ -34,6 +34,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``withColumn`` for a costly expression that a later filter reads.
+
+    The optimizer copies a plain column's expression into a filter pushed below it and so evaluates
+    it twice; a generated column stays where it is.
+    """
+    kept = [c for c in df.columns if c != name]
+    return df.select(*kept, F.inline(F.array(F.struct(value.alias(name)))))
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Materialise a derived dimension and hint a broadcast only if its counted size allows it.
 

@@ -46,6 +46,15 @@ def read_papers(spark: SparkSession, path: str | Sequence[str], fmt: str = "csv"
     return rename_headers(reader.load(path))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use every core on a table that arrives in fewer pieces than that, e.g. one small file.
+
+    Larger tables have more pieces than cores and are left as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_yearly(spark: SparkSession, base: str, fmt: str = "parquet", key: str = "text",
                 stamp_year: bool = True) -> DataFrame:
     """S2+S3: all tables under ``base/<digits>/``, each row with the folder's year and a ``text`` column.

@@ -70,10 +70,9 @@ def test_hashed_embedding_by_hand(spark):
     assert len(got) == len(texts)
     for i, text in enumerate(texts):
         np.testing.assert_allclose(got[i], expected_vector(text.split(), df, len(texts), 16), atol=1e-6)
-    tf = embedding.token_frequencies(docs)
     extra = spark.createDataFrame([("q", "cc zz")], "name string, text string")
     row = embedding.embed_texts(
-        extra, embedding.document_frequencies(tf), docs.agg(F.count("*").alias("n")), "name", dim=16
+        extra, embedding.document_frequencies(docs), docs.agg(F.count("*").alias("n")), "name", dim=16
     ).first()
     np.testing.assert_allclose(row.embedding, expected_vector(["cc", "zz"], df, len(texts), 16), atol=1e-6)
 
