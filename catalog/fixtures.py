@@ -22,6 +22,10 @@ select doc_id as paper_id,
 from {documents}
 """
 
+# Labels as a hand-filled sheet holds them; one SQL text for both engines.
+DIRTY_LABEL = """case when doc_id % 11 = 0 then 'n/a' when doc_id % 13 = 0 then '2'
+ when doc_id % 3 = 0 then concat(' ', cast(quality as string), '.0') else cast(quality as string) end"""
+
 # Keyword tiers that occur in the test prose; the library defaults name computing terms.
 FIXTURE_TIERS = ((0.90, (r"\b(thing|thou)\b",)), (0.75, (r"\bAI\b", r"\bNLP\b")))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from catalog.fixtures import (
+    DIRTY_LABEL,
     FIXTURE_MIN, FIXTURE_MINIMA, FIXTURE_RATIO, FIXTURE_RATIOS, FIXTURE_STOP_WORDS, FIXTURE_SWEEP,
     PAPERS_SQL,
 )
@@ -80,8 +81,10 @@ with papers as ({PAPERS}), t as (
 select paper_id, cast(length(text) as integer) as n_chars, md5(text) as text_md5 from t
 """
 
-ORACLES["label_clean"] = """
-select doc_id, quality as label from labels where doc_id % 11 <> 0 and doc_id % 13 <> 0 and quality in (0, 1)
+ORACLES["label_clean"] = f"""
+with dirty as (select doc_id, {DIRTY_LABEL} as label from labels)
+select doc_id, cast(try_cast(trim(label) as double) as integer) as label from dirty
+where try_cast(trim(label) as double) in (0, 1)
 """
 
 ORACLES["doc_type_counts"] = f"""

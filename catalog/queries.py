@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.fixtures import (
+    DIRTY_LABEL,
     FIXTURE_MIN, FIXTURE_MINIMA, FIXTURE_RATIO, FIXTURE_RATIOS, FIXTURE_STOP_WORDS,
     FIXTURE_SWEEP, FIXTURE_TIERS,
     documents, labelled_scores, papers, stand_in_score, table, topic_documents, vectors,
@@ -73,13 +74,7 @@ def text_build(spark, sf_dir):
 
 @query
 def label_clean(spark, sf_dir):
-    dirty = table(spark, sf_dir, "labels").select(
-        "doc_id",
-        F.expr(
-            "case when doc_id % 11 = 0 then 'n/a' when doc_id % 13 = 0 then '2'"
-            " when doc_id % 3 = 0 then concat(' ', quality, '.0') else cast(quality as string) end"
-        ).alias("label"),
-    )
+    dirty = table(spark, sf_dir, "labels").select("doc_id", F.expr(DIRTY_LABEL).alias("label"))
     return cleaning.clean_labels(dirty)
 
 

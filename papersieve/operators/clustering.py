@@ -84,20 +84,20 @@ def density_clusters(
     features: str = "reduced",
     dims: int = 5,
     cell: float | None = None,
-    width_factor: float = 1.0,
+    width_factor: float = 3.49,
     seed: int | None = None,
 ) -> DataFrame:
     """M1 (density): ``(id, topic)``, topics numbered by size, -1 for outliers and small clusters.
 
     ``features`` holds ``dims`` coordinates. Without ``cell`` the cell side is ``width_factor`` times
-    the mean standard deviation times n^(-1/(dims+4)), the usual smoothing rate. ``seed`` shifts
-    the grid origin, which gives the reruns of a stability study.
+    the mean standard deviation times n^(-1/(dims+2)), Scott's bin-width rule for histograms. ``seed``
+    shifts the grid origin, which gives the reruns of a stability study.
     """
     shift = np.random.default_rng(seed).random(dims).tolist() if seed is not None else [0.0] * dims
     points = docs.select(id_col, *[F.get(as_double(F.col(features)), F.lit(i)).alias(f"_x{i}") for i in range(dims)])
     if cell is None:
         spread = sum((F.stddev_pop(f"_x{i}") for i in range(dims)), F.lit(0.0)) / dims
-        rule = points.agg((spread * F.pow(F.count("*"), F.lit(-1.0 / (dims + 4))) * width_factor).alias("side"))
+        rule = points.agg((spread * F.pow(F.count("*"), F.lit(-1.0 / (dims + 2))) * width_factor).alias("side"))
         side = F.greatest(rule.scalar(), F.lit(1e-12))
     else:
         side = F.lit(float(cell))
