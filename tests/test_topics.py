@@ -202,6 +202,24 @@ def test_density_clusters_equal_brute_force(spark):
     assert found[-1] == set(got) - set().union(*want)
 
 
+@pytest.mark.parametrize("seed", [None, 42, 43])
+def test_density_finds_blobs_with_the_default_width(spark, seed):
+    rng = np.random.default_rng(8)
+    centres = [(0, 0, 0), (12, 0, 3), (0, 15, -9)]
+    sizes = (400, 300, 200)
+    points = np.vstack([rng.normal(c, 0.5, (n, 3)) for c, n in zip(centres, sizes)])
+    df = spark.createDataFrame(
+        [(i, [float(x) for x in p]) for i, p in enumerate(points)], "paper_id int, reduced array<double>"
+    )
+    topics = [r.topic for r in clustering.density_clusters(
+        df, min_size=50, min_samples=3, dims=3, seed=seed).orderBy("paper_id").collect()]
+    start = 0
+    for topic, n in enumerate(sizes):
+        inside = topics[start:start + n]
+        assert set(inside) <= {topic, -1} and inside.count(topic) > 0.9 * n
+        start += n
+
+
 def test_bisecting_drops_small_clusters(spark):
     points = [(i, [0.0, float(i % 3) / 10]) for i in range(30)] + [(99, [50.0, 50.0])]
     df = spark.createDataFrame(points, "paper_id int, reduced array<double>")
