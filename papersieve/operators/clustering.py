@@ -76,6 +76,27 @@ def _numbered(groups: DataFrame) -> DataFrame:
     return ordered.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF(f"group {field}, topic int")
 
 
+def _linked_cells(counted: DataFrame, cell_ids: list[str], level: int, min_samples: int) -> DataFrame:
+    """``(_cell, _n, component)`` of the dense cells of a grid 2^level times as wide as the counted one."""
+    ids = [F.shiftright(c, level).alias(c) for c in cell_ids]
+    dense = materialize(
+        counted.groupBy(*ids).agg(F.sum("_n").alias("_n"))
+        .filter(F.col("_n") >= min_samples)
+        .withColumn("_cell", F.concat_ws(",", *cell_ids))
+    )
+    # one half of the touching offsets is enough for undirected links
+    dims = len(cell_ids)
+    offsets = [o for o in product((-1, 0, 1), repeat=dims) if o > (0,) * dims]
+    steps = F.array(*[F.array(*[F.lit(v) for v in o]) for o in offsets])
+    neighbours = dense.select(F.col("_cell").alias("src"), *cell_ids, F.explode(steps).alias("_step")).select(
+        "src",
+        F.concat_ws(",", *[F.col(c) + F.get(F.col("_step"), F.lit(i)) for i, c in enumerate(cell_ids)]).alias("dst"),
+    )
+    edges = neighbours.join(dense.select(F.col("_cell").alias("dst")), "dst", "left_semi")
+    components = connected_components(dense.select(F.col("_cell").alias("node")), edges)
+    return dense.select("_cell", "_n").join(components.withColumnRenamed("node", "_cell"), "_cell")
+
+
 def density_clusters(
     docs: DataFrame,
     min_size: int | DataFrame = 5,
@@ -85,46 +106,53 @@ def density_clusters(
     dims: int = 5,
     cell: float | None = None,
     width_factor: float = 3.49,
+    resolutions: int = 4,
     seed: int | None = None,
 ) -> DataFrame:
     """M1 (density): ``(id, topic)``, topics numbered by size, -1 for outliers and small clusters.
 
-    ``features`` holds ``dims`` coordinates. Without ``cell`` the cell side is ``width_factor`` times
-    the mean standard deviation times n^(-1/(dims+2)), Scott's bin-width rule for histograms. ``seed``
-    shifts the grid origin, which gives the reruns of a stability study.
+    ``features`` holds ``dims`` coordinates. With ``cell`` the grid has that cell side. Without it,
+    ``resolutions`` nested grids are tried, from ``width_factor`` times the mean standard deviation
+    times n^(-1/(dims+2)) (Scott's rule) down by halves, and the one with the most clusters wins, then
+    the one that covers more documents: a flat cut through the density hierarchy. Points are counted once,
+    on the finest grid; the coarser ones are sums of its cells. ``seed`` shifts the grid origin,
+    which gives the reruns of a stability study.
     """
-    shift = np.random.default_rng(seed).random(dims).tolist() if seed is not None else [0.0] * dims
+    levels = range(1 if cell is not None else resolutions)
+    coarsest = levels[-1]
+    shift = np.random.default_rng(seed).random(dims) if seed is not None else np.zeros(dims)
+    origin = (shift * 2**coarsest).tolist()
     points = docs.select(id_col, *[F.get(as_double(F.col(features)), F.lit(i)).alias(f"_x{i}") for i in range(dims)])
     if cell is None:
         spread = sum((F.stddev_pop(f"_x{i}") for i in range(dims)), F.lit(0.0)) / dims
-        rule = points.agg((spread * F.pow(F.count("*"), F.lit(-1.0 / (dims + 2))) * width_factor).alias("side"))
+        width = spread * F.pow(F.count("*"), F.lit(-1.0 / (dims + 2))) * width_factor
+        rule = points.agg((width / 2**coarsest).alias("side"))
         side = F.greatest(rule.scalar(), F.lit(1e-12))
     else:
         side = F.lit(float(cell))
-    placed = points.withColumn("_side", side).select(
-        id_col, *[F.floor(F.col(f"_x{i}") / F.col("_side") + shift[i]).alias(f"_c{i}") for i in range(dims)]
-    ).withColumn("_cell", F.concat_ws(",", *[f"_c{i}" for i in range(dims)]))
     cell_ids = [f"_c{i}" for i in range(dims)]
-    counted = placed.groupBy("_cell", *cell_ids).agg(F.count("*").alias("_n"))
-    dense = materialize(counted.filter(F.col("_n") >= min_samples))
-
-    # one half of the touching offsets is enough for undirected links
-    offsets = [o for o in product((-1, 0, 1), repeat=dims) if o > (0,) * dims]
-    steps = F.array(*[F.array(*[F.lit(v) for v in o]) for o in offsets])
-    step = F.col("_step")
-    neighbours = dense.select(F.col("_cell").alias("src"), *cell_ids, F.explode(steps).alias("_step")).select(
-        "src", F.concat_ws(",", *[F.col(c) + F.get(step, F.lit(i)) for i, c in enumerate(cell_ids)]).alias("dst")
+    placed = points.withColumn("_side", side).select(
+        id_col, *[F.floor(F.col(f"_x{i}") / F.col("_side") + origin[i]).alias(c) for i, c in enumerate(cell_ids)]
     )
-    edges = neighbours.join(dense.select(F.col("_cell").alias("dst")), "dst", "left_semi")
-    components = connected_components(dense.select(F.col("_cell").alias("node")), edges)
-
-    cells = dense.select("_cell", "_n").join(components.withColumnRenamed("node", "_cell"), "_cell")
-    sizes = cells.groupBy(F.col("component").alias("group")).agg(F.sum("_n").alias("size"))
+    counted = materialize(placed.groupBy(*cell_ids).agg(F.count("*").alias("_n")))
     smallest = min_size.scalar() if isinstance(min_size, DataFrame) else F.lit(min_size)
-    topics = _numbered(materialize(sizes.withColumn("_min", smallest).filter("size >= _min").drop("_min")))
+
+    tried = []
+    for level in reversed(levels):
+        cells = materialize(_linked_cells(counted, cell_ids, level, min_samples))
+        sizes = materialize(
+            cells.groupBy(F.col("component").alias("group")).agg(F.sum("_n").alias("size"))
+            .withColumn("_min", smallest).filter("size >= _min").drop("_min")
+        )
+        found = sizes.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("covered")).first()
+        tried.append(((found.n, found.covered, level), cells, sizes))
+    (_, _, level), cells, sizes = max(tried, key=lambda t: t[0])
+
+    topics = _numbered(sizes)
     lookup = join_salted(cells, topics.withColumnRenamed("group", "component"), "component", spread_by="_cell")
+    keyed = placed.select(id_col, F.concat_ws(",", *[F.shiftright(c, level) for c in cell_ids]).alias("_cell"))
     return join_by_skewed_key(
-        placed.select(id_col, "_cell"), lookup.select("_cell", "topic", "_n"), "_cell", "topic", "_n", id_col
+        keyed, lookup.select("_cell", "topic", "_n"), "_cell", "topic", "_n", id_col
     ).select(id_col, F.coalesce("topic", F.lit(OUTLIER)).alias("topic"))
 
 
