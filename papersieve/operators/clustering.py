@@ -43,7 +43,10 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     both = materialize(
         edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     )
-    labels = materialize(nodes.select("node", F.col("node").alias("component")))
+    alone = nodes.select("node", F.col("node").alias("component"))
+    if both.isEmpty():
+        return alone
+    labels = materialize(alone)
     while True:
         nearest = (
             both.join(labels.withColumnRenamed("node", "dst"), "dst")
@@ -76,25 +79,30 @@ def _numbered(groups: DataFrame) -> DataFrame:
     return ordered.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF(f"group {field}, topic int")
 
 
-def _linked_cells(counted: DataFrame, cell_ids: list[str], level: int, min_samples: int) -> DataFrame:
-    """``(_cell, _n, component)`` of the dense cells of a grid 2^level times as wide as the counted one."""
-    ids = [F.shiftright(c, level).alias(c) for c in cell_ids]
+def _linked_cells(counted: DataFrame, cell_ids: list[str], levels: list[int], min_samples: int) -> DataFrame:
+    """``(_level, _cell, _n, component)`` of the dense cells of grids 2^level times as wide as the counted one.
+
+    All levels share one component search; cells of different levels have different names and never link.
+    """
+    at_level = counted.select(
+        "_n", *cell_ids, F.explode(F.array(*[F.lit(v) for v in levels])).alias("_level")
+    ).select("_n", "_level", *[F.expr(f"shiftright({c}, _level)").alias(c) for c in cell_ids])
     dense = materialize(
-        counted.groupBy(*ids).agg(F.sum("_n").alias("_n"))
+        at_level.groupBy("_level", *cell_ids).agg(F.sum("_n").alias("_n"))
         .filter(F.col("_n") >= min_samples)
-        .withColumn("_cell", F.concat_ws(",", *cell_ids))
+        .withColumn("_cell", F.concat_ws(",", "_level", *cell_ids))
     )
     # one half of the touching offsets is enough for undirected links
     dims = len(cell_ids)
     offsets = [o for o in product((-1, 0, 1), repeat=dims) if o > (0,) * dims]
     steps = F.array(*[F.array(*[F.lit(v) for v in o]) for o in offsets])
-    neighbours = dense.select(F.col("_cell").alias("src"), *cell_ids, F.explode(steps).alias("_step")).select(
-        "src",
-        F.concat_ws(",", *[F.col(c) + F.get(F.col("_step"), F.lit(i)) for i, c in enumerate(cell_ids)]).alias("dst"),
-    )
+    moved = [F.col(c) + F.get(F.col("_step"), F.lit(i)) for i, c in enumerate(cell_ids)]
+    neighbours = dense.select(
+        F.col("_cell").alias("src"), "_level", *cell_ids, F.explode(steps).alias("_step")
+    ).select("src", F.concat_ws(",", "_level", *moved).alias("dst"))
     edges = neighbours.join(dense.select(F.col("_cell").alias("dst")), "dst", "left_semi")
     components = connected_components(dense.select(F.col("_cell").alias("node")), edges)
-    return dense.select("_cell", "_n").join(components.withColumnRenamed("node", "_cell"), "_cell")
+    return dense.select("_level", "_cell", "_n").join(components.withColumnRenamed("node", "_cell"), "_cell")
 
 
 def density_clusters(
@@ -118,7 +126,7 @@ def density_clusters(
     on the finest grid; the coarser ones are sums of its cells. ``seed`` shifts the grid origin,
     which gives the reruns of a stability study.
     """
-    levels = range(1 if cell is not None else resolutions)
+    levels = list(range(1 if cell is not None else resolutions))
     coarsest = levels[-1]
     shift = np.random.default_rng(seed).random(dims) if seed is not None else np.zeros(dims)
     origin = (shift * 2**coarsest).tolist()
@@ -137,22 +145,24 @@ def density_clusters(
     counted = materialize(placed.groupBy(*cell_ids).agg(F.count("*").alias("_n")))
     smallest = min_size.scalar() if isinstance(min_size, DataFrame) else F.lit(min_size)
 
-    tried = []
-    for level in reversed(levels):
-        cells = materialize(_linked_cells(counted, cell_ids, level, min_samples))
-        sizes = materialize(
-            cells.groupBy(F.col("component").alias("group")).agg(F.sum("_n").alias("size"))
-            .withColumn("_min", smallest).filter("size >= _min").drop("_min")
-        )
-        found = sizes.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("covered")).first()
-        tried.append(((found.n, found.covered, level), cells, sizes))
-    (_, _, level), cells, sizes = max(tried, key=lambda t: t[0])
-
-    topics = _numbered(sizes)
-    lookup = join_salted(cells, topics.withColumnRenamed("group", "component"), "component", spread_by="_cell")
-    keyed = placed.select(id_col, F.concat_ws(",", *[F.shiftright(c, level) for c in cell_ids]).alias("_cell"))
+    cells = materialize(_linked_cells(counted, cell_ids, levels, min_samples))
+    sizes = materialize(
+        cells.groupBy("_level", F.col("component").alias("group")).agg(F.sum("_n").alias("size"))
+        .withColumn("_min", smallest).filter("size >= _min").drop("_min")
+    )
+    # one row per level comes to the driver
+    found = sizes.groupBy("_level").agg(F.count("*").alias("n"), F.sum("size").alias("covered")).collect()
+    level = max(((r.n, r.covered, r["_level"]) for r in found), default=(0, 0, coarsest))[2]
+
+    topics = _numbered(sizes.filter(F.col("_level") == level).select("group", "size"))
+    lookup = join_salted(
+        cells.filter(F.col("_level") == level).drop("_level"),
+        topics.withColumnRenamed("group", "component"), "component", spread_by="_cell",
+    )
+    own_cell = F.concat_ws(",", F.lit(level), *[F.shiftright(c, level) for c in cell_ids])
     return join_by_skewed_key(
-        keyed, lookup.select("_cell", "topic", "_n"), "_cell", "topic", "_n", id_col
+        placed.select(id_col, own_cell.alias("_cell")), lookup.select("_cell", "topic", "_n"),
+        "_cell", "topic", "_n", id_col,
     ).select(id_col, F.coalesce("topic", F.lit(OUTLIER)).alias("topic"))
 
 
