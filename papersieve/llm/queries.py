@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papersieve.llm import bpe, decontaminate, topk
+from papersieve.llm import bpe, decontaminate, substrings, topk
 from papersieve.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,7 +43,7 @@ ORACLES["op10_top_k"] = """
 with parts as (
   select vec_id, i, cast(floor(1024 * cast(embedding[i] as double)) as bigint) as x
   from (select vec_id, embedding, unnest(range(1, len(embedding) + 1)) as i from embeddings
-        where embedding is not null and len(list_filter(embedding, v -> v is null or not isfinite(v))) = 0)),
+        where embedding is not null and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0)),
 scored as (
   select q.vec_id as query_id, c.vec_id, cast(sum(q.x * c.x) as bigint) as score
   from parts q join parts c on q.i = c.i and q.vec_id <> c.vec_id
@@ -52,3 +52,8 @@ select query_id, cast(row_number() over w as integer) as rank, vec_id, score
 from scored window w as (partition by query_id order by score desc, vec_id)
 qualify row_number() over w <= 10
 """
+
+
+@query
+def op8_substring_dedup(spark, sf_dir):
+    return substrings.dedup_substrings(table(spark, sf_dir, "documents")).drop("kept")
