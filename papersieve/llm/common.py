@@ -16,22 +16,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut anew so that a block holds about ``limit`` bytes of ``text``, or one longer text.
+def blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut anew so that a block holds about ``limit`` bytes of ``text``, or one longer text, and no more than ``rows`` rows.
 
     A block is the unit of work of the operators: large enough to share work between its rows, small
     enough that a task's memory doesn't depend on the size of its partition.
     """
-    held, size = [], 0
+    held, size, count = [], 0, 0
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
         start = 0
         for i, n in enumerate(lengths):
-            if size and size + n > limit:
+            if (size and size + n > limit) or count == rows:
                 held.append(batch.slice(start, i - start))
                 yield _joined(held)
-                held, size, start = [], 0, i
+                held, size, count, start = [], 0, 0, i
             size += n
+            count += 1
         held.append(batch.slice(start))
     if held:
         yield _joined(held)
@@ -57,7 +58,7 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before = None
     while True:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = large.filter("u > v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papersieve.llm import bpe, decontaminate, substrings, topk
+from papersieve.llm import bpe, decontaminate, neardup, substrings, topk
 from papersieve.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,8 @@ qualify row_number() over w <= 10
 @query
 def op8_substring_dedup(spark, sf_dir):
     return substrings.dedup_substrings(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query
+def op4_near_duplicates(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))

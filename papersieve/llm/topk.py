@@ -203,7 +203,8 @@ def top_k(
                 found = search_block(row, np.frombuffer(row["query_ids"], "<i8"), query, k)
                 yield pa.RecordBatch.from_pandas(found, preserve_index=False)
 
-    found = index.join(queries, ["dims", "cell"]).mapInArrow(search, "query_id long, vec_id long, score long")
+    by_cell = (blocks, "dims", "cell")  # a stated number: a few small rows make much work
+    found = index.repartition(*by_cell).join(queries.repartition(*by_cell), ["dims", "cell"]).mapInArrow(search, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
