@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papersieve.llm import bpe, decontaminate, neardup, substrings, topk
+from papersieve.llm import bpe, decontaminate, neardup, pii, substrings, topk
 from papersieve.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,8 @@ def op8_substring_dedup(spark, sf_dir):
 @query
 def op4_near_duplicates(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_personal_data(spark, sf_dir):
+    return pii.span_digests(table(spark, sf_dir, "documents"))
