@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papersieve.llm import bpe, decontaminate, neardup, pii, substrings, topk
+from papersieve.llm import bpe, decontaminate, neardup, pii, quality, substrings, topk
 from papersieve.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,9 @@ def op4_near_duplicates(spark, sf_dir):
 @query
 def op9_personal_data(spark, sf_dir):
     return pii.span_digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return quality.classify(docs, table(spark, sf_dir, "labels")).drop("text")
