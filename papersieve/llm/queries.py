@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papersieve.llm import bpe, decontaminate, neardup, pii, quality, substrings, topk
+from papersieve.llm import bpe, decontaminate, neardup, pii, quality, substrings, topk, toxicity
 from papersieve.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,8 @@ def op9_personal_data(spark, sf_dir):
 def op6_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return quality.classify(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
+@query
+def op7_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
