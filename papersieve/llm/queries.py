@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papersieve.llm import bpe, decontaminate, neardup, pii, quality, substrings, topk, toxicity
+from papersieve.llm import bpe, decontaminate, html, licences, neardup, pii, quality, substrings, topk, toxicity
 from papersieve.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,13 @@ def op6_quality(spark, sf_dir):
 @query
 def op7_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_html_extraction(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op5_licences(spark, sf_dir):
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
