@@ -122,7 +122,10 @@ def disclosing_terms(
     A term needs the evidence of ``support`` distinct texts. Its document frequency is counted over
     all documents, that of entities and pairs over all their occurrences.
     """
-    n = docs.count()
+    n = float(max(1, docs.count()))
+    information = F.log(F.lit(n) / F.col("n_e"))
+    mutual = F.log(F.lit(n) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
+    share = F.when(information > 0, mutual / information).otherwise(F.lit(0.0))
     per_entity = found.groupBy("entity").agg(F.count_distinct("_id", "_hash").alias("n_e"), F.count_distinct("_hash").alias("texts"))
     pairs = (
         found.join(per_entity.filter(F.col("texts") >= support).select("entity", "n_e"), "entity")
@@ -131,18 +134,17 @@ def disclosing_terms(
         .agg(F.count_distinct("_id", "_hash").alias("n_te"), F.count_distinct("_hash").alias("texts"))
         .filter(F.col("texts") >= support).drop("texts")
     )
-    pairs = materialize(pairs)
+    # A term stands in at least as many documents as have it in some context: pairs that fall short of
+    # the threshold even so are settled before the words of all documents are counted.
+    least = found.select("_id", "_hash", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    pairs = materialize(pairs.join(least, "term").filter(share >= generalise).drop("n_t"))
     candidates = pairs.select("term").distinct()
     if candidates.count() <= BROADCAST_TERMS:
         candidates = F.broadcast(candidates)
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0)))).alias("term"))
     frequency = words.join(candidates, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    information = F.log(F.lit(float(max(n, 1))) / F.col("n_e"))
-    mutual = F.log(F.lit(float(max(n, 1))) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     return (
-        pairs.join(frequency, "term")
-        .withColumn("disclosure", F.when(information > 0, mutual / information).otherwise(F.lit(0.0)))
-        .filter(F.col("disclosure") >= generalise).select("entity", "term", "disclosure")
+        pairs.join(frequency, "term").withColumn("disclosure", share).filter(F.col("disclosure") >= generalise).select("entity", "term", "disclosure")
     )
 
 
