@@ -22,7 +22,7 @@ from papersieve.llm.decontaminate import words
 from papersieve.llm.substrings import mix
 
 #: The training sample: rows of either label at most, and characters of a text that may be in it.
-POSITIVES, NEGATIVES, TRAIN_CHARS = 4000, 6000, 12_000
+POSITIVES, NEGATIVES, TRAIN_CHARS = 3000, 5000, 8_000
 BUCKETS, DIMS, WIDTHS, FILTERS = 1 << 16, 12, (1, 2, 3), 8
 EPOCHS, BATCH, RATE = 6, 64, 0.02
 BROADCAST_LABELS = 1_000_000
@@ -30,6 +30,14 @@ BROADCAST_LABELS = 1_000_000
 
 def parts(distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, first): the hash buckets of every word's parts, and where each word's begin."""
+    made = [_parts(distinct[a : a + 20_000]) for a in range(0, len(distinct), 20_000)]
+    sizes = np.cumsum([0] + [len(b) for b, _ in made])
+    if not made:
+        return np.empty(0, np.int32), np.empty(0, np.int64)
+    return np.concatenate([b for b, _ in made]), np.concatenate([f + n for (_, f), n in zip(made, sizes)])
+
+
+def _parts(distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     marked = [b"<" + w + b">" for w in distinct]
     data = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
     lengths = np.array([len(w) for w in marked], np.int64)
@@ -49,7 +57,7 @@ def parts(distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     owner, value = np.concatenate(owner), np.concatenate(value)
     order = np.argsort(owner, kind="stable")
     bucket = (mix(value[order] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % BUCKETS
-    return bucket, np.searchsorted(owner[order], np.arange(len(distinct)))
+    return bucket.astype(np.int32), np.searchsorted(owner[order], np.arange(len(distinct)))
 
 
 def number_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -57,7 +65,7 @@ def number_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[
     number: dict[bytes, int] = defaultdict(itertools.count().__next__)
     rows = [list(map(number.__getitem__, words(t))) for t in texts]
     lengths = np.array([len(r) for r in rows], np.int64)
-    return np.fromiter(itertools.chain.from_iterable(rows), np.int64, lengths.sum()), lengths, list(number)
+    return np.fromiter(itertools.chain.from_iterable(rows), np.int32, lengths.sum()), lengths, list(number)
 
 
 class Network:
@@ -72,15 +80,15 @@ class Network:
 
     def start_from(self, bucket, first, ids, lengths, label) -> None:
         """First dimension: log odds of the label given a part; the first filter reads it."""
-        doc = np.repeat(np.arange(len(lengths)), lengths)
-        pair = np.unique(doc << 32 | ids)
-        doc, ids = pair >> 32, pair & 0xFFFFFFFF
         ends = np.append(first[1:], len(bucket))
-        n = (ends - first)[ids]
-        at = np.repeat(first[ids] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        pair = np.unique(np.repeat(doc, n) * BUCKETS + bucket[at])
-        yes = np.bincount((pair % BUCKETS)[label[pair // BUCKETS] == 1], minlength=BUCKETS)
-        no = np.bincount((pair % BUCKETS)[label[pair // BUCKETS] == 0], minlength=BUCKETS)
+        seen = np.zeros((2, BUCKETS), np.int64)
+        stops = np.cumsum(lengths)
+        for stop, size, y in zip(stops.tolist(), lengths.tolist(), label.tolist()):
+            own = np.unique(ids[stop - size : stop])
+            n = (ends - first)[own]
+            at = np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            seen[y][np.unique(bucket[at])] += 1
+        no, yes = seen
         odds = np.log((yes + 0.5) / (label.sum() + 1)) - np.log((no + 0.5) / ((label == 0).sum() + 1))
         self.embedding[:, 0] = np.where(yes + no > 1, np.clip(odds, -3, 3), 0)
         self.filters[1][0, :, 0] = 0
@@ -202,7 +210,7 @@ class Network:
     def _calibrate(self, spans, lengths, label, rows, bucket, first) -> None:
         """Slope and shift of the logits that make the score of unused rows a probability (Platt)."""
         vectors = self.word_vectors(bucket, first)
-        ids = np.concatenate([spans[i] for i in rows]) if len(rows) else np.empty(0, np.int64)
+        ids = np.concatenate([spans[i] for i in rows]) if len(rows) else np.empty(0, np.int32)
         x = self.logit(self.pool(vectors, ids, lengths[rows])).astype(float)
         y = label[rows]
         yes, no = y.sum(), len(y) - y.sum()
