@@ -160,8 +160,10 @@ def trusted_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, order: int = ORDER) -> DataFrame:
     """``docs`` with perplexity, threshold and accepted.
 
-    The model is trained on every row that is labelled good. A language's threshold is the quantile of
-    its trusted rows' perplexities; a language without any, or none (null), takes that of all trusted
+    The model is trained on every row that is labelled good. Trained rows look better than others, so
+    thresholds come from rows the model has not seen: one half of the trusted rows (by a hash of the
+    id) trains a second model, and a language's threshold is the quantile of the other half's
+    perplexities under it. A language without any, or none (null), takes that of all trusted
     rows. A text is accepted up to its threshold; a null or empty text is not; without any trusted text
     every other text is. Equal rows are judged alike, an empty table stays empty. Of further columns
     only perplexity, threshold and accepted are replaced.
@@ -169,9 +171,11 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, ord
     docs = docs.drop("threshold", "accepted")
     model = train(trusted_rows(docs.select("doc_id", "text"), labels), order)
     scored = perplexity(docs, model, order)
+    trusted = trusted_rows(docs.select("doc_id", "lang", "text"), labels)
+    unseen = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 1
+    half = train(trusted.filter(~unseen), order)
     good = materialize(
-        perplexity(trusted_rows(docs.select("doc_id", "lang", "text"), labels), model, order)
-        .filter("perplexity is not null").select("lang", "perplexity")
+        perplexity(trusted.filter(unseen), half, order).filter("perplexity is not null").select("lang", "perplexity")
     )
     by_lang = good.groupBy("lang").agg(F.percentile("perplexity", quantile).alias("own")).filter("lang is not null")
     overall = good.agg(F.percentile("perplexity", quantile).alias("all")).first()["all"]
