@@ -12,9 +12,10 @@ def stratified_split(df: DataFrame, id_col: str = "paper_id", label: str = "labe
     """Add ``is_validation``: per label, exactly round(fraction * rows) rows, by rank of a seeded hash.
 
     A label is never sorted as a whole. Rows fall into 65,536 hash buckets; running bucket totals
-    decide every bucket but the one that straddles the cut, and only that one is ranked.
+    decide every bucket but the one that straddles the cut, and only that one is ranked. Rows without a
+    label are a class of their own; no row is lost.
     """
-    digest = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")))
+    digest = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}")))
     hashed = df.withColumn("_hash", digest).withColumn("_bucket", F.substring("_hash", 1, 4))
     sizes = hashed.groupBy(label, "_bucket").agg(F.count("*").alias("_n"))
     upto = Window.partitionBy(label).orderBy("_bucket")
@@ -28,7 +29,9 @@ def stratified_split(df: DataFrame, id_col: str = "paper_id", label: str = "labe
         (F.col("_end") - F.col("_n")).alias("_start"),
         ((F.col("_end") > F.col("_take")) & (F.col("_end") - F.col("_n") < F.col("_take"))).alias("_split"),
     )
-    placed = hashed.join(F.broadcast(plan), [label, "_bucket"])
+    plan = plan.withColumnsRenamed({label: "_label", "_bucket": "_plan_bucket"})
+    same = F.col(label).eqNullSafe(F.col("_label")) & (F.col("_bucket") == F.col("_plan_bucket"))
+    placed = hashed.join(plan, same).drop("_label", "_plan_bucket")  # Spark broadcasts it if it is small
     in_bucket = Window.partitionBy(label, "_bucket").orderBy("_hash", id_col)
     whole = placed.filter("not _split").withColumn("is_validation", F.col("_start") < F.col("_take"))
     straddling = placed.filter("_split").withColumn(

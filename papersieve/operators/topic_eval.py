@@ -122,10 +122,10 @@ def topic_count(docs: DataFrame, topic: str = "topic", outlier: int = -1) -> Dat
 
 
 def dictionary_filter(docs: DataFrame, tokens: str = "tokens", no_below: int = 5, no_above: float = 0.5,
-                      keep_n: int | None = 100_000) -> DataFrame:
+                      keep_n: int | None = None) -> DataFrame:
     """``(term, df)`` of tokens in at least ``no_below`` documents and at most that share of all.
 
-    ``keep_n`` keeps the most frequent, ties by term.
+    ``keep_n``, if given, keeps the most frequent, ties by term; by default no term is dropped.
     """
     n = docs.agg(F.count("*").alias("n"))
     kept = (

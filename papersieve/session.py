@@ -18,12 +18,12 @@ def shared_dir(spark: SparkSession) -> str:
     cluster the setting is required, because a machine-local folder is lost with its machine.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
+    current = spark.sparkContext.getCheckpointDir()
+    if configured or current:
+        return configured or current
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    current = spark.sparkContext.getCheckpointDir()
-    return current or tempfile.mkdtemp(prefix="papersieve-")
+    return tempfile.mkdtemp(prefix="papersieve-")
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -82,3 +82,9 @@ def test_split_is_exact_stable_and_stratified(spark):
     again = {r.paper_id: r for r in stratified_split(df.repartition(7)).collect()}
     assert got == again
     assert got != {r.paper_id: r for r in stratified_split(df, seed=1).collect()}
+
+
+def test_split_keeps_rows_without_a_label(spark):
+    rows = [(i, None if i % 5 == 0 else i % 2) for i in range(50)] + [(None, 1)]
+    out = stratified_split(spark.createDataFrame(rows, "paper_id long, label int")).collect()
+    assert len(out) == 51 and sum(r.is_validation for r in out if r.label is None) == 2
