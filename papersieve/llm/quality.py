@@ -27,6 +27,9 @@ QUANTILE = 0.995
 #: Table rows that one step broadcasts, and trusted ids that are broadcast rather than shuffled.
 SHARD_ROWS, BROADCAST_IDS = 4_000_000, 1_000_000
 
+#: Bytes of text worked on at once; the arrays of a block are some sixty times as large.
+BLOCK = 2 << 20
+
 
 def grams(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
     """All n-grams of the texts as whole numbers, first byte highest, and each text's number of bytes.
@@ -49,7 +52,7 @@ def count_grams(docs: DataFrame, order: int = ORDER, text: str = "text") -> Data
     """(code, c): how often each n-gram occurs in ``docs``, counted in the tasks first."""
 
     def count(batches):
-        for block in blocks(batches, text):
+        for block in blocks(batches, text, BLOCK):
             code, c = np.unique(grams(block.column(text).to_pylist(), order)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(c.astype(np.int64))], ["code", "c"])
 
@@ -131,7 +134,7 @@ def perplexity(docs: DataFrame, model: DataFrame, order: int = ORDER, text: str
         sent = rows.sparkSession.sparkContext.broadcast(table)
 
         def score(batches):
-            for block in blocks(batches, text):
+            for block in blocks(batches, text, BLOCK):
                 code, lengths = grams(block.column(text).to_pylist(), order)
                 distinct, where = np.unique(code, return_inverse=True)
                 logp = np.log(probability(sent.value, distinct, order))
