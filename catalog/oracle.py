@@ -7,7 +7,7 @@ from catalog.fixtures import (
     FIXTURE_MIN, FIXTURE_MINIMA, FIXTURE_RATIO, FIXTURE_RATIOS, FIXTURE_STOP_WORDS, FIXTURE_SWEEP,
     PAPERS_SQL,
 )
-from papersieve.operators.disciplines import GRID_MINIMA, GRID_RATIOS
+from papersieve.operators.disciplines import GRID_MINIMA, GRID_RATIOS, SWEEP
 from papersieve.operators.metrics import SEARCH_THRESHOLDS
 from papersieve.operators.screening import SENSITIVITY_THRESHOLDS
 from papersieve.sources.anchors import DISCIPLINES
@@ -299,12 +299,17 @@ with {ASSIGNED}, shares as (select count(*) / sum(count(*)) over () as p from ex
 select round(-sum(p * ln(p + 1e-10)), 6) as entropy from shares
 """
 
-ORACLES["breadth_sweep"] = f"""
-with {SIMS}, picked as (select t, {breadth_case('t', 't')} as b from top, (select unnest({doubles(FIXTURE_SWEEP)}) as t))
-select t as threshold, v.b as presence_breadth, round(count(*) filter (where picked.b = v.b) / count(*), 6) as share
+def sweep_sql(values, shown: str) -> str:
+    return f"""
+with {SIMS}, picked as (select t, {breadth_case('t', 't')} as b from top, (select unnest({doubles(values)}) as t))
+select {shown} as threshold, v.b as presence_breadth, round(count(*) filter (where picked.b = v.b) / count(*), 6) as share
 from picked, (values (1), (2), (3)) v(b) group by t, v.b
 """
 
+
+ORACLES["breadth_sweep"] = sweep_sql(FIXTURE_SWEEP, "t")
+ORACLES["breadth_sweep_default"] = sweep_sql(SWEEP, "round(t, 6)")
+
 YEARLY = f"""{ASSIGNED}, yearly as (select pub_year, discipline, count(*) as paper_count from exploded join years using (paper_id)
   where pub_year is not null group by pub_year, discipline)"""
 
@@ -468,10 +473,10 @@ with {OVERLAP} select round(1 - avg(value), 6) as diversity from overlap where t
 """
 
 SPACE_TOKENS = f"""{TOPIC_DOCS}, token_docs as (select paper_id, tokens from (
-    select paper_id, regexp_extract_all({cleaned('text')}, '\\S+') as tokens from topic_docs) where len(tokens) > 10)"""
-LETTER_TOKENS = "token_docs as (select paper_id, regexp_extract_all(lower(text), '[a-z]+') as tokens from topic_docs)"
+    select doc_id as paper_id, regexp_extract_all({cleaned('text')}, '\\S+') as tokens from documents) where len(tokens) > 10)"""
+LETTER_TOKENS = "token_docs as (select doc_id as paper_id, regexp_extract_all(lower(text), '[a-z]+') as tokens from documents)"
 DICTIONARY = """dictionary as (select term, count(*) as df from (select distinct paper_id, unnest(tokens) as term from token_docs)
-  group by term having count(*) >= 5 and count(*) <= (select count(*) from token_docs) * 0.5::double order by df desc, term limit 100000)"""
+  group by term having count(*) >= 5 and count(*) <= (select count(*) from token_docs) * 0.5::double)"""
 
 ORACLES["dictionary_filter"] = f"with {SPACE_TOKENS}, {DICTIONARY} select term, df from dictionary"
 
@@ -557,7 +562,7 @@ ORACLES["embed_documents"] = f"""
 with tf as (select id, token, count(*) as tf from (
     select doc_id as id, unnest(regexp_extract_all(lower(text), '{TOKEN_CLASS}')) as token from documents) group by id, token),
 df as (select token, count(*) as df from tf group by token),
-{hashed_sql('v', 'tf', 'df', '(select count(*) from documents)', 64)}
+{hashed_sql('v', 'tf', 'df', '(select count(*) from documents)', 256)}
 select id as paper_id, cast(bucket as integer) as bucket, round(cast(cast(value as float) as double), 5) as value
 from v where round(cast(cast(value as float) as double), 5) <> 0
 """
@@ -605,7 +610,8 @@ union all select -1, -1
 
 ORACLES["yearly_corpus"] = f"""
 with papers as ({PAPERS}), c as (
-  select try_cast(pub_year as integer) as pub_year, paper_id, {cleaned('abstract')} as text from papers)
+  select try_cast(pub_year as integer) as pub_year, paper_id,
+    {cleaned("concat(coalesce(title, ''), '[SEP]', coalesce(abstract, ''))")} as text from papers)
 select pub_year, paper_id, cast(length(text) as integer) as n_chars, md5(text) as text_md5
 from c where pub_year is not null and length(text) >= 50
 """

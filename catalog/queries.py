@@ -261,6 +261,13 @@ def breadth_sweep(spark, sf_dir):
     )
 
 
+@query
+def breadth_sweep_default(spark, sf_dir):
+    return disciplines.breadth_sweep(scored_vectors(spark, sf_dir)).select(
+        *r6("threshold"), "presence_breadth", *r6("share")
+    )
+
+
 @query
 def discipline_trends(spark, sf_dir):
     return trends.discipline_trends(assigned_with_year(spark, sf_dir))
@@ -431,13 +438,13 @@ def topic_diversity(spark, sf_dir):
 def space_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole-corpus evaluation input: cleaned texts of more than ten tokens."""
     cleaned = with_computed(
-        topic_documents(spark, sf_dir).select("paper_id", "text"), "text", tx.clean_academic_text(F.col("text"))
+        text_documents(spark, sf_dir), "text", tx.clean_academic_text(F.col("text"))
     )
     return topic_flow.evaluation_tokens(cleaned)
 
 
 def letter_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topic_documents(spark, sf_dir).select("paper_id", tx.tokenize_alpha(F.col("text")).alias("tokens"))
+    return text_documents(spark, sf_dir).select("paper_id", tx.tokenize_alpha(F.col("text")).alias("tokens"))
 
 
 @query
@@ -502,7 +509,7 @@ def text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def embed_documents(spark, sf_dir):
-    vectors = embedding.embed_documents(text_documents(spark, sf_dir), dim=64)
+    vectors = embedding.embed_documents(text_documents(spark, sf_dir))
     cells = vectors.select("paper_id", F.posexplode("embedding").alias("bucket", "value"))
     return cells.withColumn("value", F.round(F.col("value").cast("double"), 5)).filter("value <> 0")
 
@@ -543,10 +550,12 @@ def reduce_dims(spark, sf_dir):
 
 @query
 def screen_model(spark, sf_dir):
-    """Boosted trees on the given vectors with ``quality`` as label; 10 trees keep the check short."""
+    """Boosted trees on the embedded text of every labelled document, ``quality`` as label."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("paper_id"), F.col("quality").alias("label"))
-    rows = stratified_split(vectors(spark, sf_dir).drop("label").join(labels, "paper_id"))
-    fitted = model.train_screener(rows.filter("not is_validation"), n_trees=10)
+    texts = text_documents(spark, sf_dir).join(labels, "paper_id")
+    embedded = embedding.embed_documents(texts.select("paper_id", "text"))
+    rows = materialize(stratified_split(embedded.join(labels, "paper_id")))
+    fitted = model.train_screener(rows.filter("not is_validation"))
     return model.score_screener(fitted, rows.filter("is_validation")).select("paper_id", "label", "model_score")
 
 
@@ -577,7 +586,7 @@ FIXTURE_TOPICS = topic_flow.TopicSettings(
 
 def text_model(spark: SparkSession, sf_dir: str) -> topic_flow.TopicModel:
     """Topic model of the documents from their own text."""
-    docs = discipline_docs(spark, sf_dir).select("paper_id", "text")
+    docs = text_documents(spark, sf_dir)
     return topic_flow.fit_topics(topic_flow.prepare(docs, FIXTURE_TOPICS), FIXTURE_TOPICS)
 
 
@@ -610,11 +619,11 @@ def yearly_corpus(spark, sf_dir):
     """Papers written as one CSV folder per year, read back, cleaned and filtered by length."""
     base = f"{shared_dir(spark)}/papersieve-yearly/{uuid.uuid4().hex}"
     dated = papers(spark, sf_dir).select(
-        "paper_id", F.col("abstract").alias("Full Text"),
+        "paper_id", tx.build_text(F.col("title"), F.col("abstract")).alias("Full Text"),
         tx.to_number(F.col("pub_year")).cast("int").alias("year"),
     ).filter("year is not null")
     folder = dated.withColumn("year", F.col("year").cast("string"))
     sinks.write_yearly(folder, base, "year", "csv")
-    docs = read_yearly(spark, base, "csv").select("pub_year", F.col("paper_id").cast("bigint").alias("paper_id"), "text")
+    docs = read_yearly(spark, base, "csv", multi_line=True).select("pub_year", F.col("paper_id").cast("bigint").alias("paper_id"), "text")
     cleaned = with_computed(docs, "text", tx.clean_academic_text(F.col("text"))).filter(tx.long_enough(F.col("text")))
     return cleaned.select("pub_year", "paper_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))

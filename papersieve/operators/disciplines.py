@@ -26,8 +26,6 @@ from papersieve.session import with_computed
 
 # Relative and absolute bound of the second and third discipline.
 RATIO, MINIMUM = 0.95, 0.80
-MAX_ANCHORS = 1000
-
 
 # The grid of the threshold study and the sweep of the breadth study.
 GRID_RATIOS = tuple(np.arange(0.85, 0.99, 0.01).tolist())
@@ -53,18 +51,14 @@ def label_centroids(df: DataFrame, label: str = "label", vector: str = "embeddin
 def add_anchor_scores(docs: DataFrame, anchors: DataFrame, vector: str = "embedding") -> DataFrame:
     """T7+W1: add ``scores``, an array of (sim, ordinal, discipline) by descending similarity.
 
-    Ties keep anchor order. ``anchors(ordinal, discipline, embedding)`` is a dimension of at most
-    ``MAX_ANCHORS`` rows; more raise an error instead of growing what every task holds.
+    Ties keep anchor order. ``anchors(ordinal, discipline, embedding)`` is a list the study states, nine
+    in the taxonomy; every paper's result holds a score for each, so its length sets the output's width.
     """
     entry = F.struct(
         F.col("ordinal"), F.col("discipline"), as_double(F.col(vector)).alias("v"),
         norm(as_double(F.col(vector))).alias("norm"),
     )
-    packed = anchors.agg(
-        F.when(
-            F.count("*") > MAX_ANCHORS, F.raise_error(F.lit(f"more than {MAX_ANCHORS} anchors"))
-        ).otherwise(F.collect_list(entry)).alias("anchors")
-    )
+    packed = anchors.agg(F.collect_list(entry).alias("anchors"))
     # the paper's vector is zipped to the anchors: an outer expression used inside a lambda may be
     # evaluated again for every element
     paper = F.struct(F.col("_v").alias("v"), F.col("_norm").alias("norm"))

@@ -132,8 +132,11 @@ def representative_docs(
         .agg(F.count("*").alias("_tf"))
     )
     key = F.concat_ws("\u0001", F.col(topic).cast("string"), "term").alias("_key")
-    lookup = weights.select(key, F.struct("weight", "idf").alias("_w"), "n")
-    joined = join_by_skewed_key(per_doc.select("*", key), lookup, "_key", "_w", "n", id_col)
+    listed = weights.select(key, F.struct("weight", "idf").alias("_w"))
+    # counted on the documents: terms that ``weights`` leaves out are often the most frequent ones
+    counted = per_doc.select(key).groupBy("_key").agg(F.count("*").alias("_rows"))
+    lookup = counted.join(listed, "_key", "left")
+    joined = join_by_skewed_key(per_doc.select("*", key), lookup, "_key", "_w", "_rows", id_col)
     tf = F.sqrt("_tf") if reduce_frequent_words else F.col("_tf").cast("double")
     own = tf * F.col("_w.idf")
     scored = joined.filter(F.col("_w").isNotNull()).groupBy(id_col, topic).agg(

@@ -68,10 +68,12 @@ def join_by_skewed_key(
     than 1/hot_share of all of them, so fewer than ``hot_share`` keys can be hot and that part of the
     lookup is safe to broadcast. Rows with a hot (or NULL) key skip the shuffle key and are spread
     by ``spread_by``; all other keys are light and meet their value in an ordinary shuffle join.
+    A frequent key that ``lookup`` lacks would be taken for a light one: list it with a NULL ``value``
+    and its count, and its rows are spread as well.
     """
     total = lookup.agg(F.sum(rows_per_key).alias("total"))
     marked = lookup.withColumn("_hot", F.col(rows_per_key) * hot_share > total.scalar())
-    hot = marked.filter("_hot").select(F.col(key), F.col(value).alias("_hot_value"))
+    hot = marked.filter("_hot").select(F.col(key), F.struct(F.col(value).alias("v")).alias("_hot_value"))
     light = marked.filter("not _hot").select(
         F.concat(F.lit("k:"), F.col(key).cast("string")).alias("_join_key"),
         F.col(value).alias("_light_value"),
@@ -85,7 +87,7 @@ def join_by_skewed_key(
     )
     return (
         joined.join(light, "_join_key", "left")
-        .withColumn(value, F.coalesce("_hot_value", "_light_value"))
+        .withColumn(value, F.coalesce("_hot_value.v", "_light_value"))
         .drop("_join_key", "_hot_value", "_light_value")
     )
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from papersieve.session import materialize
+
 # Column headers of a bibliographic export and their names here.
 HEADERS = {
     "UT": "ut",
@@ -32,18 +34,27 @@ def rename_headers(df: DataFrame, headers: Mapping[str, str] = HEADERS) -> DataF
 
 
 def read_papers(spark: SparkSession, path: str | Sequence[str], fmt: str = "csv",
-                columns: Sequence[str] | None = None) -> DataFrame:
+                columns: Sequence[str] | None = None, multi_line: bool = False,
+                id_col: str | None = "paper_id") -> DataFrame:
     """A header-first table (csv, json, parquet, orc) with names in snake case.
 
     ``columns`` lists the file's headers and spares CSV and JSON the schema pass; text formats are read as
-    strings and coerced later by rule. Abstracts may hold quoted line breaks.
+    strings and coerced later by rule. Abstracts with quoted line breaks need ``multi_line``, which reads
+    a CSV file in one piece; without it large files are split.
+
+    A table without ``id_col`` gets one, a LONG that grows with the row's place in its file; several files
+    follow each other as Spark lists them, large ones first. The table is then stored, so that every
+    later job sees the same ids. ``id_col=None`` adds none.
     """
     reader = spark.read.format(fmt)
     if columns is not None and fmt in ("csv", "json"):
         reader = reader.schema(StructType([StructField(c, StringType()) for c in columns]))
     if fmt == "csv":
-        reader = reader.options(header=True, multiLine=True, quote='"', escape='"', enforceSchema=False)
-    return rename_headers(reader.load(path))
+        reader = reader.options(header=True, multiLine=multi_line, quote='"', escape='"', enforceSchema=False)
+    df = rename_headers(reader.load(path))
+    if id_col is None or id_col in df.columns:
+        return df
+    return materialize(df.withColumn(id_col, F.monotonically_increasing_id()))
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -56,15 +67,16 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def read_yearly(spark: SparkSession, base: str, fmt: str = "parquet", key: str = "text",
-                stamp_year: bool = True) -> DataFrame:
+                stamp_year: bool = True, multi_line: bool = False) -> DataFrame:
     """S2+S3: all tables under ``base/<digits>/``, each row with the folder's year and a ``text`` column.
 
-    Folders whose name is not all digits are not read. Years may differ in their columns; a year
-    without a column whose name contains ``key`` is skipped; no usable year at all is an error.
+    ``year=<digits>`` folders are read too; other names are not, nor are folders without a file. Years
+    may differ in their columns; a year without a column whose name contains ``key`` is skipped; no
+    usable year at all is an error.
     """
     parts = []
     for year, path in _year_folders(spark, base):
-        df = read_papers(spark, path, fmt)
+        df = read_papers(spark, path, fmt, multi_line=multi_line, id_col=None)
         column = resolve_column(df, [key])
         if column is None:
             continue
@@ -80,8 +92,15 @@ def _year_folders(spark: SparkSession, base: str) -> list[tuple[int, str]]:
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(base)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [s for s in fs.listStatus(root) if s.isDirectory() and s.getPath().getName().isdigit()]
-    return sorted((int(s.getPath().getName()), s.getPath().toString()) for s in found)
+    found = []
+    for status in fs.listStatus(root):
+        path = status.getPath()
+        year = path.getName().removeprefix("year=")
+        if status.isDirectory() and year.isdigit() and any(
+            not f.getPath().getName().startswith(("_", ".")) for f in fs.listStatus(path)
+        ):
+            found.append((int(year), path.toString()))
+    return sorted(found)
 
 
 def require_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:

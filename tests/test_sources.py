@@ -14,7 +14,7 @@ def test_csv_round_trip_with_line_breaks(spark, tmp_path):
     path = str(tmp_path / "papers")
     sinks.write_table(df, path, "csv")
     for columns in (None, df.columns):
-        got = src.read_papers(spark, path, columns=columns).orderBy("ut")
+        got = src.read_papers(spark, path, columns=columns, multi_line=True, id_col=None).orderBy("ut")
         assert got.columns == ["ut", "title", "abstract", "pub_year"]
         assert [tuple(r) for r in got.collect()] == [tuple(r) for r in df.collect()]
 
@@ -36,6 +36,19 @@ def test_write_yearly_gives_the_scanned_layout(spark, tmp_path):
     assert sorted((r.id, r.pub_year) for r in got.collect()) == [(1, 2016), (2, 2017)]
 
 
+def test_yearly_scan_skips_empty_folders_and_reads_partitions(spark, tmp_path):
+    spark.createDataFrame([("a",)], "text string").write.parquet(f"{tmp_path}/year=2019")
+    (tmp_path / "2020").mkdir()
+    assert [(r.pub_year, r.text) for r in src.read_yearly(spark, str(tmp_path)).collect()] == [(2019, "a")]
+
+
+def test_export_without_ids_gets_them_in_file_order(spark, tmp_path):
+    df = spark.createDataFrame([(f"u{i:03}", "t") for i in range(50)], "`UT` string, `Article Title` string")
+    df.coalesce(1).write.csv(str(tmp_path / "one"), header=True)
+    got = src.read_papers(spark, str(tmp_path / "one")).orderBy("paper_id").collect()
+    assert [r.ut for r in got] == [f"u{i:03}" for i in range(50)] and len({r.paper_id for r in got}) == 50
+
+
 def test_columns(spark):
     df = spark.createDataFrame([(1, 2)], "`Clean TEXT` int, `text` int")
     assert src.resolve_column(df, ["text"]) == "Clean TEXT" and src.resolve_column(df, ["year"]) is None
@@ -70,3 +83,21 @@ def test_skew_joins_equal_the_plain_join(spark):
     assert got.count() == 3000
     salted = join_salted(big, lookup.select("key", "value"), "key", "id")
     assert salted.count() == want.filter("value is not null").count()
+
+
+def test_hot_key_without_value_is_spread(spark):
+    big = spark.range(20000).select(F.col("id").cast("int").alias("id"), F.when(F.col("id") % 10 != 0, "hot").otherwise(
+        F.concat(F.lit("k"), F.col("id").cast("string"))).alias("key"))
+    lookup = big.groupBy("key").agg(F.count("*").alias("n")).withColumn("value", F.when(F.col("key") != "hot", F.col("key")))
+    got = join_by_skewed_key(big, lookup, "key", "value", "n", "id")
+    assert got.filter("value = key").count() == 2000 and got.filter("value is null").count() == 18000
+    aqe = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sizes = [r["count"] for r in join_by_skewed_key(big, lookup, "key", "value", "n", "id").groupBy(
+            F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert max(sizes) < 3 * sum(sizes) / len(sizes)
