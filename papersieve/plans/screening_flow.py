@@ -27,7 +27,7 @@ def screen_corpus(
     embed = embed or embedding.embed_documents
     labelled = cleaning.with_text(cleaning.clean_labels(train))
     annotated = cleaning.clean_papers(papers)
-    corpus = cleaning.with_text(cleaning.kept(annotated))
+    corpus = cleaning.with_text(cleaning.kept(annotated), compat=True)  # a kept paper is always scored
 
     def keyed(df: DataFrame, role: str) -> DataFrame:
         return df.select(F.concat(F.lit(role), F.col("paper_id").cast("string")).alias("paper_id"), "text")
