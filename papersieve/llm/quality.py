@@ -28,7 +28,7 @@ QUANTILE = 0.995
 SHARD_ROWS, BROADCAST_IDS = 4_000_000, 1_000_000
 
 #: Bytes of text worked on at once; the arrays of a block are some sixty times as large.
-BLOCK = 2 << 20
+BLOCK = 512 << 10
 
 
 def grams(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
