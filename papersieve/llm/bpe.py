@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from papersieve.llm.common import blocks
 
 #: Documents of this many bytes share one replay.
-BLOCK = 24 << 20
+BLOCK = 6 << 20
 #: Units whose digests a worker keeps between blocks, at most.
 KNOWN = 400_000
 
