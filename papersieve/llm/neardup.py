@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from papersieve.llm.common import blocks, connected
 from papersieve.llm.decontaminate import words
 from papersieve.llm.substrings import NO_ID, mix, sequence_hash
-from papersieve.session import materialize
+from papersieve.session import join_by_skewed_key, materialize
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 22, 6
@@ -166,7 +166,7 @@ class Sampler:
 
 
 def signatures(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc, node, bands, samples) per row: node is a digest of the words, null where a text has none."""
+    """(doc, hash, node, bands, samples) per row: node is a digest of the words, null where a text has none."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def sign(batches):
@@ -186,11 +186,11 @@ def signatures(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], bands:
                 band_lists[t] = band[i].astype(np.int64)
                 samples[t] = short[i].tobytes()
             yield pa.RecordBatch.from_arrays([
-                block.column("doc"), pa.array(node, pa.binary()), pa.array(band_lists, pa.list_(pa.int64())),
+                block.column("doc"), block.column("hash"), pa.array(node, pa.binary()), pa.array(band_lists, pa.list_(pa.int64())),
                 pa.array(samples, pa.binary()),
-            ], ["doc", "node", "bands", "samples"])
+            ], ["doc", "hash", "node", "bands", "samples"])
 
-    return docs.mapInArrow(sign, "doc long, node binary, bands array<long>, samples binary")
+    return docs.mapInArrow(sign, "doc long, hash long, node binary, bands array<long>, samples binary")
 
 
 def sequence_hash_rows(values: np.ndarray, seed: int) -> np.ndarray:
@@ -264,27 +264,29 @@ def verify(pairs: DataFrame, nodes: DataFrame, weighed: DataFrame) -> DataFrame:
     return _sided(near, weighed, ["shingle", "weight"]).mapInArrow(compare, "a binary, b binary, similarity double")
 
 
-def near_duplicates(
+def classified(
     docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
     text: str = "text", doc_id: str = "doc_id",
 ) -> DataFrame:
-    """doc_id, class_id, class_size, n_links of every row; class_id is the least doc_id of its class.
+    """(doc, hash, node, fact) of every row: id, hash of the text, digest of its words, and what is known of it.
 
-    A class holds the rows whose words agree and all that verified links join. ``n_links`` counts a
-    row's verified links to other texts (leaders and members, not all pairs). Words are lower-cased
-    runs of letters and digits. Texts without words (null, empty) are classes of their own; so is
-    every text with no link. Rows that share a doc_id are told apart by their words; a null id counts
-    as the least and gives a null class_id. Of an empty table nothing is returned.
+    ``fact`` holds the class (the id and hash of its first row, its number of rows) and the links of
+    the text; it is null where the text has no words.
     """
     source = docs.select(
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).alias("text")
+        F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"),
+        F.xxhash64(text).alias("hash"), F.col(text).alias("text"),
     )
     n = source.count()
     frequent = frequent_shingles(source.select("text"), n)
     signed = materialize(signatures(source, frequent, bands, rows))
     nodes = (
         signed.filter("node is not null").groupBy("node")
-        .agg(F.min("doc").alias("doc"), F.first("bands").alias("bands"), F.first("samples").alias("samples"))
+        .agg(
+            F.min(F.struct("doc", "hash")).alias("least"), F.count("*").alias("copies"),
+            F.first("bands").alias("bands"), F.first("samples").alias("samples"),
+        )
+        .select("node", "least.*", "copies", "bands", "samples")
     )
     nodes = materialize(nodes)
     placed = nodes.select("node", F.explode("bands").alias("bucket"))
@@ -327,23 +329,59 @@ def near_duplicates(
             .select("node", F.coalesce("component", "node").alias("component"))
         )
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    known = component.join(degree, "node", "left")
-    rows_ = signed.select("doc", "node").join(known, "node", "left").select(
-        "doc", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    facts = materialize(
+        nodes.select("node", "doc", "hash", "copies").join(component, "node", "left").join(degree, "node", "left")
+        .withColumn("component", F.coalesce("component", "node"))
+        .withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
     )
-    classes = rows_.filter("component is not null").groupBy("component").agg(
-        F.min("doc").alias("class_id"), F.count("*").alias("class_size")
+    classes = materialize(
+        facts.groupBy("component").agg(
+            F.struct(
+                F.min(F.struct("doc", "hash")).alias("kept"), F.sum("copies").alias("size")
+            ).alias("class"),
+            F.count("*").alias("members"),
+        )
     )
-    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return rows_.join(classes, "component", "left").select(
-        real("doc").alias("doc_id"),
-        F.when(F.col("component").isNull(), real("doc")).otherwise(real("class_id")).alias("class_id"),
-        F.coalesce("class_size", F.lit(1)).alias("class_size"), "n_links",
+    # a class may hold a third of all texts, a text a third of all rows
+    told = materialize(join_by_skewed_key(facts, classes, "component", "class", "members", "node").select(
+        "node", F.struct("class", "n_links").alias("fact"), "copies"
+    ))
+    return join_by_skewed_key(signed.select("doc", "hash", "node"), told, "node", "fact", "copies", "doc")
+
+
+def near_duplicates(
+    docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
+    text: str = "text", doc_id: str = "doc_id",
+) -> DataFrame:
+    """doc_id, class_id, class_size, n_links of every row; class_id is the least doc_id of its class.
+
+    A class holds the rows whose words agree and all that verified links join. ``n_links`` counts a
+    row's verified links to other texts (leaders and members, not all pairs). Words are lower-cased
+    runs of letters and digits. Texts without words (null, empty) are classes of their own; so is
+    every text with no link. Rows that share a doc_id are told apart by their words; a null id counts
+    as the least and gives a null class_id. Of an empty table nothing is returned.
+    """
+    real = lambda c: F.when(c != NO_ID, c)
+    return classified(docs, similarity, bands, rows, text, doc_id).select(
+        real(F.col("doc")).alias("doc_id"),
+        real(F.coalesce("fact.class.kept.doc", "doc")).alias("class_id"),
+        F.coalesce("fact.class.size", F.lit(1).cast("long")).alias("class_size"),
+        F.coalesce("fact.n_links", F.lit(0).cast("long")).alias("n_links"),
     )
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each near-duplicate class, the one of least doc_id."""
-    found = near_duplicates(docs, **options).filter("doc_id <=> class_id").select("doc_id").distinct()
-    first = docs.join(found.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return first.dropDuplicates(["doc_id"]).select(docs.columns)
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """``docs`` with one row of each near-duplicate class, the one of least doc_id.
+
+    Of rows of a class that share that id, the one whose text has the least hash; of equal rows one.
+    Texts without words stay, one row for each id and text. A null id counts as the least. Columns
+    _keep_doc and _keep_hash may not be there.
+    """
+    found = classified(docs, text=text, doc_id=doc_id, **options)
+    own = F.struct("doc", "hash")
+    first = found.filter(F.coalesce(F.col("fact.class.kept") == own, F.lit(True))).select(
+        F.col("doc").alias("_keep_doc"), F.col("hash").alias("_keep_hash")
+    )
+    keyed = docs.withColumn("_keep_doc", F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))).withColumn("_keep_hash", F.xxhash64(text))
+    kept = keyed.join(first, ["_keep_doc", "_keep_hash"], "left_semi")
+    return kept.dropDuplicates(["_keep_doc", "_keep_hash"]).select(docs.columns)

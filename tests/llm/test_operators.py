@@ -123,7 +123,8 @@ def test_near_duplicates_find_all_links(docs):
     got = {(r.doc_id, r.class_id, r.class_size) for r in neardup.near_duplicates(docs).collect()}
     assert {(1, 1, 3), (2, 1, 3), (3, 1, 3), (4, 4, 1), (5, 5, 1), (7, 7, 1), (11, 11, 2)} <= got
     kept = [r.doc_id for r in neardup.keep_one(docs).collect()]
-    assert sorted(x for x in kept if x) == [1, 4, 5, 6, 7, 8, 9, 10, 11]
+    assert sorted(x for x in kept if x) == [1, 4, 5, 6, 7, 8, 9, 10, 10, 11]  # two texts under one id
+    assert kept.count(None) == 1
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
