@@ -34,6 +34,8 @@ STEPS = 64
 CHUNK = 1 << 21
 #: Pairs whose samples agree less are not verified: over four standard deviations below 0.8.
 LEAST_AGREEMENT = 0.65
+#: Bytes of text worked on at once; the words and arrays of a block are some thirty times as large.
+BLOCK = 2 << 20
 _POOL = 1 << 16
 _IDS = np.uint64((1 << 48) - 1)
 
@@ -91,7 +93,7 @@ def frequent_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
     def nominate(batches):
         found = np.empty(0, np.uint64)
-        for block in blocks(batches, "text", rows=_POOL - 1):
+        for block in blocks(batches, "text", BLOCK, _POOL - 1):
             _, value, _, _ = shingles(block.column("text").to_pylist())
             value, here = np.unique(value, return_counts=True)
             found = np.union1d(found, value[here * STEPS >= block.num_rows])
@@ -109,7 +111,7 @@ def frequent_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
         def count(batches):
             wanted = sent.value
             total = np.zeros(len(wanted), np.int64)
-            for block in blocks(batches, "text", rows=_POOL - 1):
+            for block in blocks(batches, "text", BLOCK, _POOL - 1):
                 _, value, _, _ = shingles(block.column("text").to_pylist())
                 if len(wanted):
                     slot = np.minimum(np.searchsorted(wanted, value), len(wanted) - 1)
@@ -171,7 +173,7 @@ def signatures(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], bands:
 
     def sign(batches):
         sampler = Sampler(bands * rows, float(idf(np.zeros(1))[0]))
-        for block in blocks(batches, "text", rows=_POOL - 1):
+        for block in blocks(batches, "text", BLOCK, _POOL - 1):
             text, value, times, joined = shingles(block.column("text").to_pylist())
             weight = times * idf(_lookup(value, sent.value))
             have, first = np.unique(text, return_index=True)
@@ -205,7 +207,7 @@ def features(docs: DataFrame, nodes: DataFrame, frequent: tuple[np.ndarray, np.n
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def weigh(batches):
-        for block in blocks(batches, "text", rows=_POOL - 1):
+        for block in blocks(batches, "text", BLOCK, _POOL - 1):
             text, value, times, joined = shingles(block.column("text").to_pylist())
             weight = (times * idf(_lookup(value, sent.value))).astype("<f4")
             cuts = np.searchsorted(text, np.arange(block.num_rows + 1))
