@@ -34,7 +34,7 @@ STEPS = 64
 CHUNK = 1 << 21
 #: Pairs whose samples agree less are not verified: over four standard deviations below 0.8.
 LEAST_AGREEMENT = 0.65
-#: Bytes of text worked on at once; the words and arrays of a block are some thirty times as large.
+#: Bytes of text worked on at once; bounds a worker's memory.
 BLOCK = 2 << 20
 _POOL = 1 << 16
 _IDS = np.uint64((1 << 48) - 1)
