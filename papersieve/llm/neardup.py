@@ -3,10 +3,11 @@
 A document is a weighted set of its five-word shingles: term frequency times inverse document
 frequency. For every sample the shingle of least ``ln a`` is drawn so that two documents draw the same
 with the probability of their weighted Jaccard similarity. Samples are banded; documents that share a
-band are candidates. Instead of all pairs of a bucket, each member meets the bucket's leader, the
-member that shares buckets most; the same is done in the finer buckets of two neighbouring bands, and
-again among the classes still apart until a round finds no link. Each pair of different texts is
-verified by its exact weighted Jaccard similarity; classes are the components of the links.
+band are candidates. First each member meets the bucket's leader, the member that shares buckets
+most; the same is done in the finer buckets of two neighbouring bands, and again among the classes
+still apart until a round finds no link. Then, in every bucket that still holds several classes, all
+members of different classes meet. Each pair of different texts is verified by its exact weighted
+Jaccard similarity; classes are the components of the links.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ CHUNK = 1 << 21
 LEAST_AGREEMENT = 0.65
 #: Bytes of text worked on at once; bounds a worker's memory.
 BLOCK = 2 << 20
+#: Members of a bucket that are compared with as many others at once; larger buckets take several steps.
+GROUP = 1024
 _POOL = 1 << 16
 _IDS = np.uint64((1 << 48) - 1)
 
@@ -266,6 +269,85 @@ def verify(pairs: DataFrame, nodes: DataFrame, weighed: DataFrame) -> DataFrame:
     return _sided(near, weighed, ["shingle", "weight"]).mapInArrow(compare, "a binary, b binary, similarity double")
 
 
+def open_pairs(placed: DataFrame, active: DataFrame, component: DataFrame, floor: float) -> DataFrame:
+    """(a, b) of all members of different classes in one of the buckets ``placed`` (node, bucket) whose samples agree in ``floor``.
+
+    A bucket is cut into groups of about GROUP members: those of one large class, or of several small
+    ones. Each two groups (and each group of small classes with itself) meet in one place, so a large
+    class meets only what is not of it. Buckets of two members are left to the leaders.
+    """
+    member = placed.join(component, "node").select("bucket", "node", F.xxhash64("component").alias("class"))
+    sizes = member.groupBy("bucket", "class").agg(F.count("*").alias("size"))
+    several = sizes.groupBy("bucket").agg(
+        F.count("*").alias("classes"), F.sum("size").alias("n"),
+        F.sum(F.when(F.col("size") <= GROUP, F.col("size")).otherwise(0)).alias("small"),
+    ).filter("classes > 1 and n > 2")
+    parts = lambda n: F.ceil(F.col(n) / GROUP)
+    large = sizes.join(several, "bucket").select(
+        "bucket", "class", "small", F.when(F.col("size") > GROUP, parts("size")).alias("parts"),
+    )
+    part = F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("class"), parts("small"))).otherwise(
+        F.pmod(F.xxhash64("node"), F.col("parts"))
+    )
+    whole = F.when(F.col("parts").isNotNull(), F.col("class"))
+    grouped = materialize(member.join(large, ["bucket", "class"]).select(
+        "bucket", "class", "node", whole.alias("whole"), F.xxhash64(whole, part).alias("group")
+    ))
+    groups = grouped.select("bucket", "group", "whole").distinct()
+    other = groups.select("bucket", F.col("group").alias("group_b"), F.col("whole").alias("whole_b"))
+    meet = groups.join(other, "bucket").filter("group <= group_b and not coalesce(whole = whole_b, false)").select(
+        "bucket", F.xxhash64("bucket", "group", "group_b").alias("place"),
+        F.inline(F.when(
+            F.col("group") == F.col("group_b"), F.array(F.struct(F.col("group").alias("group"), F.lit(2).alias("side")))
+        ).otherwise(F.array(
+            F.struct(F.col("group").alias("group"), F.lit(0).alias("side")),
+            F.struct(F.col("group_b").alias("group"), F.lit(1).alias("side")),
+        ))),
+    )
+    seated = (
+        grouped.join(meet, ["bucket", "group"]).select("place", "side", "class", "node")
+        .join(active.select("node", "samples"), "node").repartition("place").sortWithinPartitions("place")
+    )
+
+    def agree(batches):
+        for place in _runs(batches, "place"):
+            node = np.array(place.column("node").to_pylist(), object)
+            own, side = (place.column(c).to_numpy() for c in ("class", "side"))
+            drawn = np.stack([np.frombuffer(x, "<u2") for x in place.column("samples").to_pylist()])
+            left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+            for i in range(0, len(left), GROUP):
+                for j in range(0, len(right), GROUP):
+                    x, y = left[i : i + GROUP], right[j : j + GROUP]
+                    same = np.zeros((len(x), len(y)), np.uint16)
+                    for s in range(drawn.shape[1]):
+                        same += drawn[x, s][:, None] == drawn[y, s][None, :]
+                    near = (same >= floor * drawn.shape[1]) & (own[x][:, None] != own[y][None, :])
+                    u, v = np.nonzero(near & ((side[x] != 2)[:, None] | (x[:, None] < y[None, :])))
+                    both = [sorted(p) for p in zip(node[x[u]], node[y[v]])]
+                    for k in range(0, len(both), _POOL):
+                        a, b = zip(*both[k : k + _POOL])
+                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    return seated.mapInArrow(agree, "a binary, b binary").distinct()
+
+
+def _runs(batches, key: str):
+    """The rows of each run of equal keys as one batch."""
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        value = batch.column(key).to_numpy()
+        cuts = [0, *(np.flatnonzero(value[1:] != value[:-1]) + 1).tolist(), len(value)]
+        for a, b in zip(cuts, cuts[1:]):
+            if held and held[-1].column(key)[0].as_py() != value[a]:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def classified(
     docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
     text: str = "text", doc_id: str = "doc_id",
@@ -307,16 +389,22 @@ def classified(
     links = None
     asked = None
     component = active.select("node", F.col("node").alias("component"))
+    # leaders until a round adds no link, then all that still share a bucket, the likeliest first
+    floors = iter((similarity, min(LEAST_AGREEMENT, similarity)))
+    floor = None
     while True:
-        # one member of each class in a bucket speaks for it; the most popular class leads
-        member = state.join(component, "node").groupBy("bucket", "component").agg(
-            F.max(F.struct("popularity", "node")).alias("m")
-        )
-        leader = member.groupBy("bucket").agg(F.max("m").alias("lead"), F.count("*").alias("n")).filter("n > 1")
-        pairs = (
-            member.join(leader, "bucket").filter("m.node <> lead.node")
-            .select(F.least("m.node", "lead.node").alias("a"), F.greatest("m.node", "lead.node").alias("b")).distinct()
-        )
+        if floor is None:
+            # one member of each class in a bucket speaks for it; the most popular class leads
+            member = state.join(component, "node").groupBy("bucket", "component").agg(
+                F.max(F.struct("popularity", "node")).alias("m")
+            )
+            leader = member.groupBy("bucket").agg(F.max("m").alias("lead"), F.count("*").alias("n")).filter("n > 1")
+            pairs = (
+                member.join(leader, "bucket").filter("m.node <> lead.node")
+                .select(F.least("m.node", "lead.node").alias("a"), F.greatest("m.node", "lead.node").alias("b")).distinct()
+            )
+        else:
+            pairs = open_pairs(coarse.select("node", "bucket"), active, component, floor)
         if asked is not None:
             pairs = pairs.join(asked, ["a", "b"], "left_anti")
         pairs = materialize(pairs)
@@ -324,12 +412,15 @@ def classified(
         new = found.count()
         links = found if links is None else links.union(found)
         asked = pairs if asked is None else asked.union(pairs)
-        if not new:
-            break
-        component = materialize(
-            active.select("node").join(connected(links), "node", "left")
-            .select("node", F.coalesce("component", "node").alias("component"))
-        )
+        if new:
+            component = materialize(
+                active.select("node").join(connected(links), "node", "left")
+                .select("node", F.coalesce("component", "node").alias("component"))
+            )
+        if floor is not None or not new:
+            floor = next(floors, None)
+            if floor is None:
+                break
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     facts = materialize(
         nodes.select("node", "doc", "hash", "copies").join(component, "node", "left").join(degree, "node", "left")

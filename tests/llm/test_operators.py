@@ -128,6 +128,42 @@ def test_near_duplicates_find_all_links(docs):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_all_of_a_bucket_are_compared(spark, monkeypatch):
+    """One band of one row, so that one bucket holds most texts of a template, and few are near its leader."""
+    monkeypatch.setattr(neardup, "GROUP", 32, raising=False)
+    template = text(50, 240).split()
+
+    def other(words, seed, at, n):
+        return [*words[:at], *(f"own{seed}x{k}" for k in range(n)), *words[at + n :]]
+
+    texts = [other(template, i, 100, 14) for i in range(300)]
+    texts += [other(t, 1000 + i, 2 * i, 2) for i, t in enumerate(texts[:40])]
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    n = len(texts)
+    own, value, times, _ = neardup.shingles([" ".join(t) for t in texts])
+    keys, counts = np.unique(value, return_counts=True)
+    step = np.where(counts * neardup.STEPS >= n, counts * neardup.STEPS // n, 0)
+    weight = (times * neardup.idf(step[np.searchsorted(keys, value)])).astype("<f4")
+    cuts = np.searchsorted(own, np.arange(n + 1))
+    packed = [(value[a:b].astype("<u8").tobytes(), weight[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
+    source = frame.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("hash"), "text")
+    signed = neardup.signatures(source, neardup.frequent_shingles(source.select("text"), n), 1, 1).collect()
+    bucket = {r.doc: r.bands[0] for r in signed}
+    leads = list(range(n))
+    pairs = apart = 0
+    for i in range(n):
+        for j in range(i):
+            near = neardup.weighted_jaccard(*packed[i], *packed[j])
+            apart += 0.7 < near < neardup.SIMILARITY and bucket[i] == bucket[j]
+            if near >= neardup.SIMILARITY and bucket[i] == bucket[j]:
+                pairs += 1
+                x, y = sorted((leads[i], leads[j]))
+                leads = [x if k == y else k for k in leads]
+    assert pairs > 25 and apart > 10000
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(frame, bands=1, rows=1).collect()}
+    assert [got[i] for i in range(n)] == leads
+
+
 def test_samples_estimate_weighted_jaccard():
     rng = np.random.default_rng(0)
     shingle = rng.integers(0, 1 << 48, 300).astype(np.uint64)
