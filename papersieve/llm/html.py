@@ -26,8 +26,10 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 # Element kinds of the HTML standard.
-RAW = {"script", "style", "template", "noscript", "textarea", "title", "iframe", "svg", "math", "object", "select"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+RAW = {"script", "style", "textarea", "title", "iframe"}
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+# svg and math hold elements of their own, among which '/>' ends one, until a tag of HTML or one that holds HTML
+FOREIGN, HOLDS_HTML = {"svg", "math"}, {"foreignobject", "annotation-xml"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img",
     "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup",
@@ -37,7 +39,11 @@ CLOSES_P = {
     "address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
     "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul",
 }
-SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+ENDS_FOREIGN = CLOSES_P | {
+    "b", "big", "body", "br", "center", "code", "dd", "dt", "em", "embed", "head", "i", "img", "li", "meta", "ruby", "s", "small",
+    "span", "strike", "strong", "sub", "sup", "tt", "u", "var",
+}
+SIBLINGS = {"option": {"option"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = {"ul", "ol", "dl", "table", "article", "section", "div", "body", "main", "aside", "nav"}
 
 
@@ -53,7 +59,7 @@ def leaf_blocks(page: str | None) -> list[tuple[tuple, str, int, int]]:
     out: list[tuple[tuple, str, int, int]] = []
     text: list[str] = []
     path: tuple | None = None
-    linked = links = 0
+    linked = links = within = 0
 
     def close() -> None:
         nonlocal path, linked
@@ -69,15 +75,25 @@ def leaf_blocks(page: str | None) -> list[tuple[tuple, str, int, int]]:
             return
         decoded = entities.unescape(raw)
         if path is None and not decoded.isspace():
-            path = tuple(e for e in stack if e[0] not in INLINE)
+            path = tuple(e for e in stack[:foreign()] if e[0] not in INLINE)
         text.append(decoded)
         if links:
             linked += len(decoded.strip())
 
+    def foreign() -> int | None:
+        """Where in the stack the svg or math begins that is open here, if its own elements are."""
+        if not within:
+            return None
+        at = None
+        for i, e in enumerate(stack):
+            at = None if e[0] in HOLDS_HTML else i if at is None and e[0] in FOREIGN else at
+        return at
+
     def pop(to: int) -> None:
-        nonlocal links
+        nonlocal links, within
         for e in stack[to:]:
             links -= e[0] == "a"
+            within -= e[0] in FOREIGN
         del stack[to:]
 
     at = 0
@@ -93,16 +109,37 @@ def leaf_blocks(page: str | None) -> list[tuple[tuple, str, int, int]]:
             continue
         if found[1]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            outer = foreign()
+            if outer is not None and (depth is None or depth >= outer) and name not in ENDS_FOREIGN:
+                if depth is not None:
+                    pop(depth)
+                continue
             if name not in INLINE:
                 close()
             if depth is not None and (name not in INLINE or all(e[0] in INLINE for e in stack[depth:])):
                 pop(depth)
             continue
+        outer = foreign()
+        if outer is not None and name in ENDS_FOREIGN:
+            pop(outer)
+            outer = None
+        if outer is not None or name in FOREIGN:
+            attributes = found[3]
+            if attributes.endswith("/"):
+                continue
+            if name in RAW:
+                end = re.compile(rf"</(?:({re.escape(name)})|{stack[outer][0]})\b[^>]*>", re.I).search(page, at)
+                if end and end[1]:
+                    at = end.end()
+                    continue
+            stack.append((name, *_described(attributes)))
+            within += name in FOREIGN
+            links += name == "a"
+            continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
-            if name not in ("svg", "math"):
-                close()
+            close()
             continue
         if name == "br":
             add(" ")
@@ -282,6 +319,10 @@ def labelled_pages() -> list[str]:
         top, side, end = tops[i % len(tops)], sides[i % len(sides)], ends[(i // 2) % len(ends)]
         order = (top, wrap.format(body), side) if i % 3 else (top, side, wrap.format(body))
         pages.append(head + "".join(order) + end + "</body></html>")
+    controls = "<header><select><option>English<option>Deutsch</select></header><form><select><option>1990</option><option>All years</option></select></form>"
+    for i in range(len(article)):
+        order = (controls, "<noscript>Please turn on scripts to see this page.</noscript>", wraps[i].format(article[i]), controls)
+        pages.append(head + "".join(order) + ends[i % len(ends)] + "</body></html>")
     return pages
 
 

@@ -222,6 +222,25 @@ def test_html_layouts_and_edges(spark):
     assert got[2] == got[3] == ""
 
 
+def test_only_raw_text_is_skipped():
+    texts = lambda page: [b[1] for b in html.leaf_blocks(page)]
+    assert texts("<svg class='icon'/><p>One</p><svg><g><path d='M0'/></g></svg><p>Two") == ["One", "Two"]
+    assert texts("<svg class=a><path d='M0'><p>One</p><p>Two</p>") == ["One", "Two"]
+    assert texts("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be <math/>given.</p>") == ["Let x=1 be given."]
+    assert texts("<p>A<svg><style>.a{}</style><title>Icon</title><script/><title>Lost</svg> b</p>") == ["ALost b"]
+    assert texts("<p>A</p><object data=f><param name=n><p>Fallback</p><p>B</p>") == ["A", "Fallback", "B"]
+    assert texts("<noscript>No script</noscript><select><option>x<option>y</select><template><p>t</template>") == ["No script", "x", "y", "t"]
+    assert texts("<svg><foreignObject><div>In</div></foreignObject><text>out</text></svg><p>C") == ["In", "out", "C"]
+    assert texts("<title>T</title><script>a='<p>'</script><p>A</p><textarea>x</textarea><p>B</p><script>c") == ["A", "B"]
+    field = html.train()
+    body = "<p>The first of some sentences, which is long enough for a page.</p><p>The second of them, and not the last one.</p>"
+    plain = html.main_text(field, f"<body><header><a href=/>Home</a></header><article>{body}</article></body>")
+    assert plain.count("\n") == 1
+    chosen = "<noscript>Scripts are off.</noscript><header><select><option>Français<option>Español</select></header>"
+    assert html.main_text(field, f"<body>{chosen}<header><a href=/>Home</a></header><article>{body}</article></body>") == plain
+    assert html.main_text(field, f"<body><header><svg class='icon'/><a href=/>Home</a></header><article>{body}</article></body>") == plain
+
+
 def test_licences(spark):
     mit = licences.TEMPLATES[4][1]
     rows = [
