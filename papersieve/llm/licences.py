@@ -1,13 +1,15 @@
-"""Licence scan: lines and blocks of lines against licence templates by the Dice coefficient of word bigrams.
+"""Licence scan: windows of words against licence templates by the Dice coefficient of word bigrams.
 
-A segment of s bigrams and a template of t can reach the coefficient c only if s lies between
-t c / (2 - c) and t (2 - c) / c, so templates out of these bounds are never compared; and only if at
-least c / (2 - c) of the segment's bigrams occur in some template, so ordinary text ends there.
+Windows slide over the words of the whole text, whatever its line ends. A window of s bigrams and a
+template of t can reach the coefficient c only if s lies between t c / (2 - c) and t (2 - c) / c, and
+only if t c / (2 - c) of the window's bigrams are the template's; a text in which no stretch of that
+length holds so many ends there. A best window begins and ends with a bigram of the template.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 from papersieve.llm.common import blocks
 
 DICE = 0.8
+#: Full texts, without the copyright line where there is one.
+TEXTS = Path(__file__).parent / "licence_texts"
 # Notices under which these licences are applied, as their texts or stewards word them.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -41,6 +45,7 @@ TEMPLATES = (
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    *((path.stem, path.read_text()) for path in sorted(TEXTS.glob("*.txt"))),
 )
 
 # A-Z folded, line ends kept, all else but letters, digits and characters beyond ASCII to blanks
@@ -63,53 +68,75 @@ class Scanner:
     def __init__(self, templates=TEMPLATES, least: float = DICE):
         self.least = least
         self.names = [name for name, _ in templates]
-        self.grams = [Counter(zip(w, w[1:])) for _, text in templates for w in [[x for line in normalise(text) for x in line]]]
-        self.sizes = np.array([sum(g.values()) for g in self.grams])
-        self.known = {g for grams in self.grams for g in grams}
-        self.first = {a for a, _ in self.known}
+        self.number: dict[tuple[bytes, bytes], int] = defaultdict(lambda: len(self.number))
+        words = [[w for line in normalise(text) for w in line] for _, text in templates]
+        grams = [Counter(self.number[g] for g in zip(w, w[1:])) for w in words]
+        self.number.default_factory = None
+        self.sizes = np.array([sum(g.values()) for g in grams], np.int64)
+        #: How often each template holds each bigram; the last column stands for all other bigrams.
+        self.times = np.zeros((len(grams), len(self.number) + 1), np.int64)
+        for i, g in enumerate(grams):
+            self.times[i, list(g)] = list(g.values())
         self.share = least / (2 - least)
-        self.longest = max(self.sizes, default=0) / self.share
-
-    def match(self, words: list[bytes]) -> tuple[str, float] | None:
-        """Name and coefficient of the template nearest to a segment; of equal ones the first."""
-        size = len(words) - 1
-        if size < 1 or size > self.longest:
-            return None
-        grams = Counter(zip(words, words[1:]))
-        if sum(n for g, n in grams.items() if g in self.known) < self.share * size:
-            return None
-        near = np.flatnonzero((self.sizes * self.share <= size + 1e-9) & (size * self.share <= self.sizes + 1e-9))
-        best = max(((dice(grams, self.grams[i]), -i) for i in near), default=(0.0, 0))
-        return (self.names[-best[1]], best[0]) if best[0] >= self.least else None
+
+    def windows(self, gram: np.ndarray, i: int) -> list[tuple[int, float, int, int, int]]:
+        """(bigrams in common, coefficient, -first, last bigram, -i) of the best window from every start, where it matches template ``i``."""
+        size, times = int(self.sizes[i]), self.times[i]
+        need, longest = self.share * size - 1e-9, int(size / self.share + 1e-9)
+        inside = times[gram] > 0
+        total = np.append(0, np.cumsum(inside))
+        hits = np.flatnonzero(inside)
+        starts = hits[total[np.minimum(hits + longest, len(gram))] - total[hits] >= need]
+        if not len(starts):
+            return []
+        # a bigram counts if fewer of its kind than the template holds come before it in the window
+        hits = hits[np.argsort(gram[hits], kind="stable")]
+        kind = gram[hits]
+        back = np.arange(len(hits)) - times[kind]
+        before = np.full(len(gram), len(gram), np.int64)
+        before[hits] = np.where((back >= 0) & (kind[back] == kind), hits[back], -1)
+        both = np.arange(1, longest + 1) + size
+        out = []
+        for p in starts.tolist():
+            common = np.cumsum(before[p : p + longest] < p)
+            score = 2 * common / both[: len(common)]
+            k = int(score.argmax())
+            if score[k] >= self.least:
+                out.append((int(common[k]), float(score[k]), -p, p + k, -i))
+        return out
 
     def scan(self, text: str | None) -> list[tuple[int, int, str, float]]:
-        """(first line, last line, licence, coefficient): lines, and blocks of lines of template words, that match.
+        """(first line, last line, licence, coefficient) of windows that match and do not overlap.
 
-        A block that matches takes the place of its lines.
+        Of windows that overlap, the one with most bigrams of its template is taken, then the nearest;
+        what is left between those taken is scanned again.
         """
         lines = normalise(text)
-        hopeful = []
-        for i, words in enumerate(lines):
-            if len(words) < 2:
-                hopeful.append(len(words) == 1 and words[0] in self.first)
-                continue
-            known = sum(map(self.known.__contains__, zip(words, words[1:])))
-            hopeful.append(known >= self.share * (len(words) - 1))
-        out, i = [], 0
-        while i < len(lines):
-            if not hopeful[i]:
-                i += 1
-                continue
-            end = i
-            while end + 1 < len(lines) and hopeful[end + 1]:
-                end += 1
-            whole = self.match([w for line in lines[i : end + 1] for w in line]) if end > i else None
-            if whole:
-                out.append((i, end, *whole))
-            else:
-                out += [(k, k, *m) for k in range(i, end + 1) if (m := self.match(lines[k]))]
-            i = end + 1
-        return out
+        words = [w for line in lines for w in line]
+        get = self.number.get
+        grams = np.fromiter((get(g, -1) for g in zip(words, words[1:])), np.int64)
+        out, left = [], [(0, len(grams))]
+        while left:
+            start, end = left.pop()
+            gram = grams[start:end]
+            here = (self.times[:, gram[gram >= 0]] > 0).sum(axis=1)
+            able = np.flatnonzero((self.sizes > 0) & (here >= self.share * self.sizes - 1e-9))
+            taken: list[tuple[int, int]] = []
+            free = np.ones(len(gram) + 1, bool)
+            for _, score, first, last, i in sorted((w for i in able.tolist() for w in self.windows(gram, i)), reverse=True):
+                if free[-first : last + 2].all():
+                    free[-first : last + 2] = False
+                    taken.append((-first, last))
+                    out.append((start - first, start + last + 1, self.names[-i], score))
+            if taken:
+                taken.sort()
+                ends = [-2, *(b for _, b in taken)]
+                # between two windows stand the bigrams of the words that neither holds
+                left += [(start + a + 2, start + b - 1) for a, b in zip(ends, [*(a for a, _ in taken), len(gram) + 1]) if b - 1 > a + 2]
+        if not out:
+            return []
+        line = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+        return [(int(line[a]), int(line[b]), name, score) for a, b, name, score in sorted(out)]
 
 
 def scan_licences(docs: DataFrame, least: float = DICE, templates=TEMPLATES) -> DataFrame:

@@ -252,6 +252,24 @@ def test_licences(spark):
     assert got[3] == got[4] == got[6] == ("", "")
 
 
+def test_licences_wherever_lines_end():
+    scanner = licences.Scanner()
+    found = lambda t: [m[:3] for m in scanner.scan(t)]
+    prose = "We thank all who sent us notes on this and on other things. "
+    apache, cc = licences.TEMPLATES[0][1], licences.TEMPLATES[-1 - len(list(licences.TEXTS.glob("*.txt")))][1]
+    assert found(f"{prose}{apache}. {prose}") == [(0, 0, "Apache-2.0")]
+    assert found(f"{prose}\n{prose}{cc} {prose}{apache}, {prose}") == [(1, 1, "CC-BY-NC-4.0"), (1, 1, "Apache-2.0")]
+    mit = licences.TEMPLATES[4][1].replace(", to any", "\nto any")
+    bsd = licences.TEMPLATES[12][1].replace("binary", "\nbinary")
+    assert found(f"{mit}\n{bsd}\n{prose}") == [(0, 1, "MIT"), (2, 3, "BSD")]
+    assert found(f"{apache}\n{apache} {apache}") == [(0, 0, "Apache-2.0"), (1, 1, "Apache-2.0"), (1, 1, "Apache-2.0")]
+    for path in sorted(licences.TEXTS.glob("*.txt")):
+        whole = path.read_text()
+        (one,) = scanner.scan(prose + " ".join(whole.split()) + " " + prose)
+        assert one[2] == path.stem and one[3] > 0.99
+    assert found(None) == found("") == found("one") == found(prose * 50) == []
+
+
 def test_kneser_ney_is_a_distribution(spark, docs, labels):
     model = quality.train(spark.createDataFrame([(1, "abracadabra abra")], "doc_id long, text string"), 3).collect()
     table = {}
