@@ -43,6 +43,19 @@ def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
     return (rows.to_batches() or held[:1])[0]
 
 
+def look_up(big: DataFrame, lookup: DataFrame, key: str, value: str, rows: str, spread_by: str) -> DataFrame:
+    """``big`` with ``value`` of the stored ``lookup(key, value, rows)``, null where it has none.
+
+    The lookup is broadcast where its counted size allows it; beyond, rows meet it in a join that
+    spreads hot keys by ``spread_by``, where ``rows`` is the number of rows of ``big`` with the key.
+    """
+    from papersieve.session import MAX_BROADCAST_ROWS, join_by_skewed_key
+
+    if lookup.count() <= MAX_BROADCAST_ROWS:
+        return big.join(F.broadcast(lookup.select(key, value)), key, "left")
+    return join_by_skewed_key(big, lookup, key, value, rows, spread_by)
+
+
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node each node reaches over ``edges``, for nodes with an edge.
 
