@@ -608,6 +608,83 @@ select a as topic, min(b) as topic_merged from reach group by a
 union all select -1, -1
 """
 
+
+
+def reduction_sql(docs: str, tau: float, rounds: int = 8) -> str:
+    """Agglomerative rounds spelled out; a round without a mutual pair changes nothing."""
+    out = [f"""sum0 as (select topic, dim, sum(x) as x from (select topic, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as dim from {docs})
+  where topic <> -1 group by topic, dim),
+map0 as (select distinct topic, topic as merged from {docs} where topic <> -1)"""]
+    for k in range(rounds):
+        out.append(f"""v{k} as (select topic, list(x order by dim) as v from sum{k} group by topic),
+pair{k} as (select a.topic as i, b.topic as j, round(list_cosine_similarity(a.v, b.v), 12) as c from v{k} a join v{k} b on a.topic <> b.topic
+  where list_cosine_similarity(a.v, b.v) >= {tau}::double),
+best{k} as (select i, j from pair{k} qualify row_number() over (partition by i order by c desc, j) = 1),
+into{k} as (select a.i, a.j from best{k} a join best{k} b on a.i = b.j and a.j = b.i where a.i < a.j),
+sum{k + 1} as (select coalesce(m.i, s.topic) as topic, dim, sum(x) as x from sum{k} s left join into{k} m on m.j = s.topic group by all),
+map{k + 1} as (select topic, coalesce(m.i, merged) as merged from map{k} left join into{k} m on m.j = merged)""")
+    return ", ".join(out)
+
+
+ORACLES["reduce_topics"] = f"""
+with {TOPIC_DOCS}, {reduction_sql('topic_docs', 0.12)}
+select topic, merged as topic_merged from map8 union all select distinct -1, -1 from topic_docs where topic = -1
+"""
+ORACLES["similar_topics"] = """
+select paper_id_i, paper_id_j, round(value, 6) as value from (
+  select a.vec_id as paper_id_i, b.vec_id as paper_id_j, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as value
+  from embeddings a join embeddings b on a.vec_id < b.vec_id) where value >= 0.3::double
+"""
+
+CLEANED_TOPICS = f"""topic_docs as (select * from (select doc_id as paper_id, {cleaned('text')} as text, embedding, case label when 9 then -1 else label end as topic
+  from documents join embeddings on doc_id = vec_id) where length(text) >= 50)"""
+MERGED_TOPICS = f"""{CLEANED_TOPICS.replace('topic_docs', 'given_docs')}, {reduction_sql('given_docs', 0.12)},
+topic_docs as (select paper_id, text, embedding, coalesce(merged, -1) as topic from given_docs left join map8 using (topic))"""
+MERGED_WORDS = TOP_WORDS.replace(TOPIC_DOCS, MERGED_TOPICS)
+MERGED_OVERLAP = OVERLAP.replace(TOPIC_DOCS, MERGED_TOPICS)
+
+ORACLES["merged_topic_info"] = f"""
+with {MERGED_WORDS}, listed as (select topic, string_agg(term, ' ' order by rank) as words from words group by topic),
+sizes as (select topic, count(*) as size from topic_docs group by topic)
+select topic, size, coalesce(words, '') as words from sizes left join listed using (topic)
+"""
+ORACLES["merged_topic_overlap"] = f"with {MERGED_OVERLAP} select topic_i, topic_j, round(value, 6) as value from overlap where value > 0"
+ORACLES["merged_topic_similarity"] = f"with {MERGED_TOPICS}, {SIMILARITY} select topic_i, topic_j, round(value, 6) as value from similarity"
+ORACLES["merged_evaluation"] = f"""
+with {MERGED_OVERLAP}, token_docs as (select * from (select paper_id, regexp_extract_all(text, '\\S+') as tokens from topic_docs) where len(tokens) > 10),
+{DICTIONARY}, {npmi_sql('wide', 110, 10, 'and term in (select term from dictionary)')}, {cv_sql('cv', 'wide')}
+select 'c_v' as metric, case when topics >= 2 then round(c_v, 6) end as value from cv
+union all select 'jaccard', round(1 - avg(value), 6) from overlap where topic_i < topic_j and topic_i <> -1
+"""
+
+#: Each topic's 30 candidate words with the mean vector of the documents they occur in, the re-ranking, and the greedy
+#: choice by marginal relevance as a recursion that adds a word to every topic's list.
+ORACLES["topic_info_views"] = f"""
+with recursive {TOP_WORDS.replace(TOPIC_DOCS, CLEANED_TOPICS)},
+candidate as (select topic, term from weights qualify row_number() over (partition by topic order by weight desc, term) <= 30),
+holds as (select distinct paper_id, term from (select paper_id, unnest(w) as term from doc_words) where term in (select term from candidate)),
+numbers as (select paper_id, topic, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as dim from topic_docs),
+word as (select term, list(x order by dim) as v from (select term, dim, avg(x) as x from holds join numbers using (paper_id) group by all) group by term),
+centre as (select topic, list(x order by dim) as v from (select topic, dim, avg(x) as x from numbers group by all) group by topic),
+close as (select c.topic, c.term, w.v, round(list_cosine_similarity(w.v, t.v), 12) as c from candidate c join word w using (term) join centre t on t.topic = c.topic),
+reranked as (select topic, term, row_number() over (partition by topic order by c desc, term) as rank from close),
+likeness as (select a.topic, a.term, any_value(a.c) as c, map(list(b.term order by b.term), list(round(list_cosine_similarity(a.v, b.v), 12) order by b.term)) as m
+  from close a join close b on a.topic = b.topic group by a.topic, a.term),
+picks(topic, chosen, k) as (
+  select topic, [term], 1 from (select topic, term from likeness qualify row_number() over (partition by topic order by (1 - 0.7::double) * c desc, term) = 1)
+  union all
+  select topic, list_append(chosen, term), k + 1 from (
+    select p.topic, p.chosen, p.k, l.term,
+      row_number() over (partition by p.topic order by (1 - 0.7::double) * l.c - 0.7::double * list_max(list_transform(p.chosen, lambda t: l.m[t])) desc, l.term) as place
+    from picks p join likeness l on l.topic = p.topic and not list_contains(p.chosen, l.term) where p.k < 10)
+  where place = 1),
+sizes as (select topic, count(*) as size from topic_docs group by topic)
+select s.topic, s.size, coalesce((select string_agg(term, ' ' order by rank) from words w where w.topic = s.topic), '') as words,
+  coalesce((select string_agg(term, ' ' order by rank) from reranked r where r.topic = s.topic and rank <= 10), '') as reranked,
+  coalesce((select array_to_string(arg_max(chosen, k), ' ') from picks p where p.topic = s.topic), '') as diverse
+from sizes s
+"""
+
 ORACLES["yearly_corpus"] = f"""
 with papers as ({PAPERS}), c as (
   select try_cast(pub_year as integer) as pub_year, paper_id,

@@ -17,7 +17,7 @@ from catalog.fixtures import (
 )
 from papersieve.functions import text as tx
 from papersieve.operators import (
-    cleaning, clustering, disciplines, embedding, metrics, model, screening, terms, topic_eval, trends,
+    cleaning, clustering, disciplines, embedding, metrics, model, reduction, screening, terms, topic_eval, trends,
 )
 from papersieve.operators.split import stratified_split
 from papersieve.plans import discipline_flow, topic_flow
@@ -578,6 +578,67 @@ def merge_topics(spark, sf_dir):
     return clustering.merge_topics(topic_documents(spark, sf_dir), tau=0.2)
 
 
+GIVEN_TOPICS = topic_flow.TopicSettings(
+    ngram_range=(1, 1), min_df=1, max_df=0.95, max_features=10_000, reduce_frequent_words=False, stop_words=FIXTURE_STOP_WORDS,
+)
+
+
+def given_model(spark: SparkSession, sf_dir: str) -> topic_flow.TopicModel:
+    """Model of cleaned documents with given vectors and topics; its words lie in the space of the vectors."""
+    topic = F.when(F.col("label") == 9, -1).otherwise(F.col("label")).alias("topic")
+    given = vectors(spark, sf_dir).select("paper_id", "embedding", topic)
+    docs = topic_flow.corpus_documents(text_documents(spark, sf_dir)).join(given, "paper_id")
+    return topic_flow.describe_topics(materialize(docs), GIVEN_TOPICS)
+
+
+def merged_model(spark: SparkSession, sf_dir: str) -> topic_flow.TopicModel:
+    return topic_flow.reduce_model(given_model(spark, sf_dir), tau=0.12)
+
+
+def joined_words(info: DataFrame) -> DataFrame:
+    lists = [c for c in info.columns if c not in ("topic", "size")]
+    return info.select("topic", "size", *[F.array_join(c, " ").alias(c) for c in lists])
+
+
+@query
+def reduce_topics(spark, sf_dir):
+    return reduction.reduce_topics(topic_documents(spark, sf_dir), tau=0.12)
+
+
+@query
+def similar_topics(spark, sf_dir):
+    """Links of documents' vectors themselves, far more than there are topics."""
+    pairs = reduction.similar_pairs(vectors(spark, sf_dir), 0.3, key="paper_id")
+    return pairs.select("paper_id_i", "paper_id_j", *r6("value"))
+
+
+@query
+def merged_topic_info(spark, sf_dir):
+    model = merged_model(spark, sf_dir)
+    return joined_words(terms.topic_info(model.documents, model.words))
+
+
+@query
+def merged_topic_overlap(spark, sf_dir):
+    return topic_eval.topic_overlap(merged_model(spark, sf_dir).words).select("topic_i", "topic_j", *r6("value"))
+
+
+@query
+def merged_topic_similarity(spark, sf_dir):
+    return topic_eval.topic_similarity(merged_model(spark, sf_dir).documents).select("topic_i", "topic_j", *r6("value"))
+
+
+@query
+def merged_evaluation(spark, sf_dir):
+    return topic_flow.evaluate_corpus(merged_model(spark, sf_dir)).select("metric", *r6("value"))
+
+
+@query
+def topic_info_views(spark, sf_dir):
+    model = given_model(spark, sf_dir)
+    return joined_words(topic_flow.info_views(model, topic_flow.keyword_views(model, candidates=30, top_n=10)))
+
+
 FIXTURE_TOPICS = topic_flow.TopicSettings(
     method="bisecting", min_size=5, ngram_range=(1, 1), min_df=1, max_df=0.95, max_features=10_000,
     reduce_frequent_words=False, stop_words=FIXTURE_STOP_WORDS, cluster_options=(("k", 8),),

@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from papersieve.functions.vectors import as_double, cosine, norm
-from papersieve.operators.topic_eval import topic_similarity
-from papersieve.session import join_by_skewed_key, join_salted, materialize
+from papersieve.operators.disciplines import mean_vectors
+from papersieve.operators.reduction import similar_pairs
+from papersieve.session import join_by_skewed_key, join_salted, join_small, materialize
 
 OUTLIER = -1
 
@@ -194,16 +195,16 @@ def cluster_documents(docs: DataFrame, method: str = "density", **options) -> Da
 
 def merge_topics(docs: DataFrame, tau: float = 0.9, topic: str = "topic", vector: str = "embedding",
                  outlier: int = OUTLIER) -> DataFrame:
-    """M6: ``(topic, topic_merged)``; topics linked by centroid cosine >= tau share their smallest id.
+    """M6 (single linkage): ``(topic, topic_merged)``; topics linked by centroid cosine >= tau share their smallest id.
+
+    ``reduction.reduce_topics`` is the agglomerative form, which the topic flow uses.
 
     The outlier topic merges with nothing. Assignments keep ``topic``; join this mapping for the
     merged one.
     """
     inside = docs.filter(F.col(topic) != outlier)
-    pairs = topic_similarity(inside, topic, vector)
-    edges = pairs.filter((F.col("topic_i") < F.col("topic_j")) & (F.col("value") >= tau)).select(
-        F.col("topic_i").alias("src"), F.col("topic_j").alias("dst")
-    )
+    links = similar_pairs(mean_vectors(inside, topic, vector).withColumnRenamed(topic, "topic"), tau, vector=vector)
+    edges = links.select(F.col("topic_i").alias("src"), F.col("topic_j").alias("dst"))
     nodes = inside.select(F.col(topic).alias("node")).distinct()
     merged = connected_components(nodes, edges).select(
         F.col("node").alias("topic"), F.col("component").alias("topic_merged")
@@ -216,8 +217,8 @@ def merge_topics(docs: DataFrame, tau: float = 0.9, topic: str = "topic", vector
 
 def add_merged_topics(docs: DataFrame, mapping: DataFrame, topic: str = "topic",
                       id_col: str = "paper_id") -> DataFrame:
-    """M6+J8: attach ``topic_merged``; a topic may hold most documents, so the join is salted."""
-    return join_salted(docs, mapping.withColumnRenamed("topic", topic), topic, spread_by=id_col)
+    """M6+J8: attach ``topic_merged`` without moving the documents, unless the mapping is too large to broadcast."""
+    return join_small(docs, mapping.withColumnRenamed("topic", topic), topic, spread_by=id_col)
 
 
 def candidate_vectors(candidates: DataFrame, word_vectors: DataFrame, centroids: DataFrame,

@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import StopWordsRemover
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from papersieve.functions.text import ngrams, remove_words, tokenize_words
-from papersieve.session import join_by_skewed_key, join_salted
+from papersieve.functions.vectors import as_double
+from papersieve.session import join_by_skewed_key, join_salted, join_small
 
 
 def english_stop_words() -> list[str]:
@@ -25,34 +28,33 @@ def document_terms(text: Column, stop_words: Sequence[str] | None = None,
     return ngrams(remove_words(tokenize_words(text), words), *ngram_range)
 
 
-def term_counts(
-    docs: DataFrame,
-    topic: str = "topic",
-    text: str = "text",
-    stop_words: Sequence[str] | None = None,
-    ngram_range: tuple[int, int] = (1, 1),
-    min_df: int = 1,
-    max_df: float = 1.0,
-    max_features: int | None = None,
-) -> DataFrame:
-    """``(topic, term, n)``. Document frequency counts topics, each topic being one document.
+def class_counts(docs: DataFrame, topic: str = "topic", text: str = "text", stop_words: Sequence[str] | None = None,
+                 ngram_range: tuple[int, int] = (1, 1), min_df: int = 1) -> DataFrame:
+    """``(topic, term, n)`` of the terms of at least ``min_df`` topics, before any other choice of terms.
 
-    The n-grams of a paper stay inside the paper. ``max_features`` keeps the most frequent terms,
-    ties by term.
+    Merging topics can only lower the number of topics a term is in, so what falls below ``min_df``
+    here would fall below it after any merge.
     """
     counts = (
         docs.select(topic, F.explode(document_terms(F.col(text), stop_words, ngram_range)).alias("term"))
         .groupBy(topic, "term")
         .agg(F.count("*").alias("n"))
     )
+    return select_terms(counts, min_df=min_df)
+
+
+def select_terms(counts: DataFrame, n_topics: DataFrame | None = None, min_df: int = 1, max_df: float = 1.0,
+                 max_features: int | None = None) -> DataFrame:
+    """Terms in at least ``min_df`` topics and at most that share of the ``n_topics`` (a one-cell frame).
+
+    ``max_features`` keeps the most frequent of these terms, ties by term.
+    """
     if min_df > 1 or max_df < 1.0:
         # a term's partition has at most one row per topic
-        topics = docs.agg(F.count_distinct(topic).alias("n"))
-        counts = (
-            counts.withColumn("_df", F.count("*").over(Window.partitionBy("term")))
-            .filter((F.col("_df") >= min_df) & (F.col("_df") <= topics.scalar() * max_df))
-            .drop("_df")
-        )
+        kept = F.col("_df") >= min_df
+        if max_df < 1.0:
+            kept &= F.col("_df") <= n_topics.scalar() * max_df
+        counts = counts.withColumn("_df", F.count("*").over(Window.partitionBy("term"))).filter(kept).drop("_df")
     if max_features is not None:
         frequent = (
             counts.groupBy("term").agg(F.sum("n").alias("_total"))
@@ -63,6 +65,26 @@ def term_counts(
     return counts
 
 
+def term_counts(
+    docs: DataFrame,
+    topic: str = "topic",
+    text: str = "text",
+    stop_words: Sequence[str] | None = None,
+    ngram_range: tuple[int, int] = (1, 1),
+    min_df: int = 1,
+    max_df: float = 1.0,
+    max_features: int | None = None,
+) -> DataFrame:
+    """``(topic, term, n)``. Document frequency counts topics, each topic being one document.
+
+    The n-grams of a paper stay inside the paper. ``max_features`` keeps the most frequent terms,
+    ties by term.
+    """
+    counts = class_counts(docs, topic, text, stop_words, ngram_range)
+    topics = docs.agg(F.count_distinct(topic).alias("n"))
+    return select_terms(counts, topics, min_df, max_df, max_features)
+
+
 def ctfidf(counts: DataFrame, topic: str = "topic", reduce_frequent_words: bool = False) -> DataFrame:
     """M2: class TF-IDF, ``(topic, term, n, idf, weight)``.
 
@@ -106,6 +128,39 @@ def topic_info(docs: DataFrame, words: DataFrame, topic: str = "topic") -> DataF
     )
 
 
+def topic_info_views(docs: DataFrame, views: DataFrame, names: Sequence[str], topic: str = "topic") -> DataFrame:
+    """M7 with every view: ``(topic, size, <name>...)``, a list of words for each of ``names``.
+
+    ``views(view, topic, rank, term)`` holds a few words per topic and view. A topic without words in
+    a view has an empty list there.
+    """
+    def listed(name: str) -> Column:
+        own = F.collect_list(F.when(F.col("view") == name, F.struct("rank", "term")))
+        return F.transform(F.array_sort(own), lambda w: w["term"]).alias(name)
+
+    words = views.groupBy(topic).agg(*[listed(n) for n in names])
+    sizes = docs.groupBy(topic).agg(F.count("*").alias("size"))
+    return sizes.join(words, topic, "left").select(
+        topic, "size", *[F.coalesce(n, F.array().cast("array<string>")).alias(n) for n in names]
+    )
+
+
+def term_vectors(docs: DataFrame, terms: DataFrame, text: str = "text", vector: str = "embedding",
+                 stop_words: Sequence[str] | None = None, ngram_range: tuple[int, int] = (1, 1)) -> DataFrame:
+    """``(term, embedding)``: the mean vector of the documents a term occurs in.
+
+    Words so lie in the space of the documents whatever model made their vectors. ``terms`` is a few
+    words per topic; what a task sends on is one sum per term.
+    """
+    found = docs.select(
+        F.col(vector).alias("embedding"),
+        F.explode(F.array_distinct(document_terms(F.col(text), stop_words, ngram_range))).alias("term"),
+    )
+    mean = Summarizer.mean(array_to_vector(as_double(F.col("embedding"))))
+    chosen = join_small(found, terms.select("term").distinct(), "term", spread_by="embedding")
+    return chosen.groupBy("term").agg(vector_to_array(mean).alias("embedding"))
+
+
 def representative_docs(
     docs: DataFrame,
     weights: DataFrame,

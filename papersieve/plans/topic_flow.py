@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papersieve.functions.text import clean_academic_text, long_enough, tokenize_alpha, tokenize_space
-from papersieve.operators import clustering, embedding, terms, topic_eval
+from papersieve.operators import clustering, embedding, reduction, terms, topic_eval
 from papersieve.operators.disciplines import discipline_corpus, mean_vectors, select_by_discipline
 from papersieve.session import materialize, with_computed
 
@@ -34,20 +34,24 @@ class TopicSettings:
     top_n_words: int = 15
     stop_words: Sequence[str] | None = None
     cluster_options: tuple = ()
+    main_view: str = "ctfidf"  # or "reranked": the words that evaluation and topic info read
+    candidates: int = 100  # class TF-IDF words that a re-ranking chooses from
+    encoder: Callable[[DataFrame], DataFrame] | None = None  # adds ``embedding`` to rows with a ``text``
 
 
 CORPUS_SETTINGS = TopicSettings()
 DISCIPLINE_SETTINGS = TopicSettings(
     min_size=5, min_samples=2, ngram_range=(1, 1), min_df=1, max_df=0.95, max_features=10_000,
-    reduce_frequent_words=False,
+    reduce_frequent_words=False, main_view="reranked", top_n_words=10,
 )
 
 
 @dataclass(frozen=True)
 class TopicModel:
-    """``documents(paper_id, text, embedding, reduced, topic)`` with term weights and top words."""
+    """``documents(paper_id, text, embedding, reduced, topic)`` with class counts, term weights and main words."""
 
     documents: DataFrame
+    counts: DataFrame
     weights: DataFrame
     words: DataFrame
     settings: TopicSettings
@@ -67,15 +71,23 @@ def evaluation_tokens(documents: DataFrame, min_tokens: int = 10) -> DataFrame:
     return tokens.filter(F.size("tokens") > min_tokens).drop("text")
 
 
+HASHED = {"vectors": "hashed"}
+
+
 def prepare(docs: DataFrame, settings: TopicSettings) -> DataFrame:
     """``(paper_id, text, embedding, reduced)``, stored once because several jobs read it.
 
-    A given ``embedding`` column is used as it is; otherwise the text is embedded.
+    A given ``embedding`` column is used as it is; otherwise the settings' encoder makes one, or the
+    text is hashed, which the column's metadata then say.
     """
-    if "embedding" not in docs.columns:
-        docs = docs.select("paper_id", "text").join(embedding.embed_documents(docs), "paper_id")
-    stored = materialize(docs.select("paper_id", "text", "embedding"))
-    return embedding.reduce_dims(stored, settings.dims)
+    if "embedding" in docs.columns:
+        vectors = docs.select("paper_id", "text", "embedding")
+    elif settings.encoder is not None:
+        vectors = settings.encoder(docs.select("paper_id", "text")).select("paper_id", "text", "embedding")
+    else:
+        hashed = embedding.embed_documents(docs).select("paper_id", F.col("embedding").alias("embedding", metadata=HASHED))
+        vectors = docs.select("paper_id", "text").join(hashed, "paper_id")
+    return embedding.reduce_dims(materialize(vectors), settings.dims)
 
 
 def _cluster(prepared: DataFrame, settings: TopicSettings, seed: int) -> DataFrame:
@@ -87,32 +99,76 @@ def _cluster(prepared: DataFrame, settings: TopicSettings, seed: int) -> DataFra
     return clustering.cluster_documents(points, settings.method, min_size=size, seed=seed, **options)
 
 
-def _describe(documents: DataFrame, settings: TopicSettings) -> tuple[DataFrame, DataFrame]:
-    counts = materialize(terms.term_counts(
-        documents, stop_words=settings.stop_words, ngram_range=settings.ngram_range,
-        min_df=settings.min_df, max_df=settings.max_df, max_features=settings.max_features,
+def _weights(counts: DataFrame, documents: DataFrame, settings: TopicSettings) -> DataFrame:
+    chosen = materialize(terms.select_terms(
+        counts, documents.agg(F.count_distinct("topic").alias("n")), settings.min_df, settings.max_df, settings.max_features
+    ))
+    return terms.ctfidf(chosen, reduce_frequent_words=settings.reduce_frequent_words)
+
+
+def word_vectors(documents: DataFrame, words: DataFrame, settings: TopicSettings) -> DataFrame:
+    """``(term, embedding)`` of candidate words, in the space of the documents' vectors.
+
+    The settings' encoder encodes them; words of hashed documents are hashed the same way; for any
+    other vectors a word is the mean of the documents it occurs in.
+    """
+    distinct = words.select("term").distinct()
+    if settings.encoder is not None:
+        return settings.encoder(distinct.select("term", F.col("term").alias("text"))).select("term", "embedding")
+    if documents.schema["embedding"].metadata != HASHED:
+        return terms.term_vectors(documents, distinct, stop_words=settings.stop_words, ngram_range=settings.ngram_range)
+    first = documents.select(F.size("embedding").alias("n")).head()
+    return embedding.embed_texts(
+        distinct.select("term", F.col("term").alias("text")), embedding.document_frequencies(documents),
+        documents.agg(F.count("*").alias("n")), "term", dim=first.n if first else embedding.DIMENSIONS,
+    )
+
+
+def _main_words(documents: DataFrame, weights: DataFrame, settings: TopicSettings) -> DataFrame:
+    if settings.main_view == "ctfidf":
+        return terms.topic_words(weights, settings.top_n_words)
+    if settings.main_view != "reranked":
+        raise ValueError("main_view must be ctfidf or reranked")
+    chosen = materialize(terms.topic_words(weights, settings.candidates))
+    vectors = word_vectors(documents, chosen, settings)
+    return clustering.rerank_keywords(chosen, vectors, mean_vectors(documents, "topic"), settings.top_n_words)
+
+
+def _described(documents: DataFrame, counts: DataFrame, settings: TopicSettings) -> TopicModel:
+    weights = _weights(counts, documents, settings)
+    return TopicModel(documents, counts, weights, materialize(_main_words(documents, weights, settings)), settings)
+
+
+def describe_topics(documents: DataFrame, settings: TopicSettings = CORPUS_SETTINGS) -> TopicModel:
+    """Model of documents whose ``topic`` is given: ``(paper_id, text, embedding, topic)``."""
+    counts = materialize(terms.class_counts(
+        documents, stop_words=settings.stop_words, ngram_range=settings.ngram_range, min_df=settings.min_df
     ))
-    weights = terms.ctfidf(counts, reduce_frequent_words=settings.reduce_frequent_words)
-    return weights, terms.topic_words(weights, settings.top_n_words)
+    return _described(documents, counts, settings)
 
 
 def fit_topics(prepared: DataFrame, settings: TopicSettings = CORPUS_SETTINGS, seed: int = SEED) -> TopicModel:
     """Cluster prepared documents and describe the topics."""
     topics = _cluster(prepared, settings, seed)
-    documents = materialize(prepared.join(topics, "paper_id"))
-    weights, words = _describe(documents, settings)
-    return TopicModel(documents, weights, materialize(words), settings)
+    return describe_topics(materialize(prepared.join(topics, "paper_id")), settings)
+
 
+def reduce_model(model: TopicModel, tau: float = 0.9) -> TopicModel:
+    """M6: the model after close topics have become one; documents keep their first topic as ``topic_before``.
+
+    Class counts of merged topics are sums of their parts' counts, so no text is read again for them;
+    the choice of terms, their weights and the main words are made anew.
+    """
+    mapping = materialize(reduction.reduce_topics(model.documents, tau))
+    merged = clustering.add_merged_topics(model.documents, mapping)
+    documents = merged.withColumnRenamed("topic", "topic_before").withColumnRenamed("topic_merged", "topic")
+    return _described(documents, materialize(reduction.merge_counts(model.counts, mapping)), model.settings)
 
-def keyword_views(model: TopicModel, candidates: int = 30, top_n: int = 15, diversity: float = 0.7,
-                  dim: int | None = None) -> DataFrame:
+
+def keyword_views(model: TopicModel, candidates: int = 30, top_n: int = 15, diversity: float = 0.7) -> DataFrame:
     """M4+M5: ``(view, topic, rank, term, weight)`` for the re-ranked and the diversified words."""
     chosen = materialize(terms.topic_words(model.weights, candidates))
-    vectors = materialize(embedding.embed_texts(
-        chosen.select("term", F.col("term").alias("text")).distinct(),
-        embedding.document_frequencies(model.documents), model.documents.agg(F.count("*").alias("n")), "term",
-        dim=dim or embedding.DIMENSIONS,
-    ))
+    vectors = materialize(word_vectors(model.documents, chosen, model.settings))
     centroids = mean_vectors(model.documents, "topic")
     views = {
         "reranked": clustering.rerank_keywords(chosen, vectors, centroids, top_n),
@@ -121,6 +177,14 @@ def keyword_views(model: TopicModel, candidates: int = 30, top_n: int = 15, dive
     return reduce(DataFrame.unionByName, [df.withColumn("view", F.lit(v)) for v, df in views.items()])
 
 
+def info_views(model: TopicModel, views: DataFrame) -> DataFrame:
+    """M7: topic, size, the main words and those of each keyword view."""
+    main = model.words.select("topic", "rank", "term", F.lit("words").alias("view"))
+    return terms.topic_info_views(
+        model.documents, main.unionByName(views.select("topic", "rank", "term", "view")), ["words", "reranked", "diverse"]
+    )
+
+
 def stability(model: TopicModel, n_runs: int = STABILITY_RUNS, seed: int = SEED, top_n: int = 15) -> DataFrame:
     """Refit with seeds seed, seed+1, ... and match every topic with its best counterpart."""
     prepared = model.documents.select("paper_id", "text", "embedding", "reduced")
@@ -154,19 +218,25 @@ def evaluate_discipline(model: TopicModel, top_n: int = 15) -> DataFrame:
 
 
 def corpus_report(model: TopicModel, tau: float = 0.9) -> dict[str, DataFrame]:
-    """Everything the whole-corpus study saves, by table name."""
-    overlap = topic_eval.topic_overlap(model.words)
-    similarity = topic_eval.topic_similarity(model.documents)
+    """Everything the whole-corpus study saves, by table name.
+
+    Documents keep the topic they were given first beside the merged one; all other tables describe
+    the topics after reduction.
+    """
+    merged = reduce_model(model, tau)
+    overlap = topic_eval.topic_overlap(merged.words)
+    similarity = topic_eval.topic_similarity(merged.documents)
     pairs = topic_eval.max_pair(overlap).withColumn("matrix", F.lit("word_overlap")).unionByName(
         topic_eval.max_pair(similarity).withColumn("matrix", F.lit("semantic_similarity"))
     )
-    mapping = clustering.merge_topics(model.documents, tau)
-    documents = clustering.add_merged_topics(model.documents.select("paper_id", "text", "topic"), mapping)
+    views = materialize(keyword_views(merged))
     return {
-        "documents_with_topics": documents,
-        "topic_info": terms.topic_info(model.documents, model.words),
-        "keyword_views": keyword_views(model),
-        "evaluation": evaluate_corpus(model),
+        "documents_with_topics": merged.documents.select(
+            "paper_id", "text", F.col("topic_before").alias("topic"), F.col("topic").alias("topic_merged")
+        ),
+        "topic_info": info_views(merged, views),
+        "keyword_views": views,
+        "evaluation": evaluate_corpus(merged),
         "topic_word_overlap": overlap,
         "topic_semantic_similarity": similarity,
         "overlap_analysis": pairs,

@@ -44,15 +44,6 @@ def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select(*kept, F.inline(F.array(F.struct(value.alias(name)))))
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Materialise a derived dimension and hint a broadcast only if its counted size allows it.
-
-    Beyond ``max_rows`` the plain frame comes back and Spark joins it by shuffle.
-    """
-    stored = materialize(df)
-    return F.broadcast(stored) if stored.count() <= max_rows else stored
-
-
 def join_by_skewed_key(
     big: DataFrame,
     lookup: DataFrame,
@@ -104,6 +95,14 @@ def join_salted(big: DataFrame, small: DataFrame, key: str, spread_by: str, salt
     )
 
 
+def join_small(big: DataFrame, small: DataFrame, key: str, spread_by: str) -> DataFrame:
+    """Inner join of a derived dimension: broadcast where its counted size allows, else salted."""
+    stored = materialize(small)
+    if stored.count() <= MAX_BROADCAST_ROWS:
+        return big.join(F.broadcast(stored), key)
+    return join_salted(big, stored, key, spread_by)
+
+
 def as_threshold(value: float | DataFrame) -> Column:
     """A number, or the single cell of a one-row DataFrame, as a column."""
     return value.scalar() if isinstance(value, DataFrame) else F.lit(float(value))
