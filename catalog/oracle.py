@@ -610,6 +610,23 @@ union all select -1, -1
 
 
 
+ORACLES["cluster_grid"] = """
+with recursive placed as (
+  select vec_id, floor(embedding[1]::double / 0.2::double)::bigint as c1, floor(embedding[2]::double / 0.2::double)::bigint as c2,
+    floor(embedding[3]::double / 0.2::double)::bigint as c3, floor(embedding[4]::double / 0.2::double)::bigint as c4,
+    floor(embedding[5]::double / 0.2::double)::bigint as c5 from embeddings),
+dense as (select c1, c2, c3, c4, c5, concat_ws(',', 0, 'c', c1, c2, c3, c4, c5) as cell, count(*) as n from placed group by all having count(*) >= 2),
+edges as (select a.cell as a, b.cell as b from dense a join dense b on abs(a.c1 - b.c1) <= 1 and abs(a.c2 - b.c2) <= 1
+  and abs(a.c3 - b.c3) <= 1 and abs(a.c4 - b.c4) <= 1 and abs(a.c5 - b.c5) <= 1),
+reach(a, b) as (select a, b from edges union select reach.a, edges.b from reach join edges on reach.b = edges.a),
+owner as (select a as cell, min(b) as component from reach group by a),
+large as (select component, sum(n) as size from dense join owner using (cell) group by component having sum(n) >= 5),
+topics as (select component, row_number() over (order by size desc, component) - 1 as topic from large)
+select vec_id as paper_id, coalesce(topic, -1)::integer as topic
+from placed left join dense using (c1, c2, c3, c4, c5) left join owner using (cell) left join topics using (component)
+"""
+
+
 def reduction_sql(docs: str, tau: float, rounds: int = 8) -> str:
     """Agglomerative rounds spelled out; a round without a mutual pair changes nothing."""
     out = [f"""sum0 as (select topic, dim, sum(x) as x from (select topic, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as dim from {docs})

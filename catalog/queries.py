@@ -540,7 +540,7 @@ def embed_with(spark, sf_dir):
 
 
 def prepared_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding.reduce_dims(topic_documents(spark, sf_dir).drop("topic"))
+    return embedding.reduce_dims(vectors(spark, sf_dir).drop("label"))
 
 
 @query
@@ -565,6 +565,12 @@ def cluster_topics(spark, sf_dir):
     return clustering.cluster_documents(prepared, "density", min_size=5, min_samples=2)
 
 
+@query
+def cluster_grid(spark, sf_dir):
+    """One grid over five components of the given vectors."""
+    return clustering.density_clusters(vectors(spark, sf_dir), min_size=5, min_samples=2, features="embedding", cell=0.2)
+
+
 @query
 def cluster_topics_bisecting(spark, sf_dir):
     prepared = materialize(prepared_vectors(spark, sf_dir).select("paper_id", "reduced"))

@@ -1,16 +1,7 @@
-"""Topic clustering, topic reduction, keyword views.
-
-Density clustering works on cells of a regular grid, not on pairs of points: points are counted per
-cell, cells with enough points are dense, dense cells that touch are linked, and linked cells form a
-cluster. A cell is one row however many points it holds, so a crowd of near-copies costs nothing
-extra, and a cell has a fixed number of neighbours. (Grid clustering after Agrawal et al. 1998; as in
-DBSCAN*, Campello et al. 2013, points outside dense cells are outliers.)
-"""
+"""Topic clustering by method, topic reduction by links, keyword views."""
 
 from __future__ import annotations
 
-from itertools import product
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans
@@ -20,9 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from papersieve.functions.vectors import as_double, cosine, norm
+from papersieve.operators.components import connected_components
+from papersieve.operators.density import density_clusters
 from papersieve.operators.disciplines import mean_vectors
 from papersieve.operators.reduction import similar_pairs
-from papersieve.session import join_by_skewed_key, join_salted, join_small, materialize
+from papersieve.session import join_small
 
 OUTLIER = -1
 
@@ -34,139 +27,6 @@ def min_cluster_size(docs: DataFrame, floor: int = 15, divisor: int = 50) -> Dat
     )
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(node, component)``: the smallest node reachable over undirected ``edges(src, dst)``.
-
-    Each round takes the smallest label among neighbours and then the label of that label, so chains
-    shrink by halves. The second step is keyed by label, which is hot once a component grows, and
-    uses the skew-proof join. Every round is checkpointed; it stops when no label changed.
-    """
-    both = materialize(
-        edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    )
-    alone = nodes.select("node", F.col("node").alias("component"))
-    if both.isEmpty():
-        return alone
-    labels = materialize(alone)
-    while True:
-        nearest = (
-            both.join(labels.withColumnRenamed("node", "dst"), "dst")
-            .groupBy(F.col("src").alias("node")).agg(F.min("component").alias("_near"))
-        )
-        lowered = materialize(
-            labels.join(nearest, "node", "left").select(
-                "node", F.col("component").alias("_old"),
-                F.least("component", "_near").alias("component"),
-            )
-        )
-        members = lowered.groupBy("component").agg(F.count("*").alias("_members"))
-        hops = members.join(
-            lowered.select(F.col("node").alias("component"), F.col("component").alias("_hop")), "component"
-        )
-        updated = materialize(
-            join_by_skewed_key(lowered, hops, "component", "_hop", "_members", "node").select(
-                "node", "_old", F.coalesce("_hop", "component").alias("component")
-            )
-        )
-        labels = updated.select("node", "component")
-        if updated.filter(F.col("_old") != F.col("component")).isEmpty():
-            return labels
-
-
-def _numbered(groups: DataFrame) -> DataFrame:
-    """``(group, topic)``: 0 for the largest group, ties by group; numbered across sorted partitions."""
-    ordered = groups.orderBy(F.desc("size"), "group").select("group")
-    field = groups.schema["group"].dataType.simpleString()
-    return ordered.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF(f"group {field}, topic int")
-
-
-def _linked_cells(counted: DataFrame, cell_ids: list[str], levels: list[int], min_samples: int) -> DataFrame:
-    """``(_level, _cell, _n, component)`` of the dense cells of grids 2^level times as wide as the counted one.
-
-    All levels share one component search; cells of different levels have different names and never link.
-    """
-    at_level = counted.select(
-        "_n", *cell_ids, F.explode(F.array(*[F.lit(v) for v in levels])).alias("_level")
-    ).select("_n", "_level", *[F.expr(f"shiftright({c}, _level)").alias(c) for c in cell_ids])
-    dense = materialize(
-        at_level.groupBy("_level", *cell_ids).agg(F.sum("_n").alias("_n"))
-        .filter(F.col("_n") >= min_samples)
-        .withColumn("_cell", F.concat_ws(",", "_level", *cell_ids))
-    )
-    # one half of the touching offsets is enough for undirected links
-    dims = len(cell_ids)
-    offsets = [o for o in product((-1, 0, 1), repeat=dims) if o > (0,) * dims]
-    steps = F.array(*[F.array(*[F.lit(v) for v in o]) for o in offsets])
-    moved = [F.col(c) + F.get(F.col("_step"), F.lit(i)) for i, c in enumerate(cell_ids)]
-    neighbours = dense.select(
-        F.col("_cell").alias("src"), "_level", *cell_ids, F.explode(steps).alias("_step")
-    ).select("src", F.concat_ws(",", "_level", *moved).alias("dst"))
-    edges = neighbours.join(dense.select(F.col("_cell").alias("dst")), "dst", "left_semi")
-    components = connected_components(dense.select(F.col("_cell").alias("node")), edges)
-    return dense.select("_level", "_cell", "_n").join(components.withColumnRenamed("node", "_cell"), "_cell")
-
-
-def density_clusters(
-    docs: DataFrame,
-    min_size: int | DataFrame = 5,
-    min_samples: int = 2,
-    id_col: str = "paper_id",
-    features: str = "reduced",
-    dims: int = 5,
-    cell: float | None = None,
-    width_factor: float = 3.49,
-    resolutions: int = 4,
-    seed: int | None = None,
-) -> DataFrame:
-    """M1 (density): ``(id, topic)``, topics numbered by size, -1 for outliers and small clusters.
-
-    ``features`` holds ``dims`` coordinates. With ``cell`` the grid has that cell side. Without it,
-    ``resolutions`` nested grids are tried, from ``width_factor`` times the mean standard deviation
-    times n^(-1/(dims+2)) (Scott's rule) down by halves, and the one with the most clusters wins, then
-    the one that covers more documents: a flat cut through the density hierarchy. Points are counted once,
-    on the finest grid; the coarser ones are sums of its cells. ``seed`` shifts the grid origin,
-    which gives the reruns of a stability study.
-    """
-    levels = list(range(1 if cell is not None else resolutions))
-    coarsest = levels[-1]
-    shift = np.random.default_rng(seed).random(dims) if seed is not None else np.zeros(dims)
-    origin = (shift * 2**coarsest).tolist()
-    points = docs.select(id_col, *[F.get(as_double(F.col(features)), F.lit(i)).alias(f"_x{i}") for i in range(dims)])
-    if cell is None:
-        spread = sum((F.stddev_pop(f"_x{i}") for i in range(dims)), F.lit(0.0)) / dims
-        width = spread * F.pow(F.count("*"), F.lit(-1.0 / (dims + 2))) * width_factor
-        rule = points.agg((width / 2**coarsest).alias("side"))
-        side = F.greatest(rule.scalar(), F.lit(1e-12))
-    else:
-        side = F.lit(float(cell))
-    cell_ids = [f"_c{i}" for i in range(dims)]
-    placed = points.withColumn("_side", side).select(
-        id_col, *[F.floor(F.col(f"_x{i}") / F.col("_side") + origin[i]).alias(c) for i, c in enumerate(cell_ids)]
-    )
-    counted = materialize(placed.groupBy(*cell_ids).agg(F.count("*").alias("_n")))
-    smallest = min_size.scalar() if isinstance(min_size, DataFrame) else F.lit(min_size)
-
-    cells = materialize(_linked_cells(counted, cell_ids, levels, min_samples))
-    sizes = materialize(
-        cells.groupBy("_level", F.col("component").alias("group")).agg(F.sum("_n").alias("size"))
-        .withColumn("_min", smallest).filter("size >= _min").drop("_min")
-    )
-    # one row per level comes to the driver
-    found = sizes.groupBy("_level").agg(F.count("*").alias("n"), F.sum("size").alias("covered")).collect()
-    level = max(((r.n, r.covered, r["_level"]) for r in found), default=(0, 0, coarsest))[2]
-
-    topics = _numbered(sizes.filter(F.col("_level") == level).select("group", "size"))
-    lookup = join_salted(
-        cells.filter(F.col("_level") == level).drop("_level"),
-        topics.withColumnRenamed("group", "component"), "component", spread_by="_cell",
-    )
-    own_cell = F.concat_ws(",", F.lit(level), *[F.shiftright(c, level) for c in cell_ids])
-    return join_by_skewed_key(
-        placed.select(id_col, own_cell.alias("_cell")), lookup.select("_cell", "topic", "_n"),
-        "_cell", "topic", "_n", id_col,
-    ).select(id_col, F.coalesce("topic", F.lit(OUTLIER)).alias("topic"))
-
-
 def bisecting_clusters(docs: DataFrame, k: int = 20, min_size: int | DataFrame = 5, id_col: str = "paper_id",
                        features: str = "reduced", seed: int = 42) -> DataFrame:
     """M1 (bisecting): ``(id, topic)`` from bisecting k-means; clusters below ``min_size`` are -1."""

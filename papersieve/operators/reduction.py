@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papersieve.functions.vectors import as_double, dot, l2_normalize, norm
-from papersieve.session import join_salted, materialize
+from papersieve.session import join_salted, materialize, store
 
 OUTLIER = -1
 #: Projections that place a vector in a cell; a cell then has (3**AXES - 1) / 2 neighbours on one side.
@@ -33,7 +33,7 @@ def similar_pairs(vectors: DataFrame, tau: float, key: str = "topic", vector: st
     reach = float(max(2.0 - 2.0 * tau, 0.0) ** 0.5) + 1e-9
     v = as_double(F.col(vector))
     unit = vectors.select(F.col(key).alias("_key"), v.alias("_raw"), norm(v).alias("_length")).filter("_length > 0")
-    unit = materialize(unit.select("_key", l2_normalize(F.col("_raw"), F.col("_length")).alias("_v")))
+    unit = store(unit.select("_key", l2_normalize(F.col("_raw"), F.col("_length")).alias("_v")))
     i, j = f"{key}_i", f"{key}_j"
     head = unit.select("_v").head(2)
     if len(head) < 2:
@@ -69,25 +69,25 @@ def agglomerate(sums: DataFrame, tau: float, decimals: int = 12) -> DataFrame:
     closest pair of all always does, so rounds end when no pair is left. Unlike linked components, a
     chain of close topics does not pull its ends together.
     """
-    state = materialize(sums)
+    state = store(sums)
     mapping = state.select("topic", F.col("topic").alias("topic_merged"))
     while True:
         pairs = similar_pairs(state, tau).withColumn("value", F.round("value", decimals))
-        named = materialize(
+        named = store(
             pairs.select(F.inline(F.array(
                 F.struct(F.col("topic_i").alias("topic"), F.col("topic_j").alias("other"), "value"),
                 F.struct(F.col("topic_j").alias("topic"), F.col("topic_i").alias("other"), "value"),
             ))).groupBy("topic").agg((-F.max(F.struct("value", (-F.col("other")).alias("o")))["o"]).alias("other"))
         )
         back = named.select(F.col("topic").alias("other"), F.col("other").alias("topic"))
-        joined = materialize(
+        joined = store(
             named.join(back, ["topic", "other"]).filter("topic < other").select(F.col("other").alias("topic"), F.col("topic").alias("_into"))
         )
         if joined.isEmpty():
             return mapping
         into = F.coalesce("_into", "topic")
-        state = materialize(vector_sums(state.join(joined, "topic", "left").withColumn("topic", into)))
-        mapping = materialize(
+        state = store(vector_sums(state.join(joined, "topic", "left").withColumn("topic", into)))
+        mapping = store(
             mapping.join(joined.withColumnRenamed("topic", "topic_merged"), "topic_merged", "left")
             .select("topic", F.coalesce("_into", "topic_merged").alias("topic_merged"))
         )

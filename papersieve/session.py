@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again, for loops.
+
+    A checkpoint keeps the size that was estimated for its plan, and a join's estimate is the product
+    of both sides: over the rounds of a loop that number, and the time to plan with it, grows without
+    bound. A table's estimate is the size of its files.
+    """
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
     """``withColumn`` for a costly expression that a later filter reads.
 
