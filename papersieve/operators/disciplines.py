@@ -14,6 +14,8 @@ from functools import reduce
 from operator import add
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from papersieve.functions.text import long_enough, parse_list_column, strip
-from papersieve.functions.vectors import as_double, cosine, norm
+from papersieve.functions.vectors import as_double
 from papersieve.session import with_computed
 
 # Relative and absolute bound of the second and third discipline.
@@ -48,35 +50,50 @@ def label_centroids(df: DataFrame, label: str = "label", vector: str = "embeddin
     )
 
 
+def anchor_cosines(anchors: np.ndarray):
+    """Arrow function from a batch of vectors to their cosines with all anchors, by one matrix product.
+
+    The zero vector and a null vector have cosine 0; a vector of another length or with a null
+    component has no cosines. Values are kept to 15 places, so equal anchors tie.
+    """
+    length = np.linalg.norm(anchors, axis=1)
+    unit = (anchors / np.where(length > 0, length, 1.0)[:, None]).T
+    dims, k = anchors.shape[1], len(anchors)
+
+    def cosines(vectors: pa.Array) -> pa.Array:
+        fits = pc.equal(pc.list_value_length(vectors), dims).fill_null(False).to_numpy(zero_copy_only=False)
+        flat = vectors.filter(pa.array(fits)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dims)
+        out = np.zeros((len(vectors), k))
+        norms = np.linalg.norm(flat, axis=1, keepdims=True)
+        out[fits] = np.round(flat @ unit / np.where(norms > 0, norms, 1.0), 15) + 0.0
+        absent = ~fits & pc.is_valid(vectors).to_numpy(zero_copy_only=False)
+        missing = np.repeat(absent, k) | np.isnan(out.ravel())
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1) * k, pa.int32()), pa.array(out.ravel(), mask=missing))
+
+    return cosines
+
+
 def add_anchor_scores(docs: DataFrame, anchors: DataFrame, vector: str = "embedding") -> DataFrame:
     """T7+W1: add ``scores``, an array of (sim, ordinal, discipline) by descending similarity.
 
     Ties keep anchor order. ``anchors(ordinal, discipline, embedding)`` is a list the study states, nine
     in the taxonomy; every paper's result holds a score for each, so its length sets the output's width.
+    The similarities of an Arrow batch of papers are one matrix product.
     """
-    entry = F.struct(
-        F.col("ordinal"), F.col("discipline"), as_double(F.col(vector)).alias("v"),
-        norm(as_double(F.col(vector))).alias("norm"),
-    )
-    packed = anchors.agg(F.collect_list(entry).alias("anchors"))
-    # the paper's vector is zipped to the anchors: an outer expression used inside a lambda may be
-    # evaluated again for every element
-    paper = F.struct(F.col("_v").alias("v"), F.col("_norm").alias("norm"))
-    ranked = F.array_sort(F.zip_with(
-        "_anchors", F.array_repeat(paper, F.size("_anchors")),
-        lambda a, p: F.struct(
-            (-cosine(p["v"], a["v"], p["norm"], a["norm"])).alias("neg"),
-            a["ordinal"].alias("ordinal"), a["discipline"].alias("discipline"),
-        ),
-    ))
+    stated = sorted(anchors.select("ordinal", "discipline", as_double(F.col(vector)).alias("v")).collect(), key=lambda a: a.ordinal)
+    if not stated:
+        return docs.withColumn("scores", F.array().cast("array<struct<sim:double,ordinal:int,discipline:string>>"))
+    product = F.arrow_udf(anchor_cosines(np.array([a.v for a in stated], np.float64).reshape(len(stated), -1)), "array<double>")
+    names = F.array(*[F.struct(F.lit(a.ordinal).alias("ordinal"), F.lit(a.discipline).alias("discipline")) for a in stated])
+    ranked = F.array_sort(F.zip_with("_cosines", names, lambda c, a: F.struct(
+        (-c).alias("neg"), a["ordinal"].alias("ordinal"), a["discipline"].alias("discipline"),
+    )))
     return (
-        docs.withColumn("_v", as_double(F.col(vector)))
-        .withColumn("_norm", norm(F.col("_v")))
-        .withColumn("_anchors", packed.scalar())
+        docs.withColumn("_cosines", product(F.col(vector)))
         .withColumn("scores", F.transform(ranked, lambda s: F.struct(
             (-s["neg"]).alias("sim"), s["ordinal"].alias("ordinal"), s["discipline"].alias("discipline"),
         )))
-        .drop("_v", "_norm", "_anchors")
+        .drop("_cosines")
     )
 
 

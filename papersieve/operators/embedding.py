@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType, StructField, StructType
 
 from papersieve.functions.text import remove_words, tokenize_words
 from papersieve.functions.vectors import as_double, l2_normalize, norm
-from papersieve.session import join_by_skewed_key, materialize, with_computed
+from papersieve.session import materialize, store, with_computed
 
 DIMENSIONS = 256
+#: Tokens whose weights every task holds, and documents whose sums it holds at a time.
+HOT_TOKENS, ROWS = 200_000, 2048
 
 
 def _tokens(text: str, stop_words: Sequence[str]) -> Column:
@@ -61,24 +66,90 @@ def _vectors(cells: DataFrame, id_col: str, dim: int) -> DataFrame:
     )
 
 
+def _row_sums(tokens: pa.Array, known: pa.Array, bucket: np.ndarray, weight: np.ndarray, dim: int) -> tuple[np.ndarray, pa.Array]:
+    """Each row's weights of known tokens summed by bucket [rows, dim], and the lists of its other tokens."""
+    flat = tokens.flatten()
+    row = np.repeat(np.arange(len(tokens)), pc.list_value_length(tokens).to_numpy())
+    at = pc.index_in(flat, value_set=known)
+    found = pc.is_valid(at).to_numpy(zero_copy_only=False)
+    index = at.drop_null().to_numpy()
+    sums = np.bincount(row[found] * dim + bucket[index], weights=weight[index], minlength=len(tokens) * dim)
+    starts = np.concatenate([[0], np.cumsum(np.bincount(row[~found], minlength=len(tokens)))])
+    rest = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), flat.filter(pa.array(~found)))
+    return sums.reshape(len(tokens), dim), rest
+
+
+def _unit_lists(sums: np.ndarray) -> pa.Array:
+    """Rows of unit length as lists of floats; a zero row stays zero."""
+    length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+    flat = (sums / np.where(length > 0, length, 1.0)).astype(np.float32).ravel()
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1) * sums.shape[1], pa.int32()), pa.array(flat, pa.float32()))
+
+
 def embed_documents(docs: DataFrame, id_col: str = "paper_id", text: str = "text", dim: int = DIMENSIONS,
-                    stop_words: Sequence[str] = (), corpus_df: DataFrame | None = None) -> DataFrame:
-    """T4: ``(id, embedding)``, signed hashed TF-IDF of the whole text, unit length.
+                    stop_words: Sequence[str] = (), corpus_df: DataFrame | None = None, hot_tokens: int = HOT_TOKENS) -> DataFrame:
+    """T4: ``(id, embedding)`` of every row, signed hashed TF-IDF of the whole text, unit length.
 
     A token's weight is tf * ln((N + 1) / (df + 1)); a text without tokens is the zero vector. Hashing
-    is done once per vocabulary entry. A token found in a third of all documents is a hot key of the
-    vocabulary join and is looked up without a shuffle. The vocabulary is read several times and so is
-    stored first; ``corpus_df`` may pass one that is stored already.
+    is done once per vocabulary entry. Weights add up over occurrences, so the ``hot_tokens`` most
+    frequent tokens, a broadcast of that size, are summed by bucket in the task that reads the text;
+    with a vocabulary no larger than that nothing is shuffled. The occurrences of rarer tokens meet the
+    rest of the vocabulary in one join, are summed by (id, bucket) and then added to their document's
+    sums. The vocabulary is read several times and so is stored first; ``corpus_df`` may pass one that
+    is stored already.
     """
     if corpus_df is None:
         corpus_df = materialize(document_frequencies(docs, text, stop_words))
     n_docs = docs.agg(F.count("*").alias("n"))
-    vocabulary = corpus_df.withColumn("_n", n_docs.scalar()).withColumn(
+    vocabulary = corpus_df.filter("token is not null").withColumn("_n", n_docs.scalar()).withColumn(
         "_cell", _cell(F.col("token"), F.col("df"), F.col("_n"), dim)
-    ).drop("_n")
-    counts = token_frequencies(docs, id_col, text, stop_words)
-    cells = join_by_skewed_key(counts, vocabulary, "token", "_cell", "df", id_col)
-    return _vectors(cells, id_col, dim)
+    ).select("token", "df", F.col("_cell.bucket").alias("bucket"), F.col("_cell.weight").alias("weight"))
+    hot = vocabulary.orderBy(F.desc("df"), "token").limit(hot_tokens).toArrow()
+    known = hot.column("token").combine_chunks().cast(pa.string())
+    bucket, weight = (hot.column(c).to_numpy() for c in ("bucket", "weight"))
+    tokens = docs.select(id_col, _tokens(text, stop_words).alias("_tokens"))
+    id_field = docs.schema[id_col]
+
+    def sums(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                piece = batch.slice(start, ROWS)
+                yield piece.column(0), *_row_sums(piece.column(1), known, bucket, weight, dim)
+
+    def whole(batches):
+        for ids, found, _ in sums(batches):
+            yield pa.RecordBatch.from_arrays([ids, _unit_lists(found)], [id_col, "embedding"])
+
+    schema = StructType([id_field, StructField("embedding", ArrayType(FloatType()))])
+    if hot.num_rows < hot_tokens:
+        return tokens.mapInArrow(whole, schema)
+
+    def partial(batches):
+        for ids, found, rest in sums(batches):
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * dim, pa.int32()), pa.array(found.ravel()))
+            yield pa.RecordBatch.from_arrays([ids, lists, rest], [id_col, "_sums", "_rare"])
+
+    def met(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                ids, lists, more = batch.slice(start, ROWS).columns
+                found = lists.flatten().to_numpy().reshape(len(ids), dim).copy()
+                row = np.repeat(np.arange(len(ids)), pc.fill_null(pc.list_value_length(more), 0).to_numpy())
+                cells = more.flatten()
+                np.add.at(found, (row, cells.field("bucket").to_numpy()), cells.field("w").to_numpy())
+                yield pa.RecordBatch.from_arrays([ids, _unit_lists(found)], [id_col, "embedding"])
+
+    last = hot.slice(hot.num_rows - 1).to_pylist()[0]
+    rarer = (F.col("df") < last["df"]) | ((F.col("df") == last["df"]) & (F.col("token") > last["token"]))
+    parts = store(tokens.mapInArrow(partial, StructType([
+        id_field, StructField("_sums", ArrayType(DoubleType())), StructField("_rare", ArrayType(StringType()))
+    ])))
+    cells = (
+        parts.select(id_col, F.explode("_rare").alias("token")).join(vocabulary.filter(rarer), "token")
+        .groupBy(id_col, "bucket").agg(F.sum("weight").alias("w"))
+        .groupBy(id_col).agg(F.collect_list(F.struct("bucket", "w")).alias("_more"))  # at most dim
+    )
+    return parts.select(id_col, "_sums").join(cells, id_col, "left").mapInArrow(met, schema)
 
 
 def embed_texts(texts: DataFrame, corpus_df: DataFrame, n_docs: DataFrame, id_col: str, text: str = "text",

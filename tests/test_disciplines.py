@@ -131,3 +131,16 @@ def test_taxonomy(spark):
     rows = anchors_df(spark).orderBy("ordinal").collect()
     assert len(rows) == 9 and [r.discipline for r in rows] == list(DISCIPLINES)
     assert rows[1].text.startswith("Archaeology, Art & Architecture")
+
+
+def test_anchor_cosines_of_odd_vectors(spark):
+    docs = spark.createDataFrame(
+        [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0]), (5, [None, 1.0]), (6, [3.0, 4.0])], "paper_id long, embedding array<float>")
+    anchors = spark.createDataFrame([(1, "b", [0.0, 2.0]), (0, "a", [1.0, 0.0]), (2, "c", [0.0, 5.0]), (3, "z", [0.0, 0.0])],
+                                    "ordinal int, discipline string, embedding array<double>")
+    got = {r.paper_id: [(s.discipline, s.sim) for s in r.scores] for r in d.add_anchor_scores(docs, anchors).collect()}
+    assert got[1] == [("a", 1.0), ("b", 0.0), ("c", 0.0), ("z", 0.0)]
+    assert got[6] == [("b", 0.8), ("c", 0.8), ("a", 0.6), ("z", 0.0)]
+    assert {s for i in (2, 3) for _, s in got[i]} == {0.0} and [n for n, _ in got[3]] == ["a", "b", "c", "z"]
+    assert {s for i in (4, 5) for _, s in got[i]} == {None}
+    assert d.add_anchor_scores(docs, anchors.limit(0)).filter("size(scores) <> 0").isEmpty()

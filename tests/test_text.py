@@ -90,3 +90,25 @@ def test_projection_finds_the_line(spark):
     docs = spark.createDataFrame([(i, [float(i), 2.0 * i, 0.0]) for i in range(20)], "paper_id int, embedding array<float>")
     rows = embedding.reduce_dims(docs, k=1).collect()
     assert all(abs(r.reduced[0]) == pytest.approx(r.paper_id * math.sqrt(5), abs=1e-6) for r in rows)
+
+
+@pytest.mark.parametrize("hot", [1, 3, 200])
+def test_embedding_is_the_same_for_any_number_of_hot_tokens(spark, hot):
+    rows = [(i, " ".join(f"w{j}" for j in range(60) if (i * j) % 7 < 2)) for i in range(40)] + [(90, ""), (91, None), (92, "w1 w1 w1")]
+    docs = spark.createDataFrame(rows, "paper_id long, text string").repartition(3)
+    plain = {r.paper_id: r.embedding for r in embedding.embed_documents(docs, dim=16).collect()}
+    got = {r.paper_id: r.embedding for r in embedding.embed_documents(docs, dim=16, hot_tokens=hot).collect()}
+    assert got.keys() == plain.keys() and len(got) == len(rows)
+    assert all(np.allclose(got[i], plain[i], atol=1e-6) for i in got)
+    assert not any(plain[90]) and not any(plain[91]) and np.isclose(np.linalg.norm(plain[92]), 1)
+    want = np.zeros(16)
+    for token in (rows[7][1] or "").split():
+        digest = hashlib.md5(token.encode()).hexdigest()
+        n = sum(token in set((x or "").split()) for _, x in rows)
+        want[int(digest[:8], 16) % 16] += (-1 if digest[8] in "13579bdf" else 1) * np.log((len(rows) + 1) / (n + 1))
+    assert np.allclose(plain[7], want / np.linalg.norm(want), atol=1e-6)
+
+
+def test_embedding_of_no_documents(spark):
+    docs = spark.createDataFrame([], "paper_id long, text string")
+    assert embedding.embed_documents(docs, dim=16).count() == 0
