@@ -22,11 +22,16 @@ ROWS, QUERIES = 4096, 64
 
 
 def quantise(vectors: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
-    """(vec_id, dims, value): floor(scale * x) of each component; rows without a usable vector drop out."""
+    """(vec_id, dims, value): floor(scale * x) of each component; rows without a usable vector drop out.
+
+    So do vectors with a component of 2**30 / sqrt(length) or more in size, whose scores may outgrow 64 bits.
+    """
     usable = F.col(embedding).isNotNull() & F.col(vec_id).isNotNull() & F.forall(
         embedding, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))
     )
-    return vectors.filter(F.coalesce(usable, F.lit(False))).select(
+    bound = (1 << 30) / F.sqrt(F.size(embedding))
+    small = F.forall(embedding, lambda x: F.abs(x.cast("double")) * float(scale) < bound)
+    return vectors.filter(F.coalesce(usable & small, F.lit(False))).select(
         F.col(vec_id).cast("long").alias("vec_id"),
         F.size(embedding).alias("dims"),
         F.transform(embedding, lambda x: F.floor(x.cast("double") * float(scale))).alias("value"),
@@ -48,7 +53,7 @@ def build_index(values: DataFrame, rows: int = ROWS) -> DataFrame:
                     piece = part.slice(start, rows)
                     ids = np.array(piece.column("vec_id"))
                     order = np.argsort(ids, kind="stable")
-                    v = np.array(piece.column("value").flatten(), np.int64).reshape(-1, d)[order]
+                    v = np.array(piece.column("value").flatten(), np.int64).reshape(len(ids), d)[order]
                     low = v.min(axis=0, initial=np.iinfo(np.int64).max)
                     v = (v - low).astype(np.uint64)
                     bits = [int(x).bit_length() for x in v.max(axis=0, initial=0)]
@@ -165,7 +170,8 @@ def top_k(
     index block goes to one cell, and every block of queries to all cells, where they join by cell.
     Each pair of blocks gives at most k rows a query before anything is shuffled by query. Ties go to
     the smaller id. Rows with a null id, a null vector, or a null or non-finite component take no
-    part; vectors only meet vectors of their own length. A repeated query id is asked once, with the
+    part, nor do those with components beyond 2**30 / sqrt(length) after scaling; vectors only meet
+    vectors of their own length, an empty vector other empty ones with score 0. A repeated query id is asked once, with the
     least of its vectors; repeated candidates count each. An empty table gives no rows.
     """
     values = quantise(vectors, vec_id, embedding, scale)
@@ -199,8 +205,8 @@ def top_k(
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                query = np.frombuffer(row["query"], "<i8").reshape(-1, row["dims"])
-                found = search_block(row, np.frombuffer(row["query_ids"], "<i8"), query, k)
+                asked_ids = np.frombuffer(row["query_ids"], "<i8")
+                found = search_block(row, asked_ids, np.frombuffer(row["query"], "<i8").reshape(len(asked_ids), row["dims"]), k)
                 yield pa.RecordBatch.from_pandas(found, preserve_index=False)
 
     by_cell = (blocks, "dims", "cell")  # a stated number: a few small rows make much work
