@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -43,6 +43,17 @@ def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
     return (rows.to_batches() or held[:1])[0]
 
 
+def shielded(docs: DataFrame, own: Sequence[str], work: Callable[[DataFrame], DataFrame], added: Sequence[str] = ()) -> DataFrame:
+    """``work(docs)`` in the columns of ``docs`` and ``added``, all but ``own`` of them under names that no operator uses.
+
+    Whatever a caller's further columns are called, they reach the result with their values.
+    """
+    quoted = {c: F.col("`" + c.replace("`", "``") + "`") for c in docs.columns}
+    names = {c: c if c in own else f"_kept_column_{i}" for i, c in enumerate(docs.columns)}
+    done = work(docs.select(*[quoted[c].alias(n) for c, n in names.items()]))
+    return done.select(*[F.col(n).alias(c) for c, n in names.items()], *added)
+
+
 def look_up(big: DataFrame, lookup: DataFrame, key: str, value: str, rows: str, spread_by: str) -> DataFrame:
     """``big`` with ``value`` of the stored ``lookup(key, value, rows)``, null where it has none.
 
@@ -59,13 +70,13 @@ def look_up(big: DataFrame, lookup: DataFrame, key: str, value: str, rows: str,
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node each node reaches over ``edges``, for nodes with an edge.
 
-    Alternating large-star and small-star steps (Kiverskis et al., 2014) hook every node to the
+    Alternating large-star and small-star steps (Kiveris et al., 2014) hook every node to the
     smallest of its neighbourhood until all edges point at roots. Each step is two aggregations that
-    combine before the shuffle, and is checkpointed; nothing is collected but one changed/unchanged sum.
+    combine before the shuffle, and is stored as a table; nothing is collected but one changed/unchanged sum.
     """
-    from papersieve.session import materialize
+    from papersieve.session import store
 
-    pairs = materialize(
+    pairs = store(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct()
     )
     before = None
@@ -83,7 +94,7 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             )).alias("e"))
             .select("e.*").filter("u > v").distinct()
         )
-        pairs = materialize(small)
+        pairs = store(small)
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -26,6 +26,8 @@ ORDER = 5
 QUANTILE = 0.995
 #: Table rows that one step broadcasts, and trusted ids that are broadcast rather than shuffled.
 SHARD_ROWS, BROADCAST_IDS = 4_000_000, 1_000_000
+#: Text of a counting task, and rows of a partition of the model's tables.
+PARTITION_BYTES, TABLE_ROWS = 8 << 20, 500_000
 
 #: Bytes of text worked on at once; the arrays of a block are some sixty times as large.
 BLOCK = 512 << 10
@@ -48,27 +50,53 @@ def grams(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
     return code[at], lengths
 
 
-def count_grams(docs: DataFrame, order: int = ORDER, text: str = "text") -> DataFrame:
-    """(code, c): how often each n-gram occurs in ``docs``, counted in the tasks first."""
+def together(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with small partitions joined, without a shuffle, until they hold some PARTITION_BYTES of text.
+
+    Every counting task sends nearly the whole table of n-grams on, so many small tasks would send it
+    many times.
+    """
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return docs.coalesce(1 + size // PARTITION_BYTES)
+
+
+def count_grams(docs: DataFrame, order: int = ORDER, text: str = "text", part: str | None = None) -> DataFrame:
+    """(code, c, c_part): how often each n-gram occurs in ``docs``, and in its rows where ``part`` is true."""
 
     def count(batches):
         for block in blocks(batches, text, BLOCK):
-            code, c = np.unique(grams(block.column(text).to_pylist(), order)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(c.astype(np.int64))], ["code", "c"])
-
-    return docs.select(text).mapInArrow(count, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
+            code, lengths = grams(block.column(text).to_pylist(), order)
+            flags = np.array(block.column("part").to_pylist(), bool)
+            distinct, where = np.unique(code, return_inverse=True)
+            c = np.bincount(where, minlength=len(distinct))
+            c_part = np.bincount(where[np.repeat(flags, lengths)], minlength=len(distinct))
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (distinct, c, c_part)], ["code", "c", "c_part"])
+
+    chosen = F.coalesce(F.col(part), F.lit(False)) if part else F.lit(False)
+    rows = docs.select(F.col(text), chosen.alias("part"))
+    return together(rows, text).mapInArrow(count, "code long, c long, c_part long").groupBy("code").agg(
+        F.sum("c").alias("c"), F.sum("c_part").alias("c_part")
+    )
 
 
 def train(trusted: DataFrame, order: int = ORDER, text: str = "text") -> DataFrame:
-    """The model as rows (k, kind, code, value).
+    """The model of all n-grams of ``trusted``; see ``train_counts``."""
+    return train_counts(count_grams(trusted, order, text), order)
+
+
+def train_counts(found: DataFrame, order: int = ORDER) -> DataFrame:
+    """The model of the counts (code, c) of the longest n-grams, as rows (k, kind, code, value).
 
     Kind p: probability of the n-gram's last byte after the others; kind g: what a context leaves to
-    the next shorter one. Order 1 interpolates with the uniform distribution over 256 bytes.
+    the next shorter one. Order 1 interpolates with the uniform distribution over 256 bytes. Tables are
+    kept in partitions of some TABLE_ROWS rows.
     """
-    counts = {order: materialize(count_grams(trusted, order, text))}
+    longest = materialize(found.select("code", "c"))
+    parts = 1 + longest.count() // TABLE_ROWS
+    counts = {order: longest.coalesce(parts)}
     for k in range(order - 1, 0, -1):  # distinct bytes to the left
         suffix = F.col("code").bitwiseAND((1 << 8 * k) - 1)
-        counts[k] = materialize(counts[k + 1].groupBy(suffix.alias("code")).agg(F.count("*").alias("c")))
+        counts[k] = materialize(counts[k + 1].groupBy(suffix.alias("code")).agg(F.count("*").alias("c")).coalesce(parts))
     tables, lower = [], None
     for k in range(1, order + 1):
         table = counts[k].withColumn("context", F.shiftright("code", 8))
@@ -88,8 +116,9 @@ def train(trusted: DataFrame, order: int = ORDER, text: str = "text") -> DataFra
             )
             shorter = F.col("shorter")
         p = (F.col("c") - taken) / F.col("total") + F.col("gamma") * shorter
-        lower = materialize(joined.select(F.lit(k).alias("k"), F.lit("p").alias("kind"), "code", p.alias("value")))
-        tables += [lower, contexts.select(F.lit(k).alias("k"), F.lit("g").alias("kind"), F.col("context").alias("code"), F.col("gamma").alias("value"))]
+        lower = materialize(joined.select(F.lit(k).alias("k"), F.lit("p").alias("kind"), "code", p.alias("value")).coalesce(parts))
+        left = contexts.coalesce(parts)
+        tables += [lower, left.select(F.lit(k).alias("k"), F.lit("g").alias("kind"), F.col("context").alias("code"), F.col("gamma").alias("value"))]
     return reduce(DataFrame.union, tables)
 
 
@@ -172,11 +201,11 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, ord
     only perplexity, threshold and accepted are replaced.
     """
     docs = docs.drop("threshold", "accepted")
-    model = train(trusted_rows(docs.select("doc_id", "text"), labels), order)
-    scored = perplexity(docs, model, order)
     trusted = trusted_rows(docs.select("doc_id", "lang", "text"), labels)
     unseen = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 1
-    half = train(trusted.filter(~unseen), order)
+    counts = materialize(count_grams(trusted.withColumn("seen", ~unseen), order, part="seen"))
+    scored = perplexity(docs, train_counts(counts, order), order)
+    half = train_counts(counts.filter("c_part > 0").select("code", F.col("c_part").alias("c")), order)
     good = materialize(
         perplexity(trusted.filter(unseen), half, order).filter("perplexity is not null").select("lang", "perplexity")
     )

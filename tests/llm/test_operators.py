@@ -305,3 +305,26 @@ def test_toxicity_learns_and_edges(spark, docs, labels):
     assert right / len(got) > 0.95
     assert {r.held_out for r in toxicity.toxicity(docs, labels).filter("doc_id is null").collect()} == {False}
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_top_k_of_empty_huge_and_mixed_vectors(spark):
+    rows = [(0, []), (1, []), (2, [1e30, 0.0]), (100, [1.0, 2.0]), (3, [0.5, 0.5]), (4, [-1.0, 0.0]), (5, [2.0**15, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(2)
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(vectors).collect()]
+    kib = 1024
+    assert sorted(got) == [
+        (0, 1, 1, 0), (100, 1, 5, kib * kib * (2**15 + 2)), (100, 2, 3, kib * 512 * 3), (100, 3, 4, -kib * kib),
+    ]
+
+
+def test_quality_counts_a_part_in_the_same_pass(spark):
+    texts = [("abcab", True), ("abd", False), (None, True), ("", None), ("bcbc" * 50, False)]
+    docs = spark.createDataFrame(texts, "text string, seen boolean").repartition(3)
+    got = {r.code: (r.c, r.c_part) for r in quality.count_grams(docs, 2, part="seen").collect()}
+    want = {}
+    for t, seen in texts:
+        raw = b"\0" + (t or "").encode()
+        for i in range(len(raw) - 1):
+            c, p = want.get(raw[i] << 8 | raw[i + 1], (0, 0))
+            want[raw[i] << 8 | raw[i + 1]] = (c + 1, p + bool(seen))
+    assert got == want
