@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papersieve.llm.common import blocks, connected
+from papersieve.llm.common import blocks, connected, shielded
 from papersieve.llm.decontaminate import words
 from papersieve.llm.substrings import NO_ID, mix, sequence_hash
 from papersieve.session import join_by_skewed_key, materialize
@@ -467,9 +467,13 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **opti
     """``docs`` with one row of each near-duplicate class, the one of least doc_id.
 
     Of rows of a class that share that id, the one whose text has the least hash; of equal rows one.
-    Texts without words stay, one row for each id and text. A null id counts as the least. Columns
-    _keep_doc and _keep_hash may not be there.
+    Texts without words stay, one row for each id and text. A null id counts as the least. Further
+    columns keep their values whatever their names.
     """
+    return shielded(docs, (text, doc_id), lambda rows: _keep_one(rows, text, doc_id, **options))
+
+
+def _keep_one(docs: DataFrame, text: str, doc_id: str, **options) -> DataFrame:
     found = classified(docs, text=text, doc_id=doc_id, **options)
     own = F.struct("doc", "hash")
     first = found.filter(F.coalesce(F.col("fact.class.kept") == own, F.lit(True))).select(

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from papersieve.llm.common import shielded
 from papersieve.session import materialize, with_computed
 
 KINDS = ("email", "ip", "card", "phone")
@@ -198,7 +199,15 @@ def span_digests(docs: DataFrame, **options) -> DataFrame:
 
 
 def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with personal data masked in ``text``: [EMAIL] and the like, [WORD] for generalised terms, nothing for removed ones."""
+    """``docs`` with personal data masked in ``text``: [EMAIL] and the like, [WORD] for generalised terms, nothing for removed ones.
+
+    A null text stays null, equal rows are masked alike, an empty table stays empty. Further columns
+    keep their values whatever their names.
+    """
+    return shielded(docs, (doc_id, text), lambda rows: _masked(rows, doc_id, text, **options))
+
+
+def _masked(docs: DataFrame, doc_id: str, text: str, **options) -> DataFrame:
     found = find_personal_data(docs, doc_id, text, **options)
     column = F.col(text)
     mask = lambda s: F.when(s["kind"] == "term", "").when(s["kind"] == "general", "[WORD]").otherwise(
