@@ -19,7 +19,7 @@ HEADLINE = (
     "term_counts_ngrams", "ctfidf", "topic_words", "representative_docs", "topic_overlap",
     "topic_similarity", "topic_diversity", "dictionary_filter", "coherence_npmi", "coherence_cv",
     "embed_documents", "anchor_text_scores", "cluster_topics",
-    "evaluation_table", "merge_topics", "yearly_corpus",
+    "evaluation_table", "merge_topics", "yearly_corpus", "merged_topic_info", "topic_info_views", "cluster_grid",
 )
 
 
