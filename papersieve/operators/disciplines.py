@@ -159,54 +159,54 @@ def discipline_counts(assigned: DataFrame, ordered: bool = False) -> DataFrame:
     return out.orderBy(F.desc("paper_count"), "discipline") if ordered else out
 
 
-def _mask(tests: Sequence[Column]) -> Column:
-    """Bit i is set when test i holds; NULL counts as not holding."""
-    return reduce(add, [
-        F.when(test, F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-        for i, test in enumerate(tests)
-    ])
+def _reached(tests: Sequence[Column]) -> Column:
+    """Number of tests that hold; NULL counts as not holding."""
+    return reduce(add, [F.when(test, 1).otherwise(0) for test in tests], F.lit(0))
 
 
 def _admissions(scored: DataFrame, ratios: Sequence[float], minima: Sequence[float]) -> DataFrame:
-    """Papers reduced to ``(level, ratio_mask, min_mask, discipline, n, gain)``.
+    """Papers reduced to ``(level, ratio_from, ratio_to, min_to, discipline, n, gain)``.
 
-    A row of level k stands for ``n`` papers whose k-th discipline is taken exactly at the points
-    (i, j) with bit i set in ``ratio_mask`` and bit j in ``min_mask``. ``gain`` sums what taking it
-    changes in the paper's mean selected similarity. For positive scores the masks are nested, so a
-    discipline has at most (len(ratios) + 1) * (len(minima) + 1) of them per level.
+    With both parameters in ascending order, a row of level k stands for ``n`` papers whose k-th
+    discipline is taken exactly with the ratios from place ``ratio_from`` up to before ``ratio_to`` and the
+    first ``min_to`` minima: bounds are nested, so the number reached tells all of them (from below, or
+    for a negative score from above). ``gain`` sums what taking it changes in the paper's mean selected
+    similarity.
     """
-    if max(len(ratios), len(minima)) > 62:
-        raise ValueError("at most 62 values per parameter")
+    ratios, minima = sorted(ratios), sorted(minima)
     s1, s2, s3 = F.col("_s1"), F.col("_s2"), F.col("_s3")
     top = scored.select(
         *[_sim(k).alias(f"_s{k + 1}") for k in range(3)],
         *[F.get(F.col("scores"), F.lit(k))["discipline"].alias(f"_d{k + 1}") for k in range(3)],
     ).select(
         "*",
-        _mask([s2 >= r * s1 for r in ratios]).alias("_r2"),
-        _mask([s2 >= m for m in minima]).alias("_m2"),
-        _mask([s3 >= r * s2 for r in ratios]).alias("_r3"),
-        _mask([s3 >= m for m in minima]).alias("_m3"),
+        _reached([s2 >= r * s1 for r in ratios]).alias("_r2"),
+        _reached([s2 >= m for m in minima]).alias("_m2"),
+        _reached([s3 >= r * s2 for r in ratios]).alias("_r3"),
+        _reached([s3 >= m for m in minima]).alias("_m3"),
     )
-    every = F.lit((1 << 62) - 1).cast("bigint")
+    n_ratios, n_minima = F.lit(len(ratios)), F.lit(len(minima))
     mean2 = (s1 + s2) / 2
 
-    def level(k: int, ratio_mask: Column, min_mask: Column, gain: Column) -> Column:
+    def level(k: int, first: Column, last: Column, min_to: Column, gain: Column) -> Column:
         return F.struct(
-            F.lit(k).alias("level"), ratio_mask.alias("ratio_mask"), min_mask.alias("min_mask"),
+            F.lit(k).alias("level"), first.alias("ratio_from"), last.alias("ratio_to"), min_to.alias("min_to"),
             F.col(f"_d{k}").alias("discipline"), gain.alias("_gain"),
         )
 
-    r2, m2 = F.col("_r2"), F.col("_m2")
+    def span(of: Column, reached: Column) -> tuple[Column, Column]:
+        return F.when(of < 0, n_ratios - reached).otherwise(0), F.when(of < 0, n_ratios).otherwise(reached)
+
+    (from2, to2), (from3, to3) = span(s1, F.col("_r2")), span(s2, F.col("_r3"))
     levels = F.array(
-        level(1, every, every, s1),
-        level(2, r2, m2, mean2 - s1),
-        level(3, r2.bitwiseAND(F.col("_r3")), m2.bitwiseAND(F.col("_m3")), (s1 + s2 + s3) / 3 - mean2),
+        level(1, F.lit(0), n_ratios, n_minima, s1),
+        level(2, from2, to2, F.col("_m2"), mean2 - s1),
+        level(3, F.greatest(from2, from3), F.least(to2, to3), F.least("_m2", "_m3"), (s1 + s2 + s3) / 3 - mean2),
     )
     return (
         top.select(F.inline(levels))
-        .filter((F.col("ratio_mask") != 0) & (F.col("min_mask") != 0) & F.col("discipline").isNotNull())
-        .groupBy("level", "ratio_mask", "min_mask", "discipline")
+        .filter((F.col("ratio_from") < F.col("ratio_to")) & (F.col("min_to") > 0) & F.col("discipline").isNotNull())
+        .groupBy("level", "ratio_from", "ratio_to", "min_to", "discipline")
         .agg(F.count("*").alias("n"), F.sum("_gain").alias("gain"))
     )
 
@@ -214,17 +214,12 @@ def _admissions(scored: DataFrame, ratios: Sequence[float], minima: Sequence[flo
 def _taken_per_point(scored: DataFrame, ratios: Sequence[float], minima: Sequence[float],
                      points: Sequence[tuple[int, int]]) -> DataFrame:
     """``(ratio, min, level, discipline, n, gain)`` for each point, from the collapsed admissions."""
-    grid = F.array(*[
-        F.struct(
-            F.lit(1 << i).cast("bigint").alias("_i"), F.lit(1 << j).cast("bigint").alias("_j"),
-            F.lit(float(ratios[i])).alias("ratio"), F.lit(float(minima[j])).alias("min"),
-        ) for i, j in points
-    ])
+    places = [{v: i for i, v in enumerate(sorted(values))} for values in (ratios, minima)]
+    rows = [(places[0][ratios[i]], places[1][minima[j]], float(ratios[i]), float(minima[j])) for i, j in points]
+    grid = F.broadcast(scored.sparkSession.createDataFrame(rows, "_i int, _j int, ratio double, min double"))  # as stated
+    held = (F.col("_i") >= F.col("ratio_from")) & (F.col("_i") < F.col("ratio_to")) & (F.col("_j") < F.col("min_to"))
     return (
-        _admissions(scored, ratios, minima)
-        .select("*", F.inline(grid))
-        .filter((F.col("ratio_mask").bitwiseAND(F.col("_i")) != 0)
-                & (F.col("min_mask").bitwiseAND(F.col("_j")) != 0))
+        _admissions(scored, ratios, minima).join(grid, held)
         .groupBy("ratio", "min", "level", "discipline")
         .agg(F.sum("n").alias("n"), F.sum("gain").alias("gain"))
     )

@@ -144,3 +144,21 @@ def test_anchor_cosines_of_odd_vectors(spark):
     assert {s for i in (2, 3) for _, s in got[i]} == {0.0} and [n for n, _ in got[3]] == ["a", "b", "c", "z"]
     assert {s for i in (4, 5) for _, s in got[i]} == {None}
     assert d.add_anchor_scores(docs, anchors.limit(0)).filter("size(scores) <> 0").isEmpty()
+
+
+def test_any_number_of_parameter_values(spark):
+    rows = [(i, [("a", 0.9 - i / 50), ("b", 0.85 - i / 40), ("c", 0.8 - i / 30)]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "paper_id long, s array<struct<discipline:string,sim:double>>").selectExpr(
+        "paper_id", "transform(s, (x, i) -> struct(x.sim as sim, i as ordinal, x.discipline as discipline)) as scores")
+    ratios = [i / 200 for i in range(200, 0, -1)]
+    many = {(r.ratio, r["min"]): r for r in d.threshold_grid(docs, ratios, [0.3, -1.0]).collect()}
+    assert len(many) == 400
+    for r in (1.0, 0.95, 0.5):
+        for m in (-1.0, 0.3):
+            breadth = []
+            for _, s in rows:
+                (_, s1), (_, s2), (_, s3) = s
+                two = s2 >= r * s1 and s2 >= m
+                breadth.append(1 + two + (two and s3 >= r * s2 and s3 >= m))
+            assert abs(many[r, m].multi_rate - sum(b >= 2 for b in breadth) / 60) < 1e-12
+    assert d.breadth_sweep(docs, ratios).count() == 600
