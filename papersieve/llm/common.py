@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 8 << 20
+#: Narrow and wide rows that loops keep in a partition: every exchange writes files per partition it
+#: reads, so many small ones cost more disk than their rows.
+NARROW_ROWS, WIDE_ROWS = 500_000, 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,28 +76,33 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Alternating large-star and small-star steps (Kiveris et al., 2014) hook every node to the
     smallest of its neighbourhood until all edges point at roots. Each step is two aggregations that
     combine before the shuffle, and is checkpointed; nothing is collected but one changed/unchanged sum.
+    The least neighbours are broadcast where the number of edges bounds them.
     """
-    from papersieve.session import materialize
+    from papersieve.session import MAX_BROADCAST_ROWS, materialize
 
+    n = edges.count()
+    parts = 1 + 2 * n // NARROW_ROWS
+    # every step has at most as many nodes as the edges have ends
+    beside = F.broadcast if 2 * n <= MAX_BROADCAST_ROWS else lambda least: least
     pairs = materialize(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct()
+        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct().coalesce(parts)
     )
     before = None
     while True:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = large.filter("u > v")
+        large = both.join(beside(low), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = large.filter("u > v").coalesce(parts)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(least, "u")
+            large.join(beside(least), "u")
             .select(F.explode(F.array(
                 F.struct(F.col("u"), F.col("m").alias("v")),
                 F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
             )).alias("e"))
             .select("e.*").filter("u > v").distinct()
         )
-        pairs = materialize(small)
+        pairs = materialize(small.coalesce(parts))
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -22,10 +22,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papersieve.llm.common import blocks, connected, shielded
+from papersieve.llm.common import NARROW_ROWS, WIDE_ROWS, blocks, connected, shielded
 from papersieve.llm.decontaminate import words
 from papersieve.llm.substrings import NO_ID, mix, sequence_hash
-from papersieve.session import join_by_skewed_key, materialize
+from papersieve.session import MAX_BROADCAST_ROWS, join_by_skewed_key, materialize
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 22, 6
@@ -206,7 +206,11 @@ def sequence_hash_rows(values: np.ndarray, seed: int) -> np.ndarray:
 
 
 def features(docs: DataFrame, nodes: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(node, shingle, weight) with packed arrays, for ``nodes`` (doc, node)."""
+    """(node, shingle, weight) with packed arrays, for the stored ``nodes`` (doc, node).
+
+    Nodes of a counted size are broadcast, so that only their features leave the scan, not all texts.
+    """
+    nodes = F.broadcast(nodes) if nodes.count() <= MAX_BROADCAST_ROWS else nodes
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def weigh(batches):
@@ -237,13 +241,17 @@ def weighted_jaccard(a: bytes, wa: bytes, b: bytes, wb: bytes) -> float:
 
 
 def _sided(pairs: DataFrame, facts: DataFrame, columns: list[str]) -> DataFrame:
+    """The stored ``pairs`` with ``columns`` of both sides; few pairs pick the facts they need before these are shuffled."""
+    if pairs.count() <= MAX_BROADCAST_ROWS:
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        facts = facts.join(F.broadcast(needed), "node", "left_semi")
     for side in ("a", "b"):
         pairs = pairs.join(facts.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns)), side)
     return pairs
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, weighed: DataFrame) -> DataFrame:
-    """(a, b, similarity) of the pairs whose samples agree enough to be looked at."""
+def verify(pairs: DataFrame, nodes: DataFrame, weighed: DataFrame, parts: int) -> DataFrame:
+    """(a, b, similarity) of the pairs whose samples agree enough to be looked at, these kept in ``parts`` partitions."""
 
     def agree(batches):
         for batch in batches:
@@ -265,16 +273,17 @@ def verify(pairs: DataFrame, nodes: DataFrame, weighed: DataFrame) -> DataFrame:
                 [batch.column("a"), batch.column("b"), pa.array(sim, pa.float64())], ["a", "b", "similarity"]
             )
 
-    near = _sided(pairs, nodes, ["samples"]).mapInArrow(agree, "a binary, b binary")
+    near = materialize(_sided(pairs, nodes, ["samples"]).mapInArrow(agree, "a binary, b binary")).coalesce(parts)
     return _sided(near, weighed, ["shingle", "weight"]).mapInArrow(compare, "a binary, b binary, similarity double")
 
 
-def open_pairs(placed: DataFrame, active: DataFrame, component: DataFrame, floor: float) -> DataFrame:
+def open_pairs(placed: DataFrame, active: DataFrame, component: DataFrame, floor: float, parts: int) -> DataFrame:
     """(a, b) of all members of different classes in one of the buckets ``placed`` (node, bucket) whose samples agree in ``floor``.
 
     A bucket is cut into groups of about GROUP members: those of one large class, or of several small
     ones. Each two groups (and each group of small classes with itself) meet in one place, so a large
-    class meets only what is not of it. Buckets of two members are left to the leaders.
+    class meets only what is not of it. Buckets of two members are left to the leaders. Members are
+    kept in ``parts`` partitions.
     """
     member = placed.join(component, "node").select("bucket", "node", F.xxhash64("component").alias("class"))
     sizes = member.groupBy("bucket", "class").agg(F.count("*").alias("size"))
@@ -282,17 +291,17 @@ def open_pairs(placed: DataFrame, active: DataFrame, component: DataFrame, floor
         F.count("*").alias("classes"), F.sum("size").alias("n"),
         F.sum(F.when(F.col("size") <= GROUP, F.col("size")).otherwise(0)).alias("small"),
     ).filter("classes > 1 and n > 2")
-    parts = lambda n: F.ceil(F.col(n) / GROUP)
+    groups_of = lambda n: F.ceil(F.col(n) / GROUP)
     large = sizes.join(several, "bucket").select(
-        "bucket", "class", "small", F.when(F.col("size") > GROUP, parts("size")).alias("parts"),
+        "bucket", "class", "small", F.when(F.col("size") > GROUP, groups_of("size")).alias("parts"),
     )
-    part = F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("class"), parts("small"))).otherwise(
+    part = F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("class"), groups_of("small"))).otherwise(
         F.pmod(F.xxhash64("node"), F.col("parts"))
     )
     whole = F.when(F.col("parts").isNotNull(), F.col("class"))
     grouped = materialize(member.join(large, ["bucket", "class"]).select(
         "bucket", "class", "node", whole.alias("whole"), F.xxhash64(whole, part).alias("group")
-    ))
+    )).coalesce(parts)
     groups = grouped.select("bucket", "group", "whole").distinct()
     other = groups.select("bucket", F.col("group").alias("group_b"), F.col("whole").alias("whole_b"))
     meet = groups.join(other, "bucket").filter("group <= group_b and not coalesce(whole = whole_b, false)").select(
@@ -372,14 +381,19 @@ def classified(
         )
         .select("node", "least.*", "copies", "bands", "samples")
     )
-    nodes = materialize(nodes)
+    # no more nodes than rows
+    wide, narrow = 1 + n // WIDE_ROWS, 1 + n * bands // NARROW_ROWS
+    nodes = materialize(nodes.coalesce(wide))
     placed = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    coarse = materialize(placed.join(shared, "bucket"))
+    coarse = materialize(placed.join(shared, "bucket").coalesce(narrow))
     active = materialize(
         coarse.groupBy("node").agg(F.sum("n").alias("popularity"))
-        .join(nodes.select("node", "doc", "bands", "samples"), "node")
+        .join(nodes.select("node", "doc", "bands", "samples"), "node").coalesce(wide)
     )
+    n_active = active.count()
+    parts = 1 + n_active * 2 * bands // NARROW_ROWS
+    beside = F.broadcast if n_active <= MAX_BROADCAST_ROWS else lambda facts: facts
     weighed = materialize(features(source, active.select("doc", "node"), frequent))
     ring = F.transform(
         F.sequence(F.lit(0), F.lit(bands - 1)),
@@ -395,27 +409,28 @@ def classified(
     while True:
         if floor is None:
             # one member of each class in a bucket speaks for it; the most popular class leads
-            member = state.join(component, "node").groupBy("bucket", "component").agg(
+            member = state.join(beside(component), "node").groupBy("bucket", "component").agg(
                 F.max(F.struct("popularity", "node")).alias("m")
-            )
+            ).coalesce(parts)
             leader = member.groupBy("bucket").agg(F.max("m").alias("lead"), F.count("*").alias("n")).filter("n > 1")
             pairs = (
                 member.join(leader, "bucket").filter("m.node <> lead.node")
-                .select(F.least("m.node", "lead.node").alias("a"), F.greatest("m.node", "lead.node").alias("b")).distinct()
+                .select(F.least("m.node", "lead.node").alias("a"), F.greatest("m.node", "lead.node").alias("b"))
+                .coalesce(parts).distinct()
             )
         else:
-            pairs = open_pairs(coarse.select("node", "bucket"), active, component, floor)
+            pairs = open_pairs(coarse.select("node", "bucket"), active, beside(component), floor, parts)
         if asked is not None:
             pairs = pairs.join(asked, ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
-        found = materialize(verify(pairs, active, weighed).filter(F.col("similarity") >= similarity))
+        pairs = materialize(pairs).coalesce(parts)
+        found = materialize(verify(pairs, active, weighed, parts).filter(F.col("similarity") >= similarity)).coalesce(parts)
         new = found.count()
         links = found if links is None else links.union(found)
         asked = pairs if asked is None else asked.union(pairs)
         if new:
             component = materialize(
                 active.select("node").join(connected(links), "node", "left")
-                .select("node", F.coalesce("component", "node").alias("component"))
+                .select("node", F.coalesce("component", "node").alias("component")).coalesce(wide)
             )
         if floor is not None or not new:
             floor = next(floors, None)
@@ -425,7 +440,7 @@ def classified(
     facts = materialize(
         nodes.select("node", "doc", "hash", "copies").join(component, "node", "left").join(degree, "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
-        .withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+        .withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long"))).coalesce(wide)
     )
     classes = materialize(
         facts.groupBy("component").agg(
@@ -433,12 +448,12 @@ def classified(
                 F.min(F.struct("doc", "hash")).alias("kept"), F.sum("copies").alias("size")
             ).alias("class"),
             F.count("*").alias("members"),
-        )
+        ).coalesce(wide)
     )
     # a class may hold a third of all texts, a text a third of all rows
     told = materialize(join_by_skewed_key(facts, classes, "component", "class", "members", "node").select(
         "node", F.struct("class", "n_links").alias("fact"), "copies"
-    ))
+    ).coalesce(wide))
     return join_by_skewed_key(signed.select("doc", "hash", "node"), told, "node", "fact", "copies", "doc")
 
 
