@@ -1,11 +1,13 @@
 """Information-theoretic sanitisation of personal data, in DataFrame functions only.
 
-Base findings are patterns: e-mail, IP address, payment card, phone number; each distinct value is a
-protected entity. A term that keeps standing next to an entity reveals it even when the entity is
-masked. How much, the corpus tells: with document frequencies n_t, n_e and n_te (term in the context
+Base findings are patterns: e-mail, IP address, payment card, phone number. Each distinct value is a
+protected entity, and so are what values share, their part (an address's host, a network, an issuer, a
+dialling code) and their kind: most values stand in one text only, which is no evidence. A term that
+keeps standing next to an entity reveals it even when the entity is masked. How much, the corpus tells: with document frequencies n_t, n_e and n_te (term in the context
 of the entity), the pointwise mutual information log(N n_te / (n_t n_e)) is the share of the entity's
 information log(N / n_e) that the term discloses. Terms over the upper threshold are removed from the
-documents that hold the entity, those over the lower one are generalised.
+documents that hold the entity (of a part or kind: that have the term in its context), those over the
+lower one are generalised.
 """
 
 from __future__ import annotations
@@ -99,8 +101,19 @@ def _key(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     )
 
 
+def protected(kind: Column, value: Column) -> Column:
+    """The entities a finding stands for, as structs (level, entity): its value, its part, its kind."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    part = (
+        F.when(kind == "email", F.substring_index(F.lower(value), "@", -1)).when(kind == "ip", F.substring_index(value, ".", 3))
+        .when(kind == "card", F.substring(digits, 1, 6)).otherwise(F.substring(digits, 1, 3))
+    )
+    names = {"value": F.lower(value), "part": part, "kind": F.lit("")}
+    return F.array(*(F.struct(F.lit(level).alias("level"), F.concat_ws(":", F.lit(level), kind, name).alias("entity")) for level, name in names.items()))
+
+
 def entities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_id, _hash, entity, term) with the words around every occurrence, a row for each finding."""
+    """(_id, _hash, level, entity, terms) with the words around every occurrence, three rows for each finding."""
     found = (
         with_computed(_key(docs.select(doc_id, F.col(text).alias("text")), doc_id, "text"), "spans", base_spans(F.col("text")))
         .select("_id", "_hash", "text", F.explode("spans").alias("s"))
@@ -111,8 +124,9 @@ def entities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     term = F.array_distinct(F.concat(
         F.slice(F.reverse(near(before)), 1, CONTEXT_WORDS), F.slice(near(after), 1, CONTEXT_WORDS)
     ))
-    entity = F.concat_ws(":", F.col("s.kind"), F.lower(F.col("s.value")))
-    return found.select("_id", "_hash", entity.alias("entity"), term.alias("terms"))
+    return with_computed(found, "terms", term).select(
+        "_id", "_hash", F.inline(protected(F.col("s.kind"), F.col("s.value"))), "terms"
+    ).select("_id", "_hash", "level", "entity", "terms")
 
 
 def disclosing_terms(
@@ -121,23 +135,23 @@ def disclosing_terms(
     """(entity, term, disclosure) of the terms that disclose at least ``generalise`` of an entity.
 
     A term needs the evidence of ``support`` distinct texts. Its document frequency is counted over
-    all documents, that of entities and pairs over all their occurrences.
+    all documents, that of entities and pairs over all their occurrences. Both are counted before they
+    meet, so an entity in a third of all documents is one row of a join.
     """
     n = float(max(1, docs.count()))
     information = F.log(F.lit(n) / F.col("n_e"))
     mutual = F.log(F.lit(n) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     share = F.when(information > 0, mutual / information).otherwise(F.lit(0.0))
-    per_entity = found.groupBy("entity").agg(F.count_distinct("_id", "_hash").alias("n_e"), F.count_distinct("_hash").alias("texts"))
+    per_entity = found.groupBy("entity").agg(F.count_distinct("_id", "_hash").alias("n_e"))
+    near = found.select("_id", "_hash", "level", "entity", F.explode("terms").alias("term"))
     pairs = (
-        found.join(per_entity.filter(F.col("texts") >= support).select("entity", "n_e"), "entity")
-        .select("entity", "n_e", "_id", "_hash", F.explode("terms").alias("term"))
-        .groupBy("entity", "n_e", "term")
+        near.groupBy("entity", "term")
         .agg(F.count_distinct("_id", "_hash").alias("n_te"), F.count_distinct("_hash").alias("texts"))
-        .filter(F.col("texts") >= support).drop("texts")
+        .filter(F.col("texts") >= support).drop("texts").join(per_entity, "entity")
     )
     # A term stands in at least as many documents as have it in some context: pairs that fall short of
     # the threshold even so are settled before the words of all documents are counted.
-    least = found.select("_id", "_hash", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    least = near.filter("level = 'value'").select("_id", "_hash", "term").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
     pairs = materialize(pairs.join(least, "term").filter(share >= generalise).drop("n_t"))
     candidates = pairs.select("term").distinct()
     if candidates.count() <= BROADCAST_TERMS:
@@ -149,6 +163,24 @@ def disclosing_terms(
     )
 
 
+def terms_of_documents(found: DataFrame, flagged: DataFrame) -> DataFrame:
+    """(_id, _hash, _terms): the disclosing terms of every document with their largest disclosure.
+
+    A value's terms hold for the whole document, those of a part or kind where they stand in its context.
+    """
+    flagged = materialize(flagged)
+    if flagged.count() <= BROADCAST_TERMS:
+        flagged = F.broadcast(flagged)
+    whole = found.filter("level = 'value'").select("_id", "_hash", "entity").distinct().join(flagged, "entity")
+    near = found.filter("level <> 'value'").select("_id", "_hash", "entity", F.explode("terms").alias("term")).distinct().join(flagged, ["entity", "term"])
+    columns = ["_id", "_hash", "term", "disclosure"]
+    return (
+        whole.select(columns).union(near.select(columns))
+        .groupBy("_id", "_hash", "term").agg(F.max("disclosure").alias("disclosure"))
+        .groupBy("_id", "_hash").agg(F.collect_list(F.struct("term", "disclosure")).alias("_terms"))
+    )
+
+
 def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", remove: float = REMOVE, **options) -> DataFrame:
     """``docs`` with a column ``spans``: base findings, then ``general`` and ``term`` spans of disclosing terms.
 
@@ -159,12 +191,7 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     docs = docs.drop("_id", "_hash", "_terms", "spans")
     found = materialize(entities(docs, doc_id, text))
-    flagged = disclosing_terms(docs, found, text, **options)
-    per_doc = (
-        found.select("_id", "_hash", "entity").distinct().join(flagged, "entity")
-        .groupBy("_id", "_hash", "term").agg(F.max("disclosure").alias("disclosure"))
-        .groupBy("_id", "_hash").agg(F.collect_list(F.struct("term", "disclosure")).alias("_terms"))
-    )
+    per_doc = terms_of_documents(found, disclosing_terms(docs, found, text, **options))
     keyed = _key(docs, doc_id, text).join(per_doc, ["_id", "_hash"], "left")
     column = F.col(text)
     with_base = with_computed(keyed, "spans", F.coalesce(base_spans(column), F.array().cast(SPAN)))

@@ -201,6 +201,77 @@ def test_disclosing_terms_are_masked(spark):
     assert clean[0].startswith("write to   at [EMAIL] about") and clean[10] == rows[6][1] and clean[90] is None
 
 
+def python_base(value):
+    """The base findings by Python's ``re``, after the definition."""
+    import re
+
+    def luhn(digits):
+        twice = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
+        return sum(d - 9 if d > 9 else d for d in twice) % 10 == 0
+
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15),
+    ]
+    return [(k, m.start(), m.end(), m.group()) for k, p, good in kinds for m in re.finditer(p, value or "") if good(m.group())]
+
+
+def test_base_findings_equal_python_re(spark):
+    rng = np.random.default_rng(3)
+    bits = ["a", "b.c", "@", "@x.org", ".", "1", "25", "255.1.0.9", "+4", "-", " ", "(", ")", "é", "😀", "_%", "4111 1111 1111 1111", "+44 20 7946 0958", "\n"]
+    rows = [(i, "".join(rng.choice(bits, rng.integers(1, 30)))) for i in range(400)] + [(900, None), (901, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {}
+    for r in pii.find_personal_data(frame).collect():
+        found[r.doc_id] = [tuple(s) for s in r.spans if s.kind in pii.KINDS]
+    assert found == {i: python_base(t) for i, t in rows} and sum(map(len, found.values())) > 300
+
+
+def test_disclosure_equals_brute_force(spark):
+    import math
+    import re
+
+    rng = np.random.default_rng(8)
+    vocabulary = [a + b + c for a in "bcd" for b in "aei" for c in "ln"] + ["contact", "rare"]
+    values = ["ann@one.org", "bob@one.org", "cy@one.org", "dee@two.net", "10.0.0.1", "10.0.0.7", "+44 20 7946 0958", "+44 20 7946 0959"]
+    rows = []
+    for i in range(150):
+        words = list(rng.choice(vocabulary[:-2], rng.integers(0, 40)))
+        for v in rng.choice(values, rng.integers(0, 3)) if i % 3 == 0 else []:
+            at = rng.integers(0, len(words) + 1)
+            words[at:at] = (["contact"] if rng.random() < 0.8 else []) + [v] + (["rare"] if v.endswith("org") else [])
+        rows.append((i, " ".join(words)))
+    rows += [(200, None), (201, ""), (0, rows[0][1])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+
+    held, pairs, frequency = {}, {}, {}
+    for i, t in rows:
+        for term in set(re.findall(r"[^\W\d_]{3,}", (t or "").lower())):
+            frequency[term] = frequency.get(term, 0) + 1
+        for kind, a, b, v in python_base(t):
+            digits = re.sub("[^0-9]", "", v)
+            part = {"email": v.lower().split("@")[-1], "ip": ".".join(v.split(".")[:3]), "card": digits[:6], "phone": digits[:3]}[kind]
+            near = re.findall(r"[^\W\d_]{3,}", t[max(0, a - 160) : a].lower())[::-1][:8] + re.findall(r"[^\W\d_]{3,}", t[b : b + 160].lower())[:8]
+            for entity in (f"value:{kind}:{v.lower()}", f"part:{kind}:{part}", f"kind:{kind}:"):
+                held.setdefault(entity, set()).add((i, t))
+                for term in near:
+                    pairs.setdefault((entity, term), set()).add((i, t))
+    want = {}
+    for (entity, term), where in pairs.items():
+        information = math.log(len(rows) / len(held[entity]))
+        share = math.log(len(rows) * len(where) / (frequency[term] * len(held[entity]))) / information
+        if len({t for _, t in where}) >= 3 and share >= 0.5:
+            want[entity, term] = share
+    got = {(r.entity, r.term): r.disclosure for r in pii.disclosing_terms(frame, pii.entities(frame), generalise=0.5).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert {"kind:email:", "part:email:one.org"} <= {e for e, _ in want}
+    spans = [s for r in pii.find_personal_data(frame, generalise=0.5).collect() for s in r.spans if s.kind in ("general", "term")]
+    assert {"contact", "rare"} <= {s.value for s in spans}
+
+
 def test_base_findings(spark):
     value = "a@b.c_d@e.f 4111 1111 1111 1111, +1 (202) 555-0100; 1.2.3.256 010.0.0.255 " + "9" * 25 + "é+44 20 7946 0958"
     row = pii.span_digests(spark.createDataFrame([(1, value)], "doc_id long, text string")).first()
