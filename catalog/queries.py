@@ -17,7 +17,7 @@ from catalog.fixtures import (
 )
 from papersieve.functions import text as tx
 from papersieve.operators import (
-    cleaning, clustering, disciplines, embedding, metrics, model, reduction, screening, terms, topic_eval, trends,
+    boosting, cleaning, clustering, disciplines, embedding, metrics, model, reduction, screening, terms, topic_eval, trends,
 )
 from papersieve.operators.split import stratified_split
 from papersieve.plans import discipline_flow, topic_flow
@@ -548,17 +548,30 @@ def reduce_dims(spark, sf_dir):
     return prepared_vectors(spark, sf_dir).select("paper_id", F.posexplode("reduced").alias("component", "value"))
 
 
-@query
-def screen_model(spark, sf_dir):
-    """Boosted trees on the embedded text of every labelled document, ``quality`` as label."""
+def labelled_vectors(spark, sf_dir):
+    """The embedded text of every labelled document, ``quality`` as label, split by label."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("paper_id"), F.col("quality").alias("label"))
     texts = text_documents(spark, sf_dir).join(labels, "paper_id")
     embedded = embedding.embed_documents(texts.select("paper_id", "text"))
-    rows = materialize(stratified_split(embedded.join(labels, "paper_id")))
+    return materialize(stratified_split(embedded.join(labels, "paper_id")))
+
+
+@query
+def screen_model(spark, sf_dir):
+    """Boosted trees of the ML library."""
+    rows = labelled_vectors(spark, sf_dir)
     fitted = model.train_screener(rows.filter("not is_validation"))
     return model.score_screener(fitted, rows.filter("is_validation")).select("paper_id", "label", "model_score")
 
 
+@query
+def screen_boosted(spark, sf_dir):
+    """Second-order boosted trees with split and leaf penalties."""
+    rows = labelled_vectors(spark, sf_dir)
+    fitted = boosting.train_boosted(rows.filter("not is_validation"), n_trees=10, limits=boosting.Penalties(learning_rate=0.3))
+    return boosting.score_boosted(fitted, rows.filter("is_validation")).select("paper_id", "label", "model_score")
+
+
 @query
 def cluster_topics(spark, sf_dir):
     prepared = materialize(prepared_vectors(spark, sf_dir).select("paper_id", "reduced"))
