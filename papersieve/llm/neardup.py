@@ -33,6 +33,8 @@ BANDS, ROWS = 22, 6
 STEPS = 64
 #: Frequent shingles that one counting step broadcasts; more take more steps.
 CHUNK = 1 << 21
+#: Documents and shingles that are looked through together for frequent shingles.
+POOL_ROWS, POOL_SHINGLES = 4096, 1 << 22
 #: Pairs whose samples agree less are not verified: over four standard deviations below 0.8.
 LEAST_AGREEMENT = 0.65
 #: Bytes of text worked on at once; bounds a worker's memory.
@@ -89,20 +91,32 @@ def _lookup(value: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.nd
 def frequent_shingles(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Exactly the shingles in at least one STEPS-th of the ``n`` documents, and their steps.
 
-    Such a shingle is in at least that share of some block of documents (or the shares of all blocks
-    would be smaller). A first pass names those, a second counts them in all documents. The result
-    is bounded: fewer than STEPS times the mean number of shingles in a document.
+    Such a shingle is in at least that share of some pool of documents (or the shares of all pools
+    would be smaller). A first pass names those, a second counts them in all documents. A pool holds
+    POOL_ROWS documents or POOL_SHINGLES shingles; partitions of fewer documents are read together, so
+    that no small pool names all it holds. Names and result are bounded: fewer than STEPS times the
+    mean number of shingles in a document, for each pool and for the corpus.
     """
 
     def nominate(batches):
-        found = np.empty(0, np.uint64)
+        found, pool, held, rows = np.empty(0, np.uint64), [], 0, 0
+
+        def named_of_pool():
+            value, here = np.unique(np.concatenate(pool), return_counts=True)
+            return np.union1d(found, value[here * STEPS >= rows])
+
         for block in blocks(batches, "text", BLOCK, _POOL - 1):
             _, value, _, _ = shingles(block.column("text").to_pylist())
-            value, here = np.unique(value, return_counts=True)
-            found = np.union1d(found, value[here * STEPS >= block.num_rows])
+            pool.append(value)
+            held, rows = held + len(value), rows + block.num_rows
+            if held >= POOL_SHINGLES or rows >= POOL_ROWS:
+                found, pool, held, rows = named_of_pool(), [], 0, 0
+        if pool:
+            found = named_of_pool()
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64))], ["shingle"])
 
-    named = materialize(docs.mapInArrow(nominate, "shingle long").distinct())
+    together = docs.coalesce(1 + n // POOL_ROWS)
+    named = materialize(together.mapInArrow(nominate, "shingle long").distinct().coalesce(1 + n // POOL_ROWS))
     steps = 1 + named.count() // CHUNK
     kept = []
     for step in range(steps):

@@ -164,6 +164,22 @@ def test_all_of_a_bucket_are_compared(spark, monkeypatch):
     assert [got[i] for i in range(n)] == leads
 
 
+@pytest.mark.parametrize("rows, shingles", [(4096, 1 << 22), (7, 1 << 22), (4096, 50)])
+def test_frequent_shingles_against_counting(spark, monkeypatch, rows, shingles):
+    """The same shingles however documents are pooled and dealt: texts over many partitions, long, null and empty ones."""
+    monkeypatch.setattr(neardup, "POOL_ROWS", rows)
+    monkeypatch.setattr(neardup, "POOL_SHINGLES", shingles)
+    texts = [text(i, 30) + " " + text(77, 12 if i % 20 == 0 else 8 if i % 7 else 6) for i in range(200)] + [LONG, None, ""]
+    n = len(texts)
+    _, value, _, _ = neardup.shingles(texts)
+    keys, counts = np.unique(value, return_counts=True)
+    often = counts * neardup.STEPS >= n
+    got = neardup.frequent_shingles(spark.createDataFrame([(t,) for t in texts], "text string").repartition(60), n)
+    assert 3 < often.sum() < 20
+    assert got[0].tolist() == keys[often].tolist()
+    assert got[1].tolist() == (counts[often] * neardup.STEPS // n).tolist()
+
+
 def test_samples_estimate_weighted_jaccard():
     rng = np.random.default_rng(0)
     shingle = rng.integers(0, 1 << 48, 300).astype(np.uint64)
