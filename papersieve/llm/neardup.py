@@ -292,11 +292,12 @@ def verify(pairs: DataFrame, nodes: DataFrame, weighed: DataFrame, parts: int) -
 
 
 def open_pairs(placed: DataFrame, active: DataFrame, component: DataFrame, floor: float, parts: int) -> DataFrame:
-    """(a, b) of all members of different classes in one of the buckets ``placed`` (node, bucket) whose samples agree in ``floor``.
+    """(a, b), once, of all members of different classes in one of the buckets ``placed`` (node, bucket) whose samples agree in ``floor``.
 
     A bucket is cut into groups of about GROUP members: those of one large class, or of several small
     ones. Each two groups (and each group of small classes with itself) meet in one place, so a large
-    class meets only what is not of it. Buckets of two members are left to the leaders. Members are
+    class meets only what is not of it. Members that share several buckets are a
+    pair in that of their first shared band alone. Buckets of two members are left to the leaders. Members are
     kept in ``parts`` partitions.
     """
     member = placed.join(component, "node").select("bucket", "node", F.xxhash64("component").alias("class"))
@@ -328,8 +329,11 @@ def open_pairs(placed: DataFrame, active: DataFrame, component: DataFrame, floor
         ))),
     )
     seated = (
-        grouped.join(meet, ["bucket", "group"]).select("place", "side", "class", "node")
-        .join(active.select("node", "samples"), "node").repartition("place").sortWithinPartitions("place")
+        grouped.join(meet, ["bucket", "group"]).select("place", "bucket", "side", "class", "node")
+        .join(active.select("node", "samples", "bands"), "node")
+        # the bands before the bucket's own
+        .withColumn("before", F.expr("slice(bands, 1, cast(array_position(bands, bucket) as int) - 1)"))
+        .drop("bands", "bucket").repartition("place").sortWithinPartitions("place")
     )
 
     def agree(batches):
@@ -337,6 +341,7 @@ def open_pairs(placed: DataFrame, active: DataFrame, component: DataFrame, floor
             node = np.array(place.column("node").to_pylist(), object)
             own, side = (place.column(c).to_numpy() for c in ("class", "side"))
             drawn = np.stack([np.frombuffer(x, "<u2") for x in place.column("samples").to_pylist()])
+            before = np.array(place.column("before").to_pylist(), np.int64).reshape(len(node), -1)
             left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
             for i in range(0, len(left), GROUP):
                 for j in range(0, len(right), GROUP):
@@ -346,12 +351,14 @@ def open_pairs(placed: DataFrame, active: DataFrame, component: DataFrame, floor
                         same += drawn[x, s][:, None] == drawn[y, s][None, :]
                     near = (same >= floor * drawn.shape[1]) & (own[x][:, None] != own[y][None, :])
                     u, v = np.nonzero(near & ((side[x] != 2)[:, None] | (x[:, None] < y[None, :])))
-                    both = [sorted(p) for p in zip(node[x[u]], node[y[v]])]
-                    for k in range(0, len(both), _POOL):
-                        a, b = zip(*both[k : k + _POOL])
+                    for k in range(0, len(u), _POOL):
+                        p, q = x[u[k : k + _POOL]], y[v[k : k + _POOL]]
+                        here = ~(before[p] == before[q]).any(axis=1)
+                        both = [sorted(pair) for pair in zip(node[p[here]], node[q[here]])]
+                        a, b = zip(*both) if both else ((), ())
                         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    return seated.mapInArrow(agree, "a binary, b binary").distinct()
+    return seated.mapInArrow(agree, "a binary, b binary")
 
 
 def _runs(batches, key: str):

@@ -164,6 +164,27 @@ def test_all_of_a_bucket_are_compared(spark, monkeypatch):
     assert [got[i] for i in range(n)] == leads
 
 
+def test_members_of_several_shared_buckets_are_one_pair(spark):
+    """Every two members of different classes that share a bucket of three or more, once."""
+    rng = np.random.default_rng(5)
+    bands = [[100 * i + int(v) for i, v in enumerate(row)] for row in rng.integers(0, 3, (30, 4))]
+    node = [bytes([i]) * 16 for i in range(30)]
+    samples = rng.integers(0, 2, (30, 8)).astype("<u2")
+    own = [node[i - i % 3] for i in range(30)]
+    active = spark.createDataFrame(
+        [(n, b, x.tobytes()) for n, b, x in zip(node, bands, samples)], "node binary, bands array<long>, samples binary"
+    )
+    component = spark.createDataFrame(list(zip(node, own)), "node binary, component binary")
+    placed = active.select("node", F.explode("bands").alias("bucket"))
+    got = neardup.open_pairs(placed, active, component, 0.5, 2).collect()
+    want = {
+        (node[i], node[j]) for i in range(30) for j in range(i + 1, 30)
+        if own[i] != own[j] and any(x == y for x, y in zip(bands[i], bands[j])) and (samples[i] == samples[j]).mean() >= 0.5
+    }
+    assert len(want) > 50
+    assert sorted((bytes(r.a), bytes(r.b)) for r in got) == sorted(want)
+
+
 @pytest.mark.parametrize("rows, shingles", [(4096, 1 << 22), (7, 1 << 22), (4096, 50)])
 def test_frequent_shingles_against_counting(spark, monkeypatch, rows, shingles):
     """The same shingles however documents are pooled and dealt: texts over many partitions, long, null and empty ones."""
