@@ -8,51 +8,117 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from papersieve.functions.vectors import as_double, dot, l2_normalize, norm
-from papersieve.session import join_salted, materialize, store
+from papersieve.functions.vectors import as_double, l2_normalize, norm
+from papersieve.session import join_salted, join_small, materialize, runs, store
 
 OUTLIER = -1
 #: Projections that place a vector in a cell; a cell then has (3**AXES - 1) / 2 neighbours on one side.
 AXES = 3
+#: Bytes of vectors in a block, cells of a product held at once, pairs that make a task worth having.
+BLOCK, STRIP, TASK_PAIRS = 8 << 20, 1 << 21, 1 << 22
+#: Vectors that are one cell.
+FEW = 1024
 
 
 def similar_pairs(vectors: DataFrame, tau: float, key: str = "topic", vector: str = "embedding",
-                  axes: int = AXES) -> DataFrame:
+                  axes: int = AXES, block_bytes: int = BLOCK, few: int = FEW) -> DataFrame:
     """M10 cut at ``tau``: ``(key_i, key_j, value)`` of all pairs i < j with cosine >= tau, none lost.
 
     Unit vectors of cosine tau are sqrt(2 - 2 tau) apart, and no projection on a unit direction moves
     them farther apart. So with cells of that side along a few principal directions, partners lie in
-    touching cells; only those meet, by an equi-join, and are verified. Zero vectors have no partner.
+    touching cells, and only those meet; ``few`` vectors are one cell. A cell is cut into blocks of
+    ``block_bytes``, and two blocks are one matrix product, so a task holds two blocks however many
+    vectors share a cell. Zero vectors have no partner.
     """
     reach = float(max(2.0 - 2.0 * tau, 0.0) ** 0.5) + 1e-9
     v = as_double(F.col(vector))
     unit = vectors.select(F.col(key).alias("_key"), v.alias("_raw"), norm(v).alias("_length")).filter("_length > 0")
     unit = store(unit.select("_key", l2_normalize(F.col("_raw"), F.col("_length")).alias("_v")))
     i, j = f"{key}_i", f"{key}_j"
-    head = unit.select("_v").head(2)
-    if len(head) < 2:
+    n, head = unit.count(), unit.select("_v").head()
+    if n < 2:
         return unit.select(F.col("_key").alias(i), F.col("_key").alias(j), F.lit(0.0).alias("value")).limit(0)
-    axes = min(axes, len(head[0]["_v"]))
-    featured = unit.select("_key", "_v", array_to_vector("_v").alias("_features"))
-    projected = PCA(k=axes, inputCol="_features", outputCol="_at").fit(featured).transform(featured)
-    cells = projected.select("_key", "_v", F.transform(vector_to_array("_at"), lambda x: F.floor(x / reach)).alias("_cell"))
+    dims = len(head["_v"])
+    axes = 0 if n <= few else min(axes, dims)
+    if axes:
+        featured = unit.select("_key", "_v", array_to_vector("_v").alias("_features"))
+        projected = PCA(k=axes, inputCol="_features", outputCol="_at").fit(featured).transform(featured)
+        cells = projected.select("_key", "_v", F.transform(vector_to_array("_at"), lambda x: F.floor(x / reach)).alias("_cell"))
+    else:
+        cells = unit.withColumn("_cell", F.array().cast("array<bigint>"))
+    size = max(block_bytes // (8 * dims), 1)
+    counted = store(cells.groupBy("_cell").agg(F.count("*").alias("_n")).withColumn("_parts", F.ceil(F.col("_n") / size)))
+    seats, places, work = _seats(counted, axes)
+    members = join_small(cells, counted.select("_cell", "_parts"), "_cell", spread_by="_key")
+    members = members.withColumn("_part", F.pmod(F.xxhash64("_key"), F.col("_parts"))).drop("_parts")
+    met = (
+        members.join(seats, ["_cell", "_part"]).select("_place", "_side", "_key", "_v")
+        .repartition(max(1, min(places, 1 + work // TASK_PAIRS)), "_place").sortWithinPartitions("_place")
+    )
+    kind = unit.schema["_key"].dataType
+    close = met.mapInArrow(_close_pairs(tau, dims), StructType([
+        StructField("_a", kind), StructField("_b", kind), StructField("value", DoubleType())
+    ]))
+    return close.filter("_a <> _b").select(F.least("_a", "_b").alias(i), F.greatest("_a", "_b").alias(j), "value")
+
+
+def _seats(counted: DataFrame, axes: int) -> tuple[DataFrame, int, int]:
+    """``(_cell, _part, _place, _side)``: each two blocks of touching cells have a place, their sides 0 and 1.
+
+    A block meets itself as side 2. With the number of places and of pairs to be compared.
+    """
+    blocks = counted.select(
+        "_cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1)).alias("_part"), (F.col("_n") / F.col("_parts")).alias("_size")
+    )
     steps = [o for o in product((-1, 0, 1), repeat=axes) if o >= (0,) * axes]
-    offsets = F.array(*[F.array(*[F.lit(x).cast("bigint") for x in o]) for o in steps])
-    left = cells.select(
-        F.col("_key").alias("_i"), F.col("_v").alias("_vi"), F.col("_cell").alias("_from"), F.explode(offsets).alias("_step"),
+    offsets = F.array(*[F.array(*[F.lit(x).cast("bigint") for x in o]).cast("array<bigint>") for o in steps])
+    left = blocks.select(
+        F.col("_cell").alias("_from"), F.col("_part").alias("_pa"), F.col("_size").alias("_na"), F.explode(offsets).alias("_step")
     ).withColumn("_cell", F.zip_with("_from", "_step", lambda a, b: a + b))
-    right = cells.select(F.col("_key").alias("_j"), F.col("_v").alias("_vj"), "_cell")
-    same = F.col("_from") == F.col("_cell")
-    met = left.join(right, "_cell").filter(~same | (F.col("_i") < F.col("_j")))
-    return met.select(
-        F.least("_i", "_j").alias(i), F.greatest("_i", "_j").alias(j), dot(F.col("_vi"), F.col("_vj")).alias("value")
-    ).filter(F.col("value") >= tau)
+    own = F.col("_from") == F.col("_cell")
+    met = left.join(blocks, "_cell").filter(~own | (F.col("_pa") <= F.col("_part")))
+    met = store(met.select("*", own.alias("_own")).withColumn("_place", F.monotonically_increasing_id()))
+
+    def seat(cell: str, part: str, side: int) -> Column:
+        return F.struct(F.col(cell).alias("_cell"), F.col(part).alias("_part"), F.lit(side).alias("_side"))
+
+    alone = F.col("_own") & (F.col("_pa") == F.col("_part"))
+    seats = met.select("_place", F.inline(
+        F.when(alone, F.array(seat("_cell", "_part", 2))).otherwise(F.array(seat("_from", "_pa", 0), seat("_cell", "_part", 1)))
+    ))
+    totals = met.agg(F.count("*").alias("places"), F.sum(F.col("_na") * F.col("_size")).alias("work")).head()
+    return seats, totals.places, int(totals.work or 0)
+
+
+def _close_pairs(tau: float, dims: int):
+    """Pairs of each place's sides (or of side 2 with itself, once) with cosine >= ``tau``, a strip of a block at a time."""
+
+    def compare(batches):
+        for place in runs(batches, "_place"):
+            side = place.column("_side").to_numpy()
+            v = place.column("_v").flatten().to_numpy().reshape(-1, dims)
+            left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+            other, strip = v[right].T, max(STRIP // max(len(right), 1), 1)
+            for start in range(0, len(left), strip):
+                mine = left[start : start + strip]
+                value = v[mine] @ other
+                a, b = np.nonzero(value >= tau)
+                once = (side[mine[a]] != 2) | (mine[a] < right[b])
+                a, b = a[once], b[once]
+                yield pa.RecordBatch.from_arrays([
+                    place.column("_key").take(pa.array(mine[a])), place.column("_key").take(pa.array(right[b])), pa.array(value[a, b])
+                ], ["_a", "_b", "value"])
+
+    return compare
 
 
 def vector_sums(docs: DataFrame, topic: str = "topic", vector: str = "embedding") -> DataFrame:

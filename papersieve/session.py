@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,3 +122,20 @@ def join_small(big: DataFrame, small: DataFrame, key: str, spread_by: str) -> Da
 def as_threshold(value: float | DataFrame) -> Column:
     """A number, or the single cell of a one-row DataFrame, as a column."""
     return value.scalar() if isinstance(value, DataFrame) else F.lit(float(value))
+
+
+def runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """The rows of each run of equal keys as one batch, inside ``mapInArrow``."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        value = batch.column(key).to_numpy()
+        cuts = [0, *(np.flatnonzero(value[1:] != value[:-1]) + 1).tolist(), len(value)]
+        for a, b in zip(cuts, cuts[1:]):
+            if held and held[-1].column(key)[0].as_py() != value[a]:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]

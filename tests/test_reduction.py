@@ -34,6 +34,19 @@ def test_similar_pairs_are_all_pairs(spark, tau):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("tau", [-0.5, 0.3, 0.9])
+def test_similar_pairs_meet_as_blocks(spark, tau):
+    """One row per block and side reaches a task, not one per pair, and no pair is lost or doubled by cells and blocks."""
+    rows, df = centroids(spark)
+    c = cosines(rows)
+    want = {(i, j): c[i, j] for i in range(len(rows)) for j in range(i) if c[i, j] >= tau and 7 not in (i, j)}
+    pairs = reduction.similar_pairs(df, tau, block_bytes=8 * 8 * 16, few=0)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan.lower() and "zipwith" not in plan.lower()
+    got = [(r.topic_j, r.topic_i, r.value) for r in pairs.collect()]
+    assert len(got) == len(want) and {(i, j): pytest.approx(v, abs=1e-9) for i, j, v in got} == want
+
+
 def test_similar_pairs_of_few_rows(spark):
     _, df = centroids(spark)
     assert reduction.similar_pairs(df.limit(0), 0.5).isEmpty() and reduction.similar_pairs(df.limit(1), 0.5).isEmpty()
