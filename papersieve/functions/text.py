@@ -53,14 +53,15 @@ def clean_academic_text(
     """Lower-case text without e-mails, links, citation marks, layout words, punctuation, domain words.
 
     Layout words go while letters outside a-z still count as letters; domain words go afterwards.
-    Punctuation and white space become one blank in the same pass.
+    Runs of a-z, digits and underscores are taken out and joined by one blank, which is several times
+    faster than replacing all between them.
     """
     c = F.lower(F.coalesce(c, F.lit("")))
     c = F.regexp_replace(c, r"(?U)(?<!\S)\S+@\S+", " ")
     c = F.regexp_replace(c, r"(?U)http\S+|doi:\S+", " ")
     c = F.regexp_replace(c, r"(?U)\[\d+\]", " ")
     c = F.regexp_replace(c, r"(?U)\b(?:" + "|".join(layout_words) + r")\b", " ")
-    c = F.regexp_replace(c, r"[^a-z0-9_]+", " ")
+    c = F.array_join(F.regexp_extract_all(c, F.lit(r"[a-z0-9_]+"), F.lit(0)), " ")
     c = F.regexp_replace(c, r"\b(?:" + "|".join(domain_words) + r")\b", " ")
     return F.trim(F.regexp_replace(c, r" {2,}", " "))
 

@@ -112,3 +112,16 @@ def test_embedding_is_the_same_for_any_number_of_hot_tokens(spark, hot):
 def test_embedding_of_no_documents(spark):
     docs = spark.createDataFrame([], "paper_id long, text string")
     assert embedding.embed_documents(docs, dim=16).count() == 0
+
+
+def test_cleaning_takes_words_out_instead_of_replacing_what_is_between(spark):
+    """Same text as by replacement, whatever stands between, before and after the words."""
+    texts = ["", " ", "...", "\u3000a--b\n\tc!", "edu", "x edu.cn, y_edu edu", "\u00e9t\u00e9 na\u00efve", "fig 1: [2] b_c", "a" * 50 + "\u4e2d" * 50]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    c = F.lower("text")
+    for pattern in (r"(?U)(?<!\S)\S+@\S+", r"(?U)http\S+|doi:\S+", r"(?U)\[\d+\]", r"(?U)\b(?:" + "|".join(tx.LAYOUT_WORDS) + r")\b",
+                    r"[^a-z0-9_]+", r"\b(?:" + "|".join(tx.DOMAIN_WORDS) + r")\b", " {2,}"):
+        c = F.regexp_replace(c, pattern, " ")
+    cleaned = df.select(tx.clean_academic_text(F.col("text")).alias("got"), F.trim(c).alias("want"))
+    assert all(r.got == r.want for r in cleaned.collect())
+    assert "regexp_extract_all" in cleaned.select("got")._jdf.queryExecution().analyzed().toString().lower()
