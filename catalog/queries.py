@@ -21,7 +21,7 @@ from papersieve.operators import (
 )
 from papersieve.operators.split import stratified_split
 from papersieve.plans import discipline_flow, topic_flow
-from papersieve.session import materialize, shared_dir, with_computed
+from papersieve.session import materialize, shared_dir, store, with_computed
 from papersieve.sources import sinks
 from papersieve.sources.anchors import anchors_df
 from papersieve.sources.papers import read_yearly
@@ -466,7 +466,7 @@ def coherence_cv(spark, sf_dir):
 
 @query
 def coherence_cv_dictionary(spark, sf_dir):
-    docs = space_tokens(spark, sf_dir)
+    docs = store(space_tokens(spark, sf_dir))
     return topic_eval.coherence_cv(
         docs, fixture_words(spark, sf_dir), top_n=10, min_topics=2,
         dictionary=topic_eval.dictionary_filter(docs),

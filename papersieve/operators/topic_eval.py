@@ -125,14 +125,17 @@ def dictionary_filter(docs: DataFrame, tokens: str = "tokens", no_below: int = 5
                       keep_n: int | None = None) -> DataFrame:
     """``(term, df)`` of tokens in at least ``no_below`` documents and at most that share of all.
 
-    ``keep_n``, if given, keeps the most frequent, ties by term; by default no term is dropped.
+    ``keep_n``, if given, keeps the most frequent, ties by term; by default no term is dropped. A
+    null beside each document's terms counts the documents in the same pass, as their tokens may be
+    costly to make.
     """
-    n = docs.agg(F.count("*").alias("n"))
-    kept = (
-        docs.select(F.explode(F.array_distinct(tokens)).alias("term"))
+    own = F.coalesce(F.array_compact(F.array_distinct(tokens)), F.array().cast("array<string>"))
+    counts = materialize(
+        docs.select(F.explode(F.concat(own, F.array(F.lit(None).cast("string")))).alias("term"))
         .groupBy("term").agg(F.count("*").alias("df"))
-        .filter((F.col("df") >= no_below) & (F.col("df") <= n.scalar() * no_above))
     )
+    n = counts.filter("term is null").select("df")
+    kept = counts.filter("term is not null").filter((F.col("df") >= no_below) & (F.col("df") <= n.scalar() * no_above))
     return kept if keep_n is None else kept.orderBy(F.desc("df"), "term").limit(keep_n)
 
 

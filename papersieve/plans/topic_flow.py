@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from papersieve.functions.text import clean_academic_text, long_enough, tokenize_alpha, tokenize_space
 from papersieve.operators import clustering, embedding, reduction, terms, topic_eval
 from papersieve.operators.disciplines import discipline_corpus, mean_vectors, select_by_discipline
-from papersieve.session import materialize, with_computed
+from papersieve.session import materialize, store, with_computed
 
 # Base seed and number of stability reruns.
 SEED, STABILITY_RUNS = 42, 3
@@ -197,7 +197,7 @@ def stability(model: TopicModel, n_runs: int = STABILITY_RUNS, seed: int = SEED,
 
 def evaluate_corpus(model: TopicModel, top_n: int = 10, min_tokens: int = 10) -> DataFrame:
     """Whole-corpus evaluation: c_v over a filtered dictionary, and diversity, as ``(metric, value)``."""
-    docs = evaluation_tokens(model.documents, min_tokens)
+    docs = store(evaluation_tokens(model.documents, min_tokens))  # three passes read the tokens
     return topic_eval.evaluation_table(
         c_v=topic_eval.coherence_cv(
             docs, model.words, top_n, min_topics=2, dictionary=topic_eval.dictionary_filter(docs)

@@ -246,3 +246,19 @@ def test_keyword_views(spark):
     assert [r.term for r in ranked] == ["a", "b"]
     diverse = clustering.mmr_keywords(words, vectors, centroid, 2).orderBy("rank").collect()
     assert [r.term for r in diverse] == ["a", "c"]
+
+
+def test_dictionary_reads_its_documents_once(spark):
+    """Tokens are costly to make: the number of documents comes from the pass that counts the terms."""
+    seen = spark.sparkContext.accumulator(0)
+    rows = [(i, ["a", "b", "b"] if i % 2 else ["a", f"t{i % 4}"]) for i in range(40)] + [(40, []), (41, None)]
+
+    def read(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame(rows, "paper_id long, tokens array<string>")
+    found = topic_eval.dictionary_filter(df.mapInArrow(read, df.schema), no_below=5, no_above=0.5)
+    assert {r.term: r.df for r in found.collect()} == {"b": 20, "t0": 10, "t2": 10}
+    assert seen.value == len(rows)
