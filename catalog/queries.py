@@ -490,10 +490,10 @@ def topic_stability_given(spark, sf_dir):
     base = fixture_words(spark, sf_dir)
     docs = topic_documents(spark, sf_dir)
     runs = [
-        terms.topic_words(terms.ctfidf(terms.term_counts(
+        terms.topic_words(terms.ctfidf(materialize(terms.term_counts(
             docs.withColumn("topic", F.pmod(F.col("paper_id") * (run + 2) + F.col("topic"), F.lit(7))),
             max_df=0.95, max_features=10_000, **STOP,
-        ))).withColumn("run", F.lit(run))
+        )))).withColumn("run", F.lit(run))
         for run in range(3)
     ]
     return topic_eval.topic_stability(base, runs[0].unionByName(runs[1]).unionByName(runs[2])).select(

@@ -34,3 +34,8 @@ def test_query_gives_rows(spark, sf_dir, name):
 
 def test_entry(spark):
     assert driver.entry(spark).count() == 11
+
+
+def test_given_stability_reads_counts_not_texts(spark, sf_dir):
+    """Class counts are read three times for their weights: each run's are stored, so no plan goes back to the texts."""
+    assert not QUERIES["topic_stability_given"](spark, sf_dir).inputFiles()
