@@ -76,10 +76,16 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a given topic; label 9 plays the outliers."""
+    """Documents with a given topic; label 9 plays the outliers.
+
+    The documents that have a vector may all lie in a few files, so what the join leaves is dealt anew:
+    by a hash of the id, as a deal by the id itself is taken for the join's own and left out, though
+    that join may turn into a broadcast at run time.
+    """
     topic = F.when(F.col("label") == 9, -1).otherwise(F.col("label")).alias("topic")
     return (
         documents(spark, sf_dir)
         .select(F.col("doc_id").alias("paper_id"), "text")
         .join(vectors(spark, sf_dir).select("paper_id", "embedding", topic), "paper_id")
+        .repartition(F.xxhash64("paper_id"))
     )

@@ -96,17 +96,23 @@ def remove_words(tokens: Column, words: Sequence[str]) -> Column:
 def ngrams(tokens: Column, n_min: int = 1, n_max: int = 1) -> Column:
     """All n-grams of n_min..n_max tokens, space-joined, within one document.
 
-    Longer n-grams extend shorter ones by zipping with the shifted tokens; ``tokens`` must not appear
-    inside a lambda, where Spark would evaluate it again for every element.
+    Longer n-grams extend shorter ones by zipping with the shifted tokens. ``tokens`` is costly to make and
+    used several times, so it goes in as the one element of an array, which Spark evaluates once.
     """
-    grams, parts = tokens, []
-    for n in range(1, n_max + 1):
-        if n > 1:
-            shifted = F.slice(tokens, n, F.size(tokens))
-            grams = F.zip_with(grams, shifted, lambda a, b: F.concat(a, F.lit(" "), b))
-        if n >= n_min:
-            parts.append(grams if n == 1 else F.filter(grams, lambda g: g.isNotNull()))
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+    if n_max == 1:
+        return tokens
+
+    def joined(own: Column) -> Column:
+        grams, parts = own, []
+        for n in range(1, n_max + 1):
+            if n > 1:
+                shifted = F.slice(own, n, F.size(own))
+                grams = F.zip_with(grams, shifted, lambda a, b: F.concat(a, F.lit(" "), b))
+            if n >= n_min:
+                parts.append(grams if n == 1 else F.filter(grams, lambda g: g.isNotNull()))
+        return parts[0] if len(parts) == 1 else F.concat(*parts)
+
+    return F.get(F.transform(F.array(tokens), joined), F.lit(0))
 
 
 def parse_list_column(c: Column) -> Column:
