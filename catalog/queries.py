@@ -604,10 +604,10 @@ GIVEN_TOPICS = topic_flow.TopicSettings(
 
 def given_model(spark: SparkSession, sf_dir: str) -> topic_flow.TopicModel:
     """Model of cleaned documents with given vectors and topics; its words lie in the space of the vectors."""
-    topic = F.when(F.col("label") == 9, -1).otherwise(F.col("label")).alias("topic")
-    given = vectors(spark, sf_dir).select("paper_id", "embedding", topic)
-    docs = topic_flow.corpus_documents(text_documents(spark, sf_dir)).join(given, "paper_id")
-    return topic_flow.describe_topics(materialize(docs), GIVEN_TOPICS)
+    # cleaning is costly: only texts with a topic are cleaned, dealt over all tasks
+    given = topic_documents(spark, sf_dir)
+    docs = with_computed(given, "text", tx.clean_academic_text(F.col("text"))).filter(tx.long_enough(F.col("text")))
+    return topic_flow.describe_topics(store(docs), GIVEN_TOPICS)
 
 
 def merged_model(spark: SparkSession, sf_dir: str) -> topic_flow.TopicModel:

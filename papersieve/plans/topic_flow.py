@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,14 +48,28 @@ DISCIPLINE_SETTINGS = TopicSettings(
 
 @dataclass(frozen=True)
 class TopicModel:
-    """``documents(paper_id, text, embedding, reduced, topic)`` with class counts, term weights and main words."""
+    """``documents(paper_id, text, embedding, reduced, topic)`` with class counts, term weights and main words.
+
+    Counts, weights and words are made when first asked for: a merged model reads only the counts of the
+    model before it, and what reads the documents alone makes none of them.
+    """
 
     documents: DataFrame
-    counts: DataFrame
-    weights: DataFrame
-    words: DataFrame
+    count_terms: Callable[[], DataFrame]
     settings: TopicSettings
 
+    @cached_property
+    def counts(self) -> DataFrame:
+        return materialize(self.count_terms())
+
+    @cached_property
+    def weights(self) -> DataFrame:
+        return _weights(self.counts, self.documents, self.settings)
+
+    @cached_property
+    def words(self) -> DataFrame:
+        return materialize(_main_words(self.documents, self.weights, self.settings))
+
 
 def corpus_documents(papers: DataFrame, text: str = "text", min_chars: int = 50) -> DataFrame:
     """P17+P18+P22: ``(paper_id, text)`` cleaned, at least ``min_chars`` long."""
@@ -134,17 +148,11 @@ def _main_words(documents: DataFrame, weights: DataFrame, settings: TopicSetting
     return clustering.rerank_keywords(chosen, vectors, mean_vectors(documents, "topic"), settings.top_n_words)
 
 
-def _described(documents: DataFrame, counts: DataFrame, settings: TopicSettings) -> TopicModel:
-    weights = _weights(counts, documents, settings)
-    return TopicModel(documents, counts, weights, materialize(_main_words(documents, weights, settings)), settings)
-
-
 def describe_topics(documents: DataFrame, settings: TopicSettings = CORPUS_SETTINGS) -> TopicModel:
     """Model of documents whose ``topic`` is given: ``(paper_id, text, embedding, topic)``."""
-    counts = materialize(terms.class_counts(
+    return TopicModel(documents, lambda: terms.class_counts(
         documents, stop_words=settings.stop_words, ngram_range=settings.ngram_range, min_df=settings.min_df
-    ))
-    return _described(documents, counts, settings)
+    ), settings)
 
 
 def fit_topics(prepared: DataFrame, settings: TopicSettings = CORPUS_SETTINGS, seed: int = SEED) -> TopicModel:
@@ -162,7 +170,7 @@ def reduce_model(model: TopicModel, tau: float = 0.9) -> TopicModel:
     mapping = materialize(reduction.reduce_topics(model.documents, tau))
     merged = clustering.add_merged_topics(model.documents, mapping)
     documents = merged.withColumnRenamed("topic", "topic_before").withColumnRenamed("topic_merged", "topic")
-    return _described(documents, materialize(reduction.merge_counts(model.counts, mapping)), model.settings)
+    return TopicModel(documents, lambda: reduction.merge_counts(model.counts, mapping), model.settings)
 
 
 def keyword_views(model: TopicModel, candidates: int = 30, top_n: int = 15, diversity: float = 0.7) -> DataFrame:
