@@ -13,7 +13,7 @@ from pyspark.sql import Window
 
 from papersieve.functions.text import ngrams, remove_words, tokenize_words
 from papersieve.functions.vectors import as_double
-from papersieve.session import join_by_skewed_key, join_salted, join_small
+from papersieve.session import join_by_skewed_key, join_salted, join_small, store
 
 
 def english_stop_words() -> list[str]:
@@ -179,7 +179,8 @@ def representative_docs(
     A frequent term of a large topic is a hot join key, so the weights come in by the skew-proof join.
     """
     inside = docs.filter(F.col(topic) != outlier)
-    per_doc = (
+    # making terms is costly: both passes over a document's terms read them stored
+    per_doc = store(
         inside.select(
             id_col, topic, F.explode(document_terms(F.col(text), stop_words, ngram_range)).alias("term")
         )
@@ -190,7 +191,7 @@ def representative_docs(
     listed = weights.select(key, F.struct("weight", "idf").alias("_w"))
     # counted on the documents: terms that ``weights`` leaves out are often the most frequent ones
     counted = per_doc.select(key).groupBy("_key").agg(F.count("*").alias("_rows"))
-    lookup = counted.join(listed, "_key", "left")
+    lookup = store(counted.join(listed, "_key", "left"))
     joined = join_by_skewed_key(per_doc.select("*", key), lookup, "_key", "_w", "_rows", id_col)
     tf = F.sqrt("_tf") if reduce_frequent_words else F.col("_tf").cast("double")
     own = tf * F.col("_w.idf")
