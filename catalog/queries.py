@@ -549,11 +549,15 @@ def reduce_dims(spark, sf_dir):
 
 
 def labelled_vectors(spark, sf_dir):
-    """The embedded text of every labelled document, ``quality`` as label, split by label."""
+    """The embedded text of every labelled document, ``quality`` as label, split by label.
+
+    The split reads its rows three times, so labels are split by themselves and vectors are made once.
+    """
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("paper_id"), F.col("quality").alias("label"))
-    texts = text_documents(spark, sf_dir).join(labels, "paper_id")
-    embedded = embedding.embed_documents(texts.select("paper_id", "text"))
-    return materialize(stratified_split(embedded.join(labels, "paper_id")))
+    docs = text_documents(spark, sf_dir)
+    split = stratified_split(labels.join(docs.select("paper_id"), "paper_id", "left_semi"))
+    embedded = embedding.embed_documents(docs.join(labels, "paper_id", "left_semi"))
+    return materialize(embedded.join(split, "paper_id"))
 
 
 @query

@@ -139,8 +139,9 @@ def histograms(rows: DataFrame, recent: BoostedTrees, tree: Tree, level: int, fe
             pa.array((some % bins).astype(np.int32)), *(pa.array(t[some]) for t in total),
         ], ["node", "feature", "bin", "g", "h"])
 
+    # a task sends a bin once; dealt by component, the sums and the running sums over bins need no further shuffle
     return (
-        rows.mapInArrow(add, "node int, feature int, bin int, g double, h double")
+        rows.mapInArrow(add, "node int, feature int, bin int, g double, h double").repartition("node", "feature")
         .groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
     )
 
