@@ -6,8 +6,9 @@ with the probability of their weighted Jaccard similarity. Samples are banded; d
 band are candidates. First each member meets the bucket's leader, the member that shares buckets
 most; the same is done in the finer buckets of two neighbouring bands, and again among the classes
 still apart until a round finds no link. Then, in every bucket that still holds several classes, all
-members of different classes meet. Each pair of different texts is verified by its exact weighted
-Jaccard similarity; classes are the components of the links.
+members of different classes meet; a pair leaves its bucket only if a bound on its similarity allows
+a link. Each such pair of different texts is verified by its exact weighted Jaccard similarity; classes
+are the components of the links.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ LEAST_AGREEMENT = 0.65
 BLOCK = 2 << 20
 #: Members of a bucket that are compared with as many others at once; larger buckets take several steps.
 GROUP = 1024
+#: Parts of a text's weight that bound what it can share with another, and pairs bounded at once.
+SKETCH, BOUNDED = 256, 1 << 13
 _POOL = 1 << 16
 _IDS = np.uint64((1 << 48) - 1)
 
@@ -254,6 +257,39 @@ def weighted_jaccard(a: bytes, wa: bytes, b: bytes, wb: bytes) -> float:
     return float(least / (u.sum() + v.sum() - least))
 
 
+def sketch(shingle: bytes, weight: bytes) -> tuple[float, bytes]:
+    """Weight of a set, and of its shingles dealt into SKETCH parts by their bits, these rounded up to half floats."""
+    w = np.frombuffer(weight, "<f4").astype(float)
+    parts = np.bincount((np.frombuffer(shingle, "<u8") % np.uint64(SKETCH)).astype(np.int64), w, SKETCH)
+    with np.errstate(over="ignore"):  # beyond half floats infinite, which still is an upper bound
+        up = parts.astype(np.float16)
+    return float(w.sum()), np.where(up < parts, np.nextafter(up, np.float16(np.inf)), up).astype("<f2").tobytes()
+
+
+def may_link(total: np.ndarray, parts: np.ndarray, other_total: np.ndarray, other: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether pairs of sets (a row each) can have that weighted Jaccard similarity.
+
+    Two sets share at most the lesser weight of every part; a pair that reaches the similarity with
+    that is kept, so none that has it is lost.
+    """
+    shared = np.minimum(parts, other).sum(axis=1, dtype=np.float64)
+    return shared * (1 + 1e-5) * (1 + similarity) >= similarity * (total + other_total)
+
+
+def sketches(weighed: DataFrame) -> DataFrame:
+    """(node, total, parts) of the stored features."""
+
+    def cut(batches):
+        for batch in batches:
+            made = [sketch(s, w) for s, w in zip(batch.column("shingle").to_pylist(), batch.column("weight").to_pylist())]
+            total, parts = zip(*made) if made else ((), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), pa.array(total, pa.float64()), pa.array(parts, pa.binary())], ["node", "total", "parts"]
+            )
+
+    return weighed.mapInArrow(cut, "node binary, total double, parts binary")
+
+
 def _sided(pairs: DataFrame, facts: DataFrame, columns: list[str]) -> DataFrame:
     """The stored ``pairs`` with ``columns`` of both sides; few pairs pick the facts they need before these are shuffled."""
     if pairs.count() <= MAX_BROADCAST_ROWS:
@@ -291,8 +327,12 @@ def verify(pairs: DataFrame, nodes: DataFrame, weighed: DataFrame, parts: int) -
     return _sided(near, weighed, ["shingle", "weight"]).mapInArrow(compare, "a binary, b binary, similarity double")
 
 
-def open_pairs(placed: DataFrame, active: DataFrame, component: DataFrame, floor: float, parts: int) -> DataFrame:
-    """(a, b), once, of all members of different classes in one of the buckets ``placed`` (node, bucket) whose samples agree in ``floor``.
+def open_pairs(
+    placed: DataFrame, active: DataFrame, component: DataFrame, floor: float, parts: int,
+    weighed: DataFrame | None = None, similarity: float = SIMILARITY,
+) -> DataFrame:
+    """(a, b), once, of all members of different classes in one of the buckets ``placed`` (node, bucket) whose samples agree in
+    ``floor`` and whose sketches, given their features ``weighed``, allow ``similarity``.
 
     A bucket is cut into groups of about GROUP members: those of one large class, or of several small
     ones. Each two groups (and each group of small classes with itself) meet in one place, so a large
@@ -328,20 +368,31 @@ def open_pairs(placed: DataFrame, active: DataFrame, component: DataFrame, floor
             F.struct(F.col("group_b").alias("group"), F.lit(1).alias("side")),
         ))),
     )
+    facts = active.select("node", "samples", "bands")
+    if weighed is not None:
+        if grouped.count() <= MAX_BROADCAST_ROWS:  # only their facts leave the scan
+            there = F.broadcast(grouped.select("node").distinct())
+            facts, weighed = facts.join(there, "node", "left_semi"), weighed.join(there, "node", "left_semi")
+        facts = facts.join(sketches(weighed), "node")
     seated = (
         grouped.join(meet, ["bucket", "group"]).select("place", "bucket", "side", "class", "node")
-        .join(active.select("node", "samples", "bands"), "node")
+        .join(facts, "node")
         # the bands before the bucket's own
         .withColumn("before", F.expr("slice(bands, 1, cast(array_position(bands, bucket) as int) - 1)"))
         .drop("bands", "bucket").repartition("place").sortWithinPartitions("place")
     )
 
+    bounded = weighed is not None
+
     def agree(batches):
         for place in _runs(batches, "place"):
             node = np.array(place.column("node").to_pylist(), object)
             own, side = (place.column(c).to_numpy() for c in ("class", "side"))
             drawn = np.stack([np.frombuffer(x, "<u2") for x in place.column("samples").to_pylist()])
             before = np.array(place.column("before").to_pylist(), np.int64).reshape(len(node), -1)
+            if bounded:
+                total = place.column("total").to_numpy()
+                shares = np.stack([np.frombuffer(x, "<f2") for x in place.column("parts").to_pylist()])
             left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
             for i in range(0, len(left), GROUP):
                 for j in range(0, len(right), GROUP):
@@ -351,10 +402,14 @@ def open_pairs(placed: DataFrame, active: DataFrame, component: DataFrame, floor
                         same += drawn[x, s][:, None] == drawn[y, s][None, :]
                     near = (same >= floor * drawn.shape[1]) & (own[x][:, None] != own[y][None, :])
                     u, v = np.nonzero(near & ((side[x] != 2)[:, None] | (x[:, None] < y[None, :])))
-                    for k in range(0, len(u), _POOL):
-                        p, q = x[u[k : k + _POOL]], y[v[k : k + _POOL]]
+                    for k in range(0, len(u), BOUNDED):
+                        p, q = x[u[k : k + BOUNDED]], y[v[k : k + BOUNDED]]
                         here = ~(before[p] == before[q]).any(axis=1)
-                        both = [sorted(pair) for pair in zip(node[p[here]], node[q[here]])]
+                        p, q = p[here], q[here]
+                        if bounded:
+                            here = may_link(total[p], shares[p], total[q], shares[q], similarity)
+                            p, q = p[here], q[here]
+                        both = [sorted(pair) for pair in zip(node[p], node[q])]
                         a, b = zip(*both) if both else ((), ())
                         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
@@ -424,11 +479,10 @@ def classified(
     links = None
     asked = None
     component = active.select("node", F.col("node").alias("component"))
-    # leaders until a round adds no link, then all that still share a bucket, the likeliest first
-    floors = iter((similarity, min(LEAST_AGREEMENT, similarity)))
-    floor = None
+    # leaders until a round adds no link, then all that still share a bucket
+    leading = True
     while True:
-        if floor is None:
+        if leading:
             # one member of each class in a bucket speaks for it; the most popular class leads
             member = state.join(beside(component), "node").groupBy("bucket", "component").agg(
                 F.max(F.struct("popularity", "node")).alias("m")
@@ -440,7 +494,8 @@ def classified(
                 .coalesce(parts).distinct()
             )
         else:
-            pairs = open_pairs(coarse.select("node", "bucket"), active, beside(component), floor, parts)
+            floor = min(LEAST_AGREEMENT, similarity)
+            pairs = open_pairs(coarse.select("node", "bucket"), active, beside(component), floor, parts, weighed, similarity)
         if asked is not None:
             pairs = pairs.join(asked, ["a", "b"], "left_anti")
         pairs = materialize(pairs).coalesce(parts)
@@ -453,10 +508,9 @@ def classified(
                 active.select("node").join(connected(links), "node", "left")
                 .select("node", F.coalesce("component", "node").alias("component")).coalesce(wide)
             )
-        if floor is not None or not new:
-            floor = next(floors, None)
-            if floor is None:
-                break
+        if not leading:
+            break
+        leading = bool(new)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     facts = materialize(
         nodes.select("node", "doc", "hash", "copies").join(component, "node", "left").join(degree, "node", "left")

@@ -185,6 +185,31 @@ def test_members_of_several_shared_buckets_are_one_pair(spark):
     assert sorted((bytes(r.a), bytes(r.b)) for r in got) == sorted(want)
 
 
+def test_pairs_that_cannot_link_stay_in_their_bucket(spark):
+    """A family below the bound leaves no pairs, and none that has the similarity is lost."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 47, 150, np.uint64)
+    packed = []
+    for i in range(120):
+        own = base.copy()
+        edits = rng.choice(150, 30 if i % 4 else 8, replace=False)
+        own[edits] = rng.integers(0, 1 << 47, len(edits), np.uint64)
+        packed.append((np.sort(own).astype("<u8").tobytes(), rng.choice(np.array([0.7, 1.0, 1.69], "<f4"), 1).repeat(150).tobytes()))
+    node = [bytes([i]) * 16 for i in range(120)]
+    frame = spark.createDataFrame([(n, [7], bytes(16)) for n in node], "node binary, bands array<long>, samples binary")
+    component = frame.select("node", F.col("node").alias("component"))
+    weighed = spark.createDataFrame([(n, *x) for n, x in zip(node, packed)], "node binary, shingle binary, weight binary")
+    placed = frame.select("node", F.explode("bands").alias("bucket"))
+    got = {(bytes(r.a), bytes(r.b)) for r in neardup.open_pairs(placed, frame, component, 0.5, 2, weighed, 0.8).collect()}
+    near = {
+        (node[i], node[j]) for i in range(120) for j in range(i + 1, 120) if neardup.weighted_jaccard(*packed[i], *packed[j]) >= 0.8
+    }
+    assert near and near <= got
+    assert len(got) < 120 * 119 / 2 / 10
+    total, parts = neardup.sketch(np.arange(10, dtype="<u8").tobytes(), np.full(10, 1e6, "<f4").tobytes())
+    assert total == 1e7 and np.isinf(np.frombuffer(parts, "<f2")[:10]).all()  # too heavy for a half float: still a bound
+
+
 @pytest.mark.parametrize("rows, shingles", [(4096, 1 << 22), (7, 1 << 22), (4096, 50)])
 def test_frequent_shingles_against_counting(spark, monkeypatch, rows, shingles):
     """The same shingles however documents are pooled and dealt: texts over many partitions, long, null and empty ones."""
