@@ -27,6 +27,8 @@ from papersieve.llm.common import blocks
 
 #: Documents of this many bytes share one replay.
 BLOCK = 6 << 20
+#: The same where the ids leave the task: those of a block are some thirty times its size, and a worker keeps that memory.
+ID_BLOCK = 1 << 20
 #: Units whose digests a worker keeps between blocks, at most.
 KNOWN = 400_000
 
@@ -227,7 +229,7 @@ def encode_bpe(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str
 
     def encode(batches):
         coder = codec_of(*codec.value)
-        for block in blocks(batches, text, BLOCK):
+        for block in blocks(batches, text, ID_BLOCK):
             found = coder.encode(block.column(text).to_pylist())
             offsets = np.zeros(len(found) + 1, np.int32)
             np.cumsum([len(x) for x in found], out=offsets[1:])

@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -461,3 +462,22 @@ def test_quality_counts_a_part_in_the_same_pass(spark):
             c, p = want.get(raw[i] << 8 | raw[i + 1], (0, 0))
             want[raw[i] << 8 | raw[i + 1]] = (c + 1, p + bool(seen))
     assert got == want
+
+
+def test_encoding_holds_few_texts_at_once(spark, monkeypatch):
+    """A worker's lists of ids stay small however many texts reach it in one batch."""
+    sizes = []
+
+    class Coder:
+        def encode(self, texts):
+            sizes.append(sum(map(len, texts)))
+            return [[0]] * len(texts)
+
+    made = []
+    frame = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    monkeypatch.setattr(bpe, "codec_of", lambda *vocabulary: Coder())
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, work, schema: made.append(work))
+    bpe.encode_bpe(frame, {b"a": 0}, "a")
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": ["a" * 100_000] * 40})
+    assert sum(b.num_rows for b in made[0](iter([batch]))) == 40
+    assert sum(sizes) == 4_000_000 and max(sizes) <= 1 << 20
