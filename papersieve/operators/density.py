@@ -47,10 +47,10 @@ def _named(level: Column, kind: str, at: str) -> Column:
     return F.concat_ws(",", level, F.lit(kind), F.array_join(F.col(at).cast("array<string>"), ","))
 
 
-def _octave(cells: DataFrame, dims: int, min_samples: int, steps: int, finer: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """``(_corner, _n)`` of the dense corners, and ``(_at, _n, _corner, _step)`` with the last step each is dense in."""
-    around = corners(cells, dims)
-    dense = materialize(around.groupBy("_corner").agg(F.sum("_n").alias("_box")).filter(F.col("_box") >= min_samples))
+def _octave(cells: DataFrame, dims: int, min_samples: int, steps: int, finer: DataFrame | None) -> DataFrame:
+    """``(_corner, _cells, _step)`` of the dense corners: the cells around, at most 2**dims, and the last step each is dense in."""
+    around = corners(cells, dims).groupBy("_corner").agg(F.sum("_n").alias("_box"), F.collect_list(F.struct("_at", "_n")).alias("_cells"))
+    dense = around.filter(F.col("_box") >= min_samples)
     passed = sum((F.col("_box") >= min_samples * 2 ** (j * dims / steps)).cast("int") for j in range(1, steps)) if steps > 1 else F.lit(0)
     held = dense.withColumn("_step", passed)
     if finer is not None:
@@ -59,27 +59,31 @@ def _octave(cells: DataFrame, dims: int, min_samples: int, steps: int, finer: Da
         inside = _exploded(finer.select("_corner"), "_corner", halves, "_outer")
         inside = inside.select(F.col("_outer").alias("_corner"), F.lit(True).alias("_holds")).distinct()
         held = held.join(inside, "_corner", "left").withColumn("_step", F.when(F.col("_holds"), steps - 1).otherwise(F.col("_step")))
-    return dense, around.join(held.select("_corner", "_step"), "_corner")
+    return materialize(held.select("_corner", "_cells", "_step"))
 
 
 def _hierarchy(counted: DataFrame, dims: int, min_samples: int, min_size: Column, octaves: int, steps: int) -> DataFrame:
-    """``(_level, _at, _n, component)`` of cells in large components; level 0 is the densest, ``_at`` a cell of its octave's grid."""
-    links, cells, finer = [], counted, None
+    """``(_level, _at, _n, component)`` of cells in large components; level 0 is the densest, ``_at`` a cell of its octave's grid.
+
+    The cells around a corner are linked to the first of them; a link that several corners give is taken
+    once, with the last step of any, before it is spread over its levels.
+    """
+    links, places, cells, finer = [], [], counted, None
     for octave in range(octaves):
         if octave:
             cells = materialize(cells.groupBy(F.transform("_at", lambda x: F.shiftright(x, 1)).alias("_at")).agg(F.sum("_n").alias("_n")))
-        finer, met = _octave(cells, dims, min_samples, steps, finer)
-        active = F.explode(F.sequence(F.lit(0), F.col("_step"))).alias("_j")
-        links.append(met.select("_at", "_n", "_corner", active).select(
-            "_at", "_n", "_corner", (F.lit(octave * steps + steps - 1) - F.col("_j")).alias("_level")
-        ))
-    every = materialize(reduce(DataFrame.unionByName, links).select(
-        "_level", "_at", "_n", _named(F.col("_level"), "c", "_at").alias("_cell"), _named(F.col("_level"), "v", "_corner").alias("_vertex")
-    ))
-    edges = every.select(F.col("_cell").alias("src"), F.col("_vertex").alias("dst"))
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    found = connected_components(nodes, edges)
-    held = every.select("_level", "_at", "_n", "_cell").distinct().join(found.withColumnRenamed("node", "_cell"), "_cell")
+        finer = _octave(cells, dims, min_samples, steps, finer)
+        level = F.explode(F.transform(F.sequence(F.lit(0), F.col("_step")), lambda j: F.lit(octave * steps + steps - 1) - j)).alias("_level")
+        last = F.max("_step").alias("_step")
+        places.append(finer.select("_step", F.inline("_cells")).groupBy("_at", "_n").agg(last).select("_at", "_n", level))
+        met = finer.filter(F.size("_cells") > 1).select("_step", F.array_min("_cells")["_at"].alias("_hub"), F.inline("_cells"))
+        links.append(met.filter("_at <> _hub").groupBy("_at", "_hub").agg(last).select("_at", "_hub", level))
+    every = materialize(reduce(DataFrame.unionByName, places).withColumn("_cell", _named(F.col("_level"), "c", "_at")))
+    edges = reduce(DataFrame.unionByName, links).select(
+        _named(F.col("_level"), "c", "_at").alias("src"), _named(F.col("_level"), "c", "_hub").alias("dst")
+    )
+    found = connected_components(every.select(F.col("_cell").alias("node")), edges)
+    held = every.join(found.withColumnRenamed("node", "_cell"), "_cell")
     held = materialize(held.drop("_cell"))
     large = held.groupBy("component").agg(F.sum("_n").alias("_size")).withColumn("_min", min_size).filter("_size >= _min")
     # one component may hold most cells of a level

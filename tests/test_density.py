@@ -6,7 +6,7 @@ from math import comb
 import numpy as np
 import pytest
 
-from papersieve.operators import clustering, components
+from papersieve.operators import clustering, components, density
 
 
 def by_hand(points, min_size, min_samples, octaves, steps=4, allow_single=False):
@@ -149,3 +149,21 @@ def test_numbering_by_size(spark):
     got = {r.group: r.topic for r in components.numbered(spark.createDataFrame(groups, "group string, size long").repartition(5)).collect()}
     assert [g for g, _ in sorted(groups, key=lambda x: (-x[1], x[0]))] == sorted(got, key=got.get)
     assert sorted(got.values()) == list(range(300))
+
+
+def test_lone_cells_have_no_links(spark, monkeypatch):
+    """The component search gets the dense cells, and links between cells that touch: none for crowds far apart."""
+    given = {}
+    search = density.connected_components
+
+    def counted(nodes, edges):
+        given["nodes"], given["edges"] = nodes.count(), edges.count()
+        return search(nodes, edges)
+
+    monkeypatch.setattr(density, "connected_components", counted)
+    rows = [(5 * i + k, [float(1000 * (i % 4)), float(1000 * (i // 4))]) for i in range(16) for k in range(5)]
+    docs = spark.createDataFrame(rows, "paper_id long, reduced array<double>")
+    found = density.density_clusters(docs, min_size=3, dims=2, octaves=4, steps=2).collect()
+    assert len({r.topic for r in found}) == 16 and all(r.topic >= 0 for r in found)
+    assert given["nodes"] <= 16 * 4 * 2
+    assert given["edges"] < given["nodes"]
