@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans
@@ -15,7 +17,7 @@ from papersieve.operators.components import connected_components
 from papersieve.operators.density import density_clusters
 from papersieve.operators.disciplines import mean_vectors
 from papersieve.operators.reduction import similar_pairs
-from papersieve.session import join_small
+from papersieve.session import join_small, materialize, store
 
 OUTLIER = -1
 
@@ -27,22 +29,31 @@ def min_cluster_size(docs: DataFrame, floor: int = 15, divisor: int = 50) -> Dat
     )
 
 
-def bisecting_clusters(docs: DataFrame, k: int = 20, min_size: int | DataFrame = 5, id_col: str = "paper_id",
-                       features: str = "reduced", seed: int = 42) -> DataFrame:
-    """M1 (bisecting): ``(id, topic)`` from bisecting k-means; clusters below ``min_size`` are -1."""
-    prepared = docs.select(id_col, array_to_vector(as_double(F.col(features))).alias("features"))
-    model = BisectingKMeans(k=k, seed=seed, predictionCol="_cluster").fit(prepared)
-    found = model.transform(prepared).select(id_col, "_cluster")
+def add_bisecting_topics(docs: DataFrame, k: int = 20, min_size: int | DataFrame = 5, features: str = "reduced",
+                         seed: int = 42, output: str = "topic") -> DataFrame:
+    """M1 (bisecting): ``docs`` with ``output`` from bisecting k-means; clusters below ``min_size`` are -1.
+
+    The fitted model names the cluster of a row where it lies: nothing is moved, joined or stored for it.
+    """
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_point", array_to_vector(as_double(F.col(features))))
+
+    points = placed(docs.select(features)).select("_point")
+    model = BisectingKMeans(k=k, seed=seed, featuresCol="_point", predictionCol="_cluster").fit(points)
     smallest = min_size.scalar() if isinstance(min_size, DataFrame) else F.lit(min_size)
-    # at most k rows from here on
-    sizes = found.groupBy("_cluster").agg(F.count("*").alias("_size")).withColumn("_min", smallest)
-    numbered = sizes.filter("_size >= _min").select(
+    # at most k rows
+    sizes = model.transform(points).groupBy("_cluster").agg(F.count("*").alias("_size")).withColumn("_min", smallest)
+    numbered = materialize(sizes.filter("_size >= _min").select(
         "_cluster",
-        (F.row_number().over(Window.orderBy(F.desc("_size"), "_cluster")) - 1).alias("topic"),
-    )
-    return found.join(F.broadcast(numbered), "_cluster", "left").select(
-        id_col, F.coalesce("topic", F.lit(OUTLIER)).alias("topic")
-    )
+        (F.row_number().over(Window.orderBy(F.desc("_size"), "_cluster")) - 1).alias("_topic"),
+    ))
+    found = model.transform(placed(docs)).join(F.broadcast(numbered), "_cluster", "left")
+    return found.withColumn(output, F.coalesce("_topic", F.lit(OUTLIER))).drop("_cluster", "_point", "_topic")
+
+
+def bisecting_clusters(docs: DataFrame, id_col: str = "paper_id", features: str = "reduced", **options) -> DataFrame:
+    """M1 (bisecting): ``(id, topic)``, see ``add_bisecting_topics``."""
+    return add_bisecting_topics(docs.select(id_col, features), features=features, **options).select(id_col, "topic")
 
 
 def cluster_documents(docs: DataFrame, method: str = "density", **options) -> DataFrame:
@@ -53,6 +64,24 @@ def cluster_documents(docs: DataFrame, method: str = "density", **options) -> Da
     return methods[method](docs, **options)
 
 
+def add_topics(docs: DataFrame, runs: dict[str, dict], method: str = "density", id_col: str = "paper_id",
+               features: str = "reduced", **options) -> DataFrame:
+    """M1: ``docs`` with a column of topics for each of ``runs``, which has the options of its own by its name.
+
+    Density topics meet the documents in one join for all runs, stored as several passes read it.
+    """
+    if method == "bisecting":
+        for name, own in runs.items():
+            docs = add_bisecting_topics(docs, features=features, output=name, **options, **own)
+        return docs
+    points = docs.select(id_col, features)
+    found = [
+        cluster_documents(points, method, id_col=id_col, features=features, **options, **own).withColumnRenamed("topic", name)
+        for name, own in runs.items()
+    ]
+    return store(docs.join(reduce(lambda a, b: a.join(b, id_col), found), id_col), "zstd")
+
+
 def merge_topics(docs: DataFrame, tau: float = 0.9, topic: str = "topic", vector: str = "embedding",
                  outlier: int = OUTLIER) -> DataFrame:
     """M6 (single linkage): ``(topic, topic_merged)``; topics linked by centroid cosine >= tau share their smallest id.

@@ -11,11 +11,11 @@ from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
 from papersieve.functions.text import remove_words, tokenize_words
 from papersieve.functions.vectors import as_double, l2_normalize, norm
-from papersieve.session import materialize, store, with_computed
+from papersieve.session import store, with_computed
 
 DIMENSIONS = 256
 #: Tokens whose weights every task holds, and documents whose sums it holds at a time.
@@ -66,17 +66,18 @@ def _vectors(cells: DataFrame, id_col: str, dim: int) -> DataFrame:
     )
 
 
-def _row_sums(tokens: pa.Array, known: pa.Array, bucket: np.ndarray, weight: np.ndarray, dim: int) -> tuple[np.ndarray, pa.Array]:
-    """Each row's weights of known tokens summed by bucket [rows, dim], and the lists of its other tokens."""
-    flat = tokens.flatten()
-    row = np.repeat(np.arange(len(tokens)), pc.list_value_length(tokens).to_numpy())
-    at = pc.index_in(flat, value_set=known)
+def _of_rows(lists: pa.Array) -> np.ndarray:
+    """The row of each item of the lists."""
+    return np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+
+
+def _row_sums(tokens: pa.Array, known: pa.Array, bucket: np.ndarray, weight: np.ndarray, dim: int) -> np.ndarray:
+    """Each row's weights of known tokens summed by bucket [rows, dim]."""
+    at = pc.index_in(tokens.flatten(), value_set=known)
     found = pc.is_valid(at).to_numpy(zero_copy_only=False)
     index = at.drop_null().to_numpy()
-    sums = np.bincount(row[found] * dim + bucket[index], weights=weight[index], minlength=len(tokens) * dim)
-    starts = np.concatenate([[0], np.cumsum(np.bincount(row[~found], minlength=len(tokens)))])
-    rest = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), flat.filter(pa.array(~found)))
-    return sums.reshape(len(tokens), dim), rest
+    sums = np.bincount(_of_rows(tokens)[found] * dim + bucket[index], weights=weight[index], minlength=len(tokens) * dim)
+    return sums.astype(float, copy=False).reshape(len(tokens), dim)  # without any known token the counts are whole numbers
 
 
 def _unit_lists(sums: np.ndarray) -> pa.Array:
@@ -87,69 +88,68 @@ def _unit_lists(sums: np.ndarray) -> pa.Array:
 
 
 def embed_documents(docs: DataFrame, id_col: str = "paper_id", text: str = "text", dim: int = DIMENSIONS,
-                    stop_words: Sequence[str] = (), corpus_df: DataFrame | None = None, hot_tokens: int = HOT_TOKENS) -> DataFrame:
-    """T4: ``(id, embedding)`` of every row, signed hashed TF-IDF of the whole text, unit length.
+                    stop_words: Sequence[str] = (), corpus_df: DataFrame | None = None, hot_tokens: int = HOT_TOKENS,
+                    keep: Sequence[str] = ()) -> DataFrame:
+    """T4: ``(id, *keep, embedding)`` of every row, signed hashed TF-IDF of the whole text, unit length.
 
     A token's weight is tf * ln((N + 1) / (df + 1)); a text without tokens is the zero vector. Hashing
-    is done once per vocabulary entry. Weights add up over occurrences, so the ``hot_tokens`` most
-    frequent tokens, a broadcast of that size, are summed by bucket in the task that reads the text;
-    with a vocabulary no larger than that nothing is shuffled. The occurrences of rarer tokens meet the
-    rest of the vocabulary in one join, are summed by (id, bucket) and then added to their document's
-    sums. The vocabulary is read several times and so is stored first; ``corpus_df`` may pass one that
-    is stored already.
+    is done once per vocabulary entry. Weights add up over occurrences, so the most frequent tokens, a
+    broadcast of ``hot_tokens`` at most that leaves out what ties with one beyond, are summed by bucket in
+    the task that reads the text; with a vocabulary no larger than that nothing is shuffled. The occurrences
+    of rarer tokens meet the rest of the vocabulary in one join and are summed by (id, bucket). These few
+    cells are stored and meet the texts, which a sum of ``dim`` doubles a row would often outweigh. The
+    vocabulary is read several times and so is stored first; ``corpus_df`` may pass one that is stored
+    already. The columns of ``keep`` go along, which spares a join of the texts with their vectors.
     """
     if corpus_df is None:
-        corpus_df = materialize(document_frequencies(docs, text, stop_words))
-    n_docs = docs.agg(F.count("*").alias("n"))
-    vocabulary = corpus_df.filter("token is not null").withColumn("_n", n_docs.scalar()).withColumn(
+        corpus_df = store(document_frequencies(docs, text, stop_words))
+    vocabulary = corpus_df.filter("token is not null").withColumn("_n", F.lit(docs.count())).withColumn(
         "_cell", _cell(F.col("token"), F.col("df"), F.col("_n"), dim)
     ).select("token", "df", F.col("_cell.bucket").alias("bucket"), F.col("_cell.weight").alias("weight"))
-    hot = vocabulary.orderBy(F.desc("df"), "token").limit(hot_tokens).toArrow()
+    # a row per frequency; no task gathers the tokens themselves
+    steps = corpus_df.filter("token is not null").groupBy("df").agg(F.count("*").alias("n")).orderBy(F.desc("df")).limit(hot_tokens + 1).toArrow()
+    fits = int((np.cumsum(steps.column("n").to_numpy()) <= hot_tokens).sum())
+    least = steps.column("df")[fits - 1].as_py() if fits else None
+    hot = vocabulary.filter(F.col("df") >= least if fits else F.lit(False)).toArrow()
     known = hot.column("token").combine_chunks().cast(pa.string())
     bucket, weight = (hot.column(c).to_numpy() for c in ("bucket", "weight"))
-    tokens = docs.select(id_col, _tokens(text, stop_words).alias("_tokens"))
-    id_field = docs.schema[id_col]
+    kept = [id_col, *keep]
+    read = list(dict.fromkeys([*kept, text]))
+    tokens = _tokens(text, stop_words).alias("_tokens")
 
-    def sums(batches):
+    def whole(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 piece = batch.slice(start, ROWS)
-                yield piece.column(0), *_row_sums(piece.column(1), known, bucket, weight, dim)
-
-    def whole(batches):
-        for ids, found, _ in sums(batches):
-            yield pa.RecordBatch.from_arrays([ids, _unit_lists(found)], [id_col, "embedding"])
-
-    schema = StructType([id_field, StructField("embedding", ArrayType(FloatType()))])
-    if hot.num_rows < hot_tokens:
-        return tokens.mapInArrow(whole, schema)
-
-    def partial(batches):
-        for ids, found, rest in sums(batches):
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * dim, pa.int32()), pa.array(found.ravel()))
-            yield pa.RecordBatch.from_arrays([ids, lists, rest], [id_col, "_sums", "_rare"])
-
-    def met(batches):
+                found = _row_sums(piece.column("_tokens"), known, bucket, weight, dim)
+                if "_more" in piece.schema.names:
+                    more = piece.column("_more")
+                    cells = more.flatten()
+                    np.add.at(found, (_of_rows(more), cells.field("bucket").to_numpy()), cells.field("w").to_numpy())
+                yield pa.RecordBatch.from_arrays([*map(piece.column, kept), _unit_lists(found)], [*kept, "embedding"])
+
+    schema = StructType([*(docs.schema[c] for c in kept), StructField("embedding", ArrayType(FloatType()))])
+    if fits == steps.num_rows:
+        return docs.select(*kept, tokens).mapInArrow(whole, schema)
+
+    def rare(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
-                ids, lists, more = batch.slice(start, ROWS).columns
-                found = lists.flatten().to_numpy().reshape(len(ids), dim).copy()
-                row = np.repeat(np.arange(len(ids)), pc.fill_null(pc.list_value_length(more), 0).to_numpy())
-                cells = more.flatten()
-                np.add.at(found, (row, cells.field("bucket").to_numpy()), cells.field("w").to_numpy())
-                yield pa.RecordBatch.from_arrays([ids, _unit_lists(found)], [id_col, "embedding"])
-
-    last = hot.slice(hot.num_rows - 1).to_pylist()[0]
-    rarer = (F.col("df") < last["df"]) | ((F.col("df") == last["df"]) & (F.col("token") > last["token"]))
-    parts = store(tokens.mapInArrow(partial, StructType([
-        id_field, StructField("_sums", ArrayType(DoubleType())), StructField("_rare", ArrayType(StringType()))
-    ])))
-    cells = (
-        parts.select(id_col, F.explode("_rare").alias("token")).join(vocabulary.filter(rarer), "token")
+                ids, lists = batch.slice(start, ROWS).columns
+                flat = lists.flatten()
+                rest = pc.is_null(pc.index_in(flat, value_set=known))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(_of_rows(lists)).filter(rest)), flat.filter(rest)], [id_col, "token"])
+
+    rest = docs.select(id_col, tokens).mapInArrow(rare, StructType([docs.schema[id_col], StructField("token", StringType())]))
+    rarer = vocabulary.filter(F.col("df") < least) if fits else vocabulary
+    cells = store(
+        rest.join(rarer, "token")
         .groupBy(id_col, "bucket").agg(F.sum("weight").alias("w"))
         .groupBy(id_col).agg(F.collect_list(F.struct("bucket", "w")).alias("_more"))  # at most dim
     )
-    return parts.select(id_col, "_sums").join(cells, id_col, "left").mapInArrow(met, schema)
+    # hashed on the side of the cells: the texts are not sorted
+    met = docs.select(*read).join(cells.hint("shuffle_hash"), id_col, "left")
+    return met.select(*kept, tokens, "_more").mapInArrow(whole, schema)
 
 
 def embed_texts(texts: DataFrame, corpus_df: DataFrame, n_docs: DataFrame, id_col: str, text: str = "text",

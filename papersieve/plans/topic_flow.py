@@ -60,7 +60,7 @@ class TopicModel:
 
     @cached_property
     def counts(self) -> DataFrame:
-        return materialize(self.count_terms())
+        return store(self.count_terms(), "zstd")
 
     @cached_property
     def weights(self) -> DataFrame:
@@ -68,7 +68,7 @@ class TopicModel:
 
     @cached_property
     def words(self) -> DataFrame:
-        return materialize(_main_words(self.documents, self.weights, self.settings))
+        return store(_main_words(self.documents, self.weights, self.settings))
 
 
 def corpus_documents(papers: DataFrame, text: str = "text", min_chars: int = 50) -> DataFrame:
@@ -99,24 +99,25 @@ def prepare(docs: DataFrame, settings: TopicSettings) -> DataFrame:
     elif settings.encoder is not None:
         vectors = settings.encoder(docs.select("paper_id", "text")).select("paper_id", "text", "embedding")
     else:
-        hashed = embedding.embed_documents(docs).select("paper_id", F.col("embedding").alias("embedding", metadata=HASHED))
-        vectors = docs.select("paper_id", "text").join(hashed, "paper_id")
-    return embedding.reduce_dims(materialize(vectors), settings.dims)
+        hashed = embedding.embed_documents(docs, keep=["text"])
+        vectors = hashed.select("paper_id", "text", F.col("embedding").alias("embedding", metadata=HASHED))
+    return embedding.reduce_dims(store(vectors, "zstd"), settings.dims)
 
 
-def _cluster(prepared: DataFrame, settings: TopicSettings, seed: int) -> DataFrame:
+def _clustered(prepared: DataFrame, settings: TopicSettings, seeds: dict[str, int]) -> DataFrame:
+    """``prepared`` with a column of topics for each of the named seeds."""
     size = clustering.min_cluster_size(prepared) if settings.min_size is None else settings.min_size
     options = dict(settings.cluster_options)
     if settings.method == "density":
         options = {"dims": settings.dims, "min_samples": settings.min_samples, **options}
-    points = prepared.select("paper_id", "reduced")
-    return clustering.cluster_documents(points, settings.method, min_size=size, seed=seed, **options)
+    runs = {name: {"seed": seed} for name, seed in seeds.items()}
+    return clustering.add_topics(prepared, runs, settings.method, min_size=size, **options)
 
 
 def _weights(counts: DataFrame, documents: DataFrame, settings: TopicSettings) -> DataFrame:
-    chosen = materialize(terms.select_terms(
+    chosen = store(terms.select_terms(
         counts, documents.agg(F.count_distinct("topic").alias("n")), settings.min_df, settings.max_df, settings.max_features
-    ))
+    ), "zstd")
     return terms.ctfidf(chosen, reduce_frequent_words=settings.reduce_frequent_words)
 
 
@@ -157,8 +158,7 @@ def describe_topics(documents: DataFrame, settings: TopicSettings = CORPUS_SETTI
 
 def fit_topics(prepared: DataFrame, settings: TopicSettings = CORPUS_SETTINGS, seed: int = SEED) -> TopicModel:
     """Cluster prepared documents and describe the topics."""
-    topics = _cluster(prepared, settings, seed)
-    return describe_topics(materialize(prepared.join(topics, "paper_id")), settings)
+    return describe_topics(_clustered(prepared, settings, {"topic": seed}), settings)
 
 
 def reduce_model(model: TopicModel, tau: float = 0.9) -> TopicModel:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 
 MAX_BROADCAST_ROWS = 200_000
+#: Of Spark 4.1 and later; others ignore it.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,15 +40,24 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def store(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again, for loops.
+def store(df: DataFrame, compression: str = "snappy") -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again, for loops and for whole texts.
 
     A checkpoint keeps the size that was estimated for its plan, and a join's estimate is the product
     of both sides: over the rounds of a loop that number, and the time to plan with it, grows without
-    bound. A table's estimate is the size of its files.
+    bound. A table's estimate is the size of its files. Those are compressed, which checkpoints are not.
+
+    What the write shuffled goes with it: nothing reads it again, as a write has a plan of its own, and
+    else it stays on the executors' disks until the driver happens to collect its garbage.
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
