@@ -30,19 +30,20 @@ def min_cluster_size(docs: DataFrame, floor: int = 15, divisor: int = 50) -> Dat
 
 
 def add_bisecting_topics(docs: DataFrame, k: int = 20, min_size: int | DataFrame = 5, features: str = "reduced",
-                         seed: int = 42, output: str = "topic") -> DataFrame:
+                         seed: int = 42, output: str = "topic", points: DataFrame | None = None) -> DataFrame:
     """M1 (bisecting): ``docs`` with ``output`` from bisecting k-means; clusters below ``min_size`` are -1.
 
     The fitted model names the cluster of a row where it lies: nothing is moved, joined or stored for it.
+    ``points`` may pass the ``features`` of all ``docs`` stored by themselves.
     """
     def placed(rows: DataFrame) -> DataFrame:
         return rows.withColumn("_point", array_to_vector(as_double(F.col(features))))
 
-    points = placed(docs.select(features)).select("_point")
-    model = BisectingKMeans(k=k, seed=seed, featuresCol="_point", predictionCol="_cluster").fit(points)
+    fitted = placed((docs if points is None else points).select(features)).select("_point")
+    model = BisectingKMeans(k=k, seed=seed, featuresCol="_point", predictionCol="_cluster").fit(fitted)
     smallest = min_size.scalar() if isinstance(min_size, DataFrame) else F.lit(min_size)
     # at most k rows
-    sizes = model.transform(points).groupBy("_cluster").agg(F.count("*").alias("_size")).withColumn("_min", smallest)
+    sizes = model.transform(fitted).groupBy("_cluster").agg(F.count("*").alias("_size")).withColumn("_min", smallest)
     numbered = materialize(sizes.filter("_size >= _min").select(
         "_cluster",
         (F.row_number().over(Window.orderBy(F.desc("_size"), "_cluster")) - 1).alias("_topic"),
@@ -71,8 +72,9 @@ def add_topics(docs: DataFrame, runs: dict[str, dict], method: str = "density",
     Density topics meet the documents in one join for all runs, stored as several passes read it.
     """
     if method == "bisecting":
+        points = store(docs.select(features))  # making them from the vectors costs more than the passes of a fit
         for name, own in runs.items():
-            docs = add_bisecting_topics(docs, features=features, output=name, **options, **own)
+            docs = add_bisecting_topics(docs, features=features, output=name, points=points, **options, **own)
         return docs
     points = docs.select(id_col, features)
     found = [

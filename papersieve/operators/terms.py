@@ -28,6 +28,16 @@ def document_terms(text: Column, stop_words: Sequence[str] | None = None,
     return ngrams(remove_words(tokenize_words(text), words), *ngram_range)
 
 
+def joint_counts(docs: DataFrame, topics: Sequence[str], text: str = "text", stop_words: Sequence[str] | None = None,
+                 ngram_range: tuple[int, int] = (1, 1)) -> DataFrame:
+    """``(*topics, term, n)``: terms counted by what several columns of topics say of their document."""
+    return (
+        docs.select(*topics, F.explode(document_terms(F.col(text), stop_words, ngram_range)).alias("term"))
+        .groupBy(*topics, "term")
+        .agg(F.count("*").alias("n"))
+    )
+
+
 def class_counts(docs: DataFrame, topic: str = "topic", text: str = "text", stop_words: Sequence[str] | None = None,
                  ngram_range: tuple[int, int] = (1, 1), min_df: int = 1) -> DataFrame:
     """``(topic, term, n)`` of the terms of at least ``min_df`` topics, before any other choice of terms.
@@ -35,12 +45,7 @@ def class_counts(docs: DataFrame, topic: str = "topic", text: str = "text", stop
     Merging topics can only lower the number of topics a term is in, so what falls below ``min_df``
     here would fall below it after any merge.
     """
-    counts = (
-        docs.select(topic, F.explode(document_terms(F.col(text), stop_words, ngram_range)).alias("term"))
-        .groupBy(topic, "term")
-        .agg(F.count("*").alias("n"))
-    )
-    return select_terms(counts, min_df=min_df)
+    return select_terms(joint_counts(docs, [topic], text, stop_words, ngram_range), min_df=min_df)
 
 
 def select_terms(counts: DataFrame, n_topics: DataFrame | None = None, min_df: int = 1, max_df: float = 1.0,

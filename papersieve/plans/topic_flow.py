@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import cached_property, reduce
+from functools import cached_property, partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,8 @@ from papersieve.session import materialize, store, with_computed
 
 # Base seed and number of stability reruns.
 SEED, STABILITY_RUNS = 42, 3
+#: Reruns are counted in one pass if they cut the documents into at most so many parts for each topic of one run.
+JOINT_PARTS = 4
 
 
 @dataclass(frozen=True)
@@ -161,6 +163,28 @@ def fit_topics(prepared: DataFrame, settings: TopicSettings = CORPUS_SETTINGS, s
     return describe_topics(_clustered(prepared, settings, {"topic": seed}), settings)
 
 
+def fit_runs(prepared: DataFrame, settings: TopicSettings, seeds: Sequence[int]) -> list[TopicModel]:
+    """A model for each seed, as ``fit_topics`` gives it.
+
+    Runs that cut the documents much alike have their terms counted together, by the topics of all runs,
+    and each run adds up its own: the texts are read once. Where they differ, the parts of a frequent term
+    would be many, and each run counts its own.
+    """
+    names = {f"_topic_{i}": seed for i, seed in enumerate(seeds)}
+    marked = _clustered(prepared, settings, names)
+    runs = {name: marked.withColumn("topic", F.col(name)).drop(*names) for name in names}
+    parts, *topics = marked.select(*names).distinct().agg(F.count("*"), *[F.count_distinct(name) for name in names]).first()
+    if parts > JOINT_PARTS * max(topics):
+        return [describe_topics(documents, settings) for documents in runs.values()]
+    joint = store(terms.joint_counts(marked, list(names), stop_words=settings.stop_words, ngram_range=settings.ngram_range), "zstd")
+
+    def own(name: str) -> DataFrame:
+        counts = joint.groupBy(F.col(name).alias("topic"), "term").agg(F.sum("n").alias("n"))
+        return terms.select_terms(counts, min_df=settings.min_df)
+
+    return [TopicModel(documents, partial(own, name), settings) for name, documents in runs.items()]
+
+
 def reduce_model(model: TopicModel, tau: float = 0.9) -> TopicModel:
     """M6: the model after close topics have become one; documents keep their first topic as ``topic_before``.
 
@@ -196,10 +220,8 @@ def info_views(model: TopicModel, views: DataFrame) -> DataFrame:
 def stability(model: TopicModel, n_runs: int = STABILITY_RUNS, seed: int = SEED, top_n: int = 15) -> DataFrame:
     """Refit with seeds seed, seed+1, ... and match every topic with its best counterpart."""
     prepared = model.documents.select("paper_id", "text", "embedding", "reduced")
-    runs = [
-        fit_topics(prepared, model.settings, seed + run).words.withColumn("run", F.lit(run))
-        for run in range(n_runs)
-    ]
+    models = fit_runs(prepared, model.settings, [seed + run for run in range(n_runs)])
+    runs = [fitted.words.withColumn("run", F.lit(run)) for run, fitted in enumerate(models)]
     return topic_eval.topic_stability(model.words, reduce(DataFrame.unionByName, runs), n_runs, top_n)
 
 
